@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media_png
+from . import bpe_prefix, media_png
 from .common import table
 
 
@@ -26,8 +27,14 @@ def op3_media_png(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = {"path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+    read = bpe_prefix.decoded(bpe_prefix.encoded(table(spark, sf_dir, "documents"), **named), **named)
+    return read.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_media_png": op3_media_png}
+    return {"op3_media_png": op3_media_png, "op8_bpe_prefix": op8_bpe_prefix}
 
 
 def oracle_sql() -> dict[str, str]:
