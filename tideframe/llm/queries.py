@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_prefix, media_png
+from . import bpe_prefix, media_png, token_files
 from .common import table
 
 
@@ -33,8 +33,13 @@ def op8_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_media_png": op3_media_png, "op8_bpe_prefix": op8_bpe_prefix}
+    return {"op3_media_png": op3_media_png, "op8_bpe_prefix": op8_bpe_prefix, "op9_token_files": op9_token_files}
 
 
 def oracle_sql() -> dict[str, str]:
