@@ -8,10 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_prefix, media_png, token_files
+from . import bpe_prefix, media_png, oracle_rules, quality_rules, token_files
 from .common import table
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op3_media_png(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("data"))
     read = media_png.with_features(media_png.with_png(docs))
@@ -38,9 +43,14 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+#: Every query of this subpackage.
+QUERIES = [op1_quality_rules, op3_media_png, op8_bpe_prefix, op9_token_files]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_media_png": op3_media_png, "op8_bpe_prefix": op8_bpe_prefix, "op9_token_files": op9_token_files}
+    return {q.__name__: q for q in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where whole tables are cheap enough for it; the others are tested against brute force."""
+    return {"op1_quality_rules": oracle_rules.op1_sql()}
