@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_prefix, media_png, oracle_rules, quality_rules, token_files
+from . import bpe_prefix, media_png, mixing, oracle_rules, quality_rules, token_files
 from .common import table
 
 
@@ -32,6 +32,11 @@ def op3_media_png(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_mixing_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mixed(table(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", "taken", F.to_json("shards").alias("shards"))
+
+
 def op8_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = {"path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
     read = bpe_prefix.decoded(bpe_prefix.encoded(table(spark, sf_dir, "documents"), **named), **named)
@@ -44,7 +49,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Every query of this subpackage.
-QUERIES = [op1_quality_rules, op3_media_png, op8_bpe_prefix, op9_token_files]
+QUERIES = [op1_quality_rules, op3_media_png, op6_mixing_tree, op8_bpe_prefix, op9_token_files]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
