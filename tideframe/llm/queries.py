@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_prefix, media_png, mixing, oracle_rules, quality_rules, token_files
-from .common import table
+from . import bpe_prefix, media_png, mixing, oracle_rules, pairwise_quality, quality_rules, token_files, toxicity
+from .common import held_out, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,18 @@ def op3_media_png(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.toxicity(docs, *toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = pairwise_quality.learn(docs, labels.where(~held_out(F.col("doc_id"))))
+    scores = pairwise_quality.scored(docs, model)
+    return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= pairwise_quality.AT_CUTOFF).cast("int").alias("predicted"))
+
+
 def op6_mixing_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mixed(table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", "taken", F.to_json("shards").alias("shards"))
@@ -49,7 +61,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Every query of this subpackage.
-QUERIES = [op1_quality_rules, op3_media_png, op6_mixing_tree, op8_bpe_prefix, op9_token_files]
+QUERIES = [op1_quality_rules, op3_media_png, op4_toxicity, op5_pairwise_quality, op6_mixing_tree, op8_bpe_prefix, op9_token_files]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
