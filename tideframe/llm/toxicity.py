@@ -1,7 +1,7 @@
 """Toxicity: cumulative-link ordinal regression of severity grades on sparse text features.
 
 Grades 0 to GRADES - 1 are ordered; P(grade <= k) is logistic in threshold k less one score that all thresholds share. The
-score is linear in log(1 + count) of the words that the labels tie to toxic documents. A document's severity is the
+score is linear in log(1 + count) of the words, and beginnings of words, that the labels tie to toxic documents. A document's severity is the
 expected grade.
 
 Where labels are binary, grades are made from them: 0 for label 0; for label 1, one to GRADES - 1 by the tertiles of how
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 TRAIN_ROWS = 20_000
 MOST_WORDS = 512  # of the model
+PREFIXES = (3, 4, 5, 6, 7)
 LEAST_TOXIC = 3  # toxic documents that must hold a word of the model
 SURE = 30.0  # least G-squared of a word of the model
 GRADES = 4
@@ -36,8 +37,14 @@ L2 = 1e-3
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 
 
-def words(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+def tokens(text: str | None) -> Counter:
+    """How often a text holds each word and, marked "^", each word's beginning of PREFIXES letters."""
+    found = Counter(WORD.findall((text or "").lower()))
+    for w, n in list(found.items()):
+        for k in PREFIXES:
+            if k < len(w):
+                found["^" + w[:k]] += n
+    return found
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -101,11 +108,12 @@ def g_squared(k1: np.ndarray, n1: float, k0: np.ndarray, n0: float) -> np.ndarra
     return 2 * (part(k1, n1, p) + part(n1 - k1, n1, 1 - p) + part(k0, n0, p) + part(n0 - k0, n0, 1 - p))
 
 
-def counts(tokens: list[str], index: dict[str, int]) -> np.ndarray:
-    """log(1 + count) of the model's words."""
+def counts(text: str | None, index: dict[str, int]) -> np.ndarray:
+    """log(1 + count) of the model's words and beginnings."""
     row = np.zeros(len(index))
-    for w, n in Counter(filter(index.__contains__, tokens)).items():
-        row[index[w]] = np.log1p(n)
+    found = tokens(text)
+    for w in index.keys() & found.keys():
+        row[index[w]] = np.log1p(found[w])
     return row
 
 
@@ -117,7 +125,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
         for b in batches:
             bad, good, n = Counter(), Counter(), [0, 0]
             for t, y in zip(b.column(0), b.column(1), strict=True):
-                (bad if y.as_py() > 0 else good).update(set(words(t.as_py())))
+                (bad if y.as_py() > 0 else good).update(tokens(t.as_py()).keys())
                 n[y.as_py() > 0] += 1
             found = sorted(bad.keys() | good.keys())
             yield pa.RecordBatch.from_arrays([pa.array([None, *found], pa.string()), pa.array([n[1], *(bad[w] for w in found)], pa.int64()), pa.array([n[0], *(good[w] for w in found)], pa.int64())], names=["word", "bad", "good"])
@@ -136,7 +144,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [counts(words(t.as_py()), index).astype("<f4").tobytes() for t in b.column(1)]
+            x = [counts(t.as_py(), index).astype("<f4").tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x, pa.binary())], names=["k", "y", "x"])
 
     got = held.select(F.col("_k").cast("string").alias("k"), "text", "y").mapInArrow(vectors, "k string, y int, x binary").toPandas().sort_values(["k", "x"])
@@ -156,7 +164,7 @@ def toxicity(docs: DataFrame, index: dict[str, int], model: CumulativeLink, key:
         for b in batches:
             over = np.zeros((b.num_rows, len(model.thresholds)))
             if index:
-                over = np.concatenate([model.at_least(counts(words(t.as_py()), index)[None, :]) for t in b.column(1)])
+                over = np.concatenate([model.at_least(counts(t.as_py(), index)[None, :]) for t in b.column(1)])
             p = np.round(over, 9)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array((p >= 0.5).sum(axis=1).astype(np.int32)), pa.array(p[:, 0] >= 0.5)], names=[key, "severity", "p_toxic", "grade", "toxic"])
 
