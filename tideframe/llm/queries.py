@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_prefix, media_png, mixing, oracle_rules, pairwise_quality, quality_rules, token_files, toxicity
+from . import bpe_prefix, media_png, mixing, ngram_join, oracle_rules, pairwise_quality, quality_rules, token_files, toxicity
 from .common import held_out, table
 
 
@@ -49,6 +49,10 @@ def op6_mixing_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken", F.to_json("shards").alias("shards"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = {"path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
     read = bpe_prefix.decoded(bpe_prefix.encoded(table(spark, sf_dir, "documents"), **named), **named)
@@ -61,7 +65,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Every query of this subpackage.
-QUERIES = [op1_quality_rules, op3_media_png, op4_toxicity, op5_pairwise_quality, op6_mixing_tree, op8_bpe_prefix, op9_token_files]
+QUERIES = [op1_quality_rules, op3_media_png, op4_toxicity, op5_pairwise_quality, op6_mixing_tree, op7_ngram_join, op8_bpe_prefix, op9_token_files]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
