@@ -35,13 +35,14 @@ BLOCK = 512
 PERCENTILE = 95.0
 SEGMENT_IDS = 1 << 19
 #: Words kept with their ids in a Python worker, and the batches in which new ones are encoded.
-MEMO = 400_000
+MEMO = 800_000
 
 
 def pack_block(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     low = int(ids.min())
     rest = ids.astype(np.uint64) - np.uint64(low)
-    width = int(np.percentile(rest, percentile, method="higher")).bit_length()
+    place = -int(-percentile * (len(rest) - 1) // 100)
+    width = int(np.partition(rest, place)[place]).bit_length()
     far = np.flatnonzero(rest >> np.uint64(width))
     bits = ((rest[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
     high = (rest[far] >> np.uint64(width)).astype("<u4")
@@ -97,6 +98,19 @@ class Segment:
             at += n
 
 
+def plain(word: bytes) -> tuple[bytes, bytes]:
+    """A word that the tokenizer takes apart alike, and the closing mark cut from it.
+
+    The tokenizer puts A-Z into lower case and parts letters and digits from marks; only its special tokens are taken
+    before that, which all hold "<|".
+    """
+    if not word.isascii() or b"<|" in word:
+        return word, b""
+    if word[-1:] in b".,;:!?" and word[-2:-1].isalnum():
+        return word[:-1].lower(), word[-1:]
+    return word.lower(), b""
+
+
 class WordEncoder:
     """The library's ids of a text, word by word.
 
@@ -109,20 +123,46 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memo = Tokenizer.from_file(path), {}
-
-    def learn(self, texts: list[list[bytes]]) -> None:
-        new = list(set().union(*texts).difference(self.memo))
-        if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-            new = list(set().union(*texts))
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self.memo[w] = np.array(e.ids, "<u4").tobytes()
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def learn(self, texts: list[list[bytes]]) -> dict[bytes, bytes]:
+        """Ids of the words that the memo lacks."""
+        new = {w: plain(w) for w in set().union(*texts).difference(self.memo)}
+        bases = {c for c, _ in new.values()}
+        found = {c: self.memo[c] for c in bases & self.memo.keys()}
+        found |= self.ids([c for c in bases if c not in found])
+        marks = self.ids([m for m in {m for _, m in new.values()} if m])
+        more = {w: found[c] + marks.get(m, b"") for w, (c, m) in new.items()}
+        return found | more if len(self.memo) < MEMO else more
+
+    def ids(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """A word of letters is one piece, whose last token alone ends a word; so many are one input to the library."""
+        texts = {w: w.decode() for w in words}
+        letters, out = [w for w, t in texts.items() if t.isalpha()], {}
+        lists = [letters[i : i + 512] for i in range(0, len(letters), 512)]
+        for part, e in zip(lists, self.tokenizer.encode_batch_fast([" ".join(map(texts.__getitem__, part)) for part in lists], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = 4 * (1 + np.flatnonzero(self.closes[ids]))
+            if len(ends) == len(part):  # else normal forms made marks of letters
+                packed, cuts = ids.tobytes(), [0, *ends.tolist()]
+                out |= {w: packed[cuts[k] : cuts[k + 1]] for k, w in enumerate(part)}
+        rest = [w for w in words if w not in out]
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast([texts[w] for w in rest], add_special_tokens=False), strict=True):
+            out[w] = np.array(e.ids, "<u4").tobytes()
+        return out
 
     def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
         parts = [t.encode().split() for t in texts]
-        self.learn(parts)
+        more, known = self.learn(parts), len(self.memo)
+        self.memo |= more
         end, get = np.array([end_id], "<u4").tobytes(), self.memo.__getitem__
-        return [np.frombuffer(b"".join(map(get, p)) + end, "<u4") for p in parts]
+        found = [np.frombuffer(b"".join(map(get, p)) + end, "<u4") for p in parts]
+        if known >= MEMO:  # it keeps the words it has
+            for w in more:
+                del self.memo[w]
+        return found
 
 
 ENCODERS: dict[str, WordEncoder] = {}  # of this Python worker
