@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_prefix, media_png, mixing, ngram_join, oracle_rules, pairwise_quality, quality_rules, token_files, toxicity
+from . import bpe_prefix, media_png, mixing, ngram_join, oracle_rules, pairwise_quality, quality_rules, token_files, toxicity, url_filters
 from .common import held_out, table
 
 
@@ -17,6 +17,15 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+#: The rules that the URL query applies.
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filters.url_filter(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", F.round("p_block", 9).alias("p_block"))
+
+
 def op3_media_png(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("data"))
     read = media_png.with_features(media_png.with_png(docs))
@@ -65,7 +74,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Every query of this subpackage.
-QUERIES = [op1_quality_rules, op3_media_png, op4_toxicity, op5_pairwise_quality, op6_mixing_tree, op7_ngram_join, op8_bpe_prefix, op9_token_files]
+QUERIES = [op1_quality_rules, op2_url_filters, op3_media_png, op4_toxicity, op5_pairwise_quality, op6_mixing_tree, op7_ngram_join, op8_bpe_prefix, op9_token_files]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
