@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_prefix, media_png, mixing, ngram_join, oracle_rules, pairwise_quality, quality_rules, token_files, toxicity, url_filters
+from . import bpe_prefix, media_png, mixing, ngram_join, oracle_rules, pairwise_quality, quality_rules, suffix_dedup, token_files, toxicity, url_filters
 from .common import held_out, table
 
 
@@ -73,8 +73,12 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed(table(spark, sf_dir, "documents")).drop("removed")
+
+
 #: Every query of this subpackage.
-QUERIES = [op1_quality_rules, op2_url_filters, op3_media_png, op4_toxicity, op5_pairwise_quality, op6_mixing_tree, op7_ngram_join, op8_bpe_prefix, op9_token_files]
+QUERIES = [op1_quality_rules, op2_url_filters, op3_media_png, op4_toxicity, op5_pairwise_quality, op6_mixing_tree, op7_ngram_join, op8_bpe_prefix, op9_token_files, op10_suffix_dedup]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
