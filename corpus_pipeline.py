@@ -1,15 +1,67 @@
-"""The corpus pipeline: stages over documents, each of one operator."""
+"""The corpus pipeline: five stages over documents, each of one operator.
+
+Each stage works on all that the one before kept; run() applies them to a folder's documents. Stages 1 to 4 return the
+columns of documents, the last one token ids.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tideframe.llm import bpe_prefix, mixing, ngram_join, quality_rules, suffix_dedup
+from tideframe.llm.common import written
+
+SHINGLE_WORDS, PERCENT = 5, 80
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality_rules.good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document of the least id stays."""
+    return ngram_join.first_of_each(docs, SHINGLE_WORDS, PERCENT)
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings that repeat are cut out of the texts."""
+    out = suffix_dedup.clean_documents(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.mixed_documents(docs).drop("_shard", "_copy")
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit) and the hash of the text that they decode to."""
+    named = {"path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+    read = bpe_prefix.decoded(bpe_prefix.encoded(docs, **named), **named)
+    return read.select("doc_id", "n_tokens", "ids", F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_copies),
+    ("suffix-array dedup", repeated_strings),
+    ("mixing sources to target weights", mixture),
+    ("byte-level BPE encoding and decoding", token_ids),
+]
 
-STAGES: list = []
+#: SQL can't express the joins, the induced sorting or the merges; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = written(docs, "pipeline-" + name.replace(" ", "-"))
     return docs

@@ -28,6 +28,8 @@ SHARDS = 64
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
 SEED = 20240607
+#: Plans of at most so many rows are broadcast.
+BROADCAST_BLOCKS = 50_000
 
 
 def word_count(text: str = "text") -> F.Column:
@@ -73,9 +75,10 @@ def split_tree(draws: np.ndarray, shards: int, rng: np.random.Generator) -> np.n
     return out
 
 
-def blocks_of(docs: DataFrame, source: str, key: str, text: str, blocks: int, seed: int) -> DataFrame:
-    """key, source, size, block and r, a hash for orders."""
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"))
+def blocks_of(docs: DataFrame, source: str, key: str, text: str, blocks: int, seed: int, row: F.Column | None = None) -> DataFrame:
+    """doc_id, source, size, block and r, a hash for orders; and row where one is given."""
+    more = [] if row is None else [row.alias("row")]
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"), *more)
     return rows.withColumn("r", F.xxhash64(F.lit(seed), "source", "doc_id")).withColumn("block", F.pmod("r", F.lit(blocks)).cast("int"))
 
 
@@ -104,28 +107,50 @@ def plan(sized: DataFrame, weights: tuple[float, ...], share: float, most: float
     return ranges, drawn
 
 
-def mixed(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str = "text", weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, most: float = MOST, blocks: int = BLOCKS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken (long) and shards (array of the output shard of each copy).
-
-    most must be whole. A document is in at most most draws.
-    """
-    sized = blocks_of(docs, source, key, text, blocks, seed)
-    held = written(sized, "mixing-sizes")
+def block_plan(held: DataFrame, weights: tuple[float, ...], share: float, most: float, blocks: int, shards: int, seed: int) -> DataFrame:
+    """A row for each block, with all that a document of it needs to know its draws."""
     ranges, drawn = plan(held, weights, share, most, blocks, shards, seed)
-    same_block = F.col("source").eqNullSafe(F.col("bs")) & (F.col("block") == F.col("bb"))
     # the one cut block of a source is a BLOCKS-th of it: its documents are taken in the order of their hash while half of
     # the next one fits at least
-    edge = held.join(drawn.where("cut is not null").select(F.col("source").alias("bs"), F.col("block").alias("bb"), "cut"), same_block)
+    edge = held.join(drawn.where("cut is not null").select(F.col("source").alias("bs"), F.col("block").alias("bb"), "cut"), same_block())
     upto = F.sum("size").over(Window.partitionBy("source").orderBy("r", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
     last = edge.withColumn("upto", upto).where("upto - size / 2D <= cut").groupBy("source").agg(F.max(F.struct("r", "doc_id", "size")).alias("last"))
     by_block = drawn.join(last.withColumnRenamed("source", "es"), F.col("source").eqNullSafe(F.col("es")), "left").join(ranges.withColumnRenamed("source", "rs"), F.col("source").eqNullSafe(F.col("rs")))
-    by_block = written(by_block.select(F.col("source").alias("bs"), F.col("block").alias("bb"), "copies", "cut", "last", "place", "ends", "n_blocks", "source_size", "target"), "mixing-plan")
+    return written(by_block.select(F.col("source").alias("bs"), F.col("block").alias("bb"), "copies", "cut", "last", "place", "ends", "n_blocks", "source_size", "target"), "mixing-plan")
+
+
+def same_block() -> F.Column:
+    return F.col("source").eqNullSafe(F.col("bs")) & (F.col("block") == F.col("bb"))
+
+
+def drawn_rows(rows: DataFrame, by_block: DataFrame) -> DataFrame:
+    """rows (with doc_id, source, size, block and r), n (copies) and shards. A plan of at most BROADCAST_BLOCKS rows is
+    broadcast, else both sides are shuffled by source and block."""
+    few = by_block.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS
     more = F.when(F.col("cut").isNotNull() & (F.struct("r", "doc_id", "size") <= F.col("last")), 1).otherwise(0)
-    full = held.join(by_block, same_block).withColumn("n", (F.col("copies") + more).cast("long"))
+    full = rows.join(F.broadcast(by_block) if few else by_block, same_block()).withColumn("n", (F.col("copies") + more).cast("long"))
     # number of the draw in pass p: all blocks of the passes before, then the block's place
     numbers = F.transform(F.sequence(F.lit(1).cast("long"), F.col("n")), lambda p: (p - 1) * F.col("n_blocks") + F.col("place"))
     shard = F.when(F.col("n") > 0, F.transform(numbers, lambda d: F.size(F.filter(F.col("ends"), lambda e: e < d)))).otherwise(F.array().cast("array<int>"))
-    return full.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("n")).alias("taken"), shard.alias("shards"))
+    return full.withColumn("shards", shard).drop("bs", "bb", "copies", "cut", "last", "place", "ends", "n_blocks")
+
+
+def mixed(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str = "text", weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, most: float = MOST, blocks: int = BLOCKS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken (long) and shards (array of the output shard of each copy).
+
+    most must be whole. A document is in at most most draws.
+    """
+    held = written(blocks_of(docs, source, key, text, blocks, seed), "mixing-sizes")
+    full = drawn_rows(held, block_plan(held, weights, share, most, blocks, shards, seed))
+    return full.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("n")).alias("taken"), "shards")
+
+
+def mixed_documents(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str = "text", weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, most: float = MOST, blocks: int = BLOCKS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it, with shard and copy as the columns _shard and _copy."""
+    by_block = block_plan(written(blocks_of(docs, source, key, text, blocks, seed), "mixing-sizes"), weights, share, most, blocks, shards, seed)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    full = drawn_rows(blocks_of(docs, source, key, text, blocks, seed, row), by_block)
+    return full.where("n > 0").select("row", F.posexplode("shards").alias("_copy", "_shard")).select("row.*", "_shard", "_copy")
 
 
 def shard_rows(mix: DataFrame, seed: int = SEED) -> DataFrame:

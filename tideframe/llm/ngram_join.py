@@ -1,8 +1,8 @@
 """Exact n-gram Jaccard join by a token-group matrix.
 
 Texts with equal shingle sets form a class, and one member stands for it. A class's set is cut by hash value into segments,
-so many that sets over the wanted similarity must agree in SPARE of them or more; the hash of a segment is one of the
-class's tokens. Similar classes form groups: each class joins the neighbour that shares most tokens with all others. The
+so many that sets over the wanted similarity must agree in several of them; the hash of a segment is one of the class's
+tokens. Similar classes form groups: each class joins the neighbour that shares most tokens with all others. The
 matrix holds each group's token union, as rows (token, group); a join with the classes' own tokens counts how many of them
 a group has, which bounds the overlap with any member. Only groups with enough are opened.
 
@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop_written, written
@@ -79,51 +79,66 @@ def differences(high: int, percent: int) -> int:
     return 2 * (int(high) - 1) * (100 - percent) // (100 + percent)
 
 
-def spare(most: int) -> int:
-    """How many more segments than differences there are."""
-    return 2 if most < 8 else 4
+def segments(tag: int, ends: np.ndarray, percent: int) -> tuple[int, int]:
+    """Number of segments under a tag, and how many of them agree at least; 0, 0 where only equal sets link.
+
+    Sets of less than ends[tag + 1] elements differ in `most` elements at most, each of which spoils one segment. There are
+    as many segments more as are rarely empty together in a set of the band below.
+    """
+    most = differences(ends[tag + 1], percent)
+    if most == 0:
+        return 0, 0
+    empty = (most + 4) * math.exp(-float(ends[max(tag - 1, 0)]) / (most + 4))
+    spare = 2 + 2 * (most >= 8) + math.ceil(empty + 3 * math.sqrt(empty)) * (most >= 8)
+    return most + spare, spare
 
 
-def tokens(sets: np.ndarray, ends: np.ndarray, percent: int) -> np.ndarray:
-    """Segment hashes of a sorted set, for its own band and for the next.
+def tokens(sets: np.ndarray, ends: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """Segment hashes of a sorted set, for its own band and for the next, and how many of them any partner shares.
 
-    Sets A and B of at most size s in all differ in at most s * (100 - p) / (100 + p) elements, each of which spoils one
-    segment; so with that many and c segments, c or more agree. One empty segment isn't told, which leaves c - 1.
+    Empty segments are left out where there are too few of them to make up the agreement.
     """
-    n, out = len(sets), []
-    band = int(np.searchsorted(ends, n, side="right")) - 1
+    out, need = [np.empty(0, np.uint64)], 1 << 20
+    band = int(np.searchsorted(ends, len(sets), side="right")) - 1
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(sets), dtype=np.uint64)])
     for tag in (band, band + 1):
-        most = differences(ends[tag + 1], percent)
-        if most == 0:  # only equal sets link
+        k, agree = segments(tag, ends, percent)
+        if not k:
             continue
-        k = most + spare(most)
         part = ((sets >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
         edge = np.searchsorted(part, np.arange(k + 1, dtype=np.uint64))
-        full = np.flatnonzero(edge[1:] > edge[:-1]) if k - np.count_nonzero(edge[1:] > edge[:-1]) < 2 else np.arange(k)
+        full = np.flatnonzero(edge[1:] > edge[:-1])
+        agree, full = (agree - k + len(full), full) if k - len(full) < agree else (agree, np.arange(k))
+        need = min(need, agree)
         out.append(mixed(mixed(sums[edge[full + 1]] - sums[edge[full]]) + np.uint64(tag << 40) + full.astype(np.uint64)))
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+    return np.concatenate(out), need
+
+
+def text_hash(text: str) -> F.Column:
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
 def sized(df: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), cls (binary, the set's 128-bit hash) and tokens of each row."""
+    """doc_id, th (hash of the text), n (set size), cls (binary, the set's 128-bit hash), need and tokens of each row."""
     ends = bands(percent)
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.binary()), ("tokens", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("cls", pa.binary()), ("need", pa.int32()), ("tokens", pa.list_(pa.int64()))])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, cls, toks = [], [], []
-            for t in b.column(1):
+            n, cls, need, toks = [], [], [], []
+            for t in b.column(2):
                 s = shingles(t.as_py(), size)
                 n.append(len(s))
                 cls.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                toks.append(tokens(s, ends, percent).view(np.int64) if len(s) else np.empty(0, np.int64))
+                told, least = tokens(s, ends, percent) if len(s) else (s, 0)
+                need.append(least)
+                toks.append(told.view(np.int64))
             flat = pa.array(np.concatenate([*toks, np.empty(0, np.int64)]))
             offsets = pa.array(np.cumsum([0, *map(len, toks)]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.ListArray.from_arrays(offsets, flat)], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(need, pa.int32()), pa.ListArray.from_arrays(offsets, flat)], schema=schema)
 
-    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(each, "doc_id long, n long, cls binary, tokens array<bigint>")
+    rows = df.select(F.col(key).cast("long").alias("doc_id"), text_hash(text).alias("th"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(each, "doc_id long, th long, n long, cls binary, need int, tokens array<bigint>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -163,11 +178,10 @@ def linked(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> Ite
 
 def links_of(rows: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
     """a, b: links between classes, enough of them to connect all that links connect."""
-    ends = bands(percent)
-    classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    told = classes.select("cls", "doc_id", "n", F.explode("tokens").alias("token"))
+    classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("need").alias("need"), F.first("tokens").alias("tokens"))
+    told = classes.select("cls", "doc_id", "need", F.explode("tokens").alias("token"))
     counted = told.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").withColumnRenamed("token", "t")
-    shared = written(told.join(counted, F.col("token") == F.col("t")).select("cls", "doc_id", "n", "token", "c"), "shared-tokens")
+    shared = written(told.join(counted, F.col("token") == F.col("t")).select("cls", "doc_id", "need", "token", "c"), "shared-tokens")
     # groups: each class goes to the neighbour that shares most tokens with all
     rank = shared.groupBy("cls").agg(F.struct(F.sum("c").alias("s"), F.col("cls").alias("x")).alias("rank"))
     ranked = shared.join(rank, "cls")
@@ -176,9 +190,8 @@ def links_of(rows: DataFrame, docs: DataFrame, key: str, text: str, size: int, p
     grouped = written(shared.join(member, "cls"), "grouped-tokens")
     # the matrix, and the bound of each class and group
     matrix = grouped.select("token", "grp").distinct().withColumnRenamed("token", "t").withColumnRenamed("grp", "g")
-    overlap = grouped.join(matrix, F.col("token") == F.col("t")).groupBy("cls", "n", "g").agg(F.count("*").alias("overlap"))
-    many = int(next(low for low, high in zip(ends, ends[1:], strict=False) if spare(differences(high, percent)) > 2))  # least size of sets with more to spare
-    opened = overlap.where(F.col("overlap") >= F.when(F.col("n") < many, 1).otherwise(3)).select("cls", "g")
+    overlap = grouped.join(matrix, F.col("token") == F.col("t")).groupBy("cls", "need", "g").agg(F.count("*").alias("overlap"))
+    opened = overlap.where("overlap >= need").select("cls", "g")
     opened = written(opened, "opened-groups")
     # whole sets of the classes that are in question
     wanted = shared.select("cls", "doc_id").distinct().withColumnRenamed("doc_id", "id")
@@ -244,10 +257,21 @@ def links_of(rows: DataFrame, docs: DataFrame, key: str, text: str, size: int, p
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id of each row."""
+    """doc_id, th (hash of the text), n_shingles and component_id of each row."""
     rows = written(sized(docs, key, text, size, percent), "shingle-classes")
     found = components(links_of(rows, docs, key, text, size, percent))
-    labelled = rows.select("doc_id", "n", "cls").join(found, F.col("cls") == F.col("v"), "left").withColumn("label", F.coalesce("label", "cls"))
-    labelled = written(labelled.select("doc_id", "n", "label"), "shingle-labels")
+    labelled = rows.select("doc_id", "th", "n", "cls").join(found, F.col("cls") == F.col("v"), "left").withColumn("label", F.coalesce("label", "cls"))
+    labelled = written(labelled.select("doc_id", "th", "n", "label"), "shingle-labels")
     least = labelled.where("label is not null").groupBy(F.col("label").alias("l")).agg(F.min("doc_id").alias("component"))
-    return labelled.join(least, F.col("label") == F.col("l"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return labelled.join(least, F.col("label") == F.col("l"), "left").select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def first_of_each(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without the documents that reach one of a lesser id; of rows alike in id and text one stays. Documents without
+    words or without an id stay."""
+    gone = near_duplicates(docs, size, percent, key, text).where("component_id < doc_id").select("doc_id", "th").distinct()
+    gone = written(gone.select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")), "near-copies")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{key}`").cast("long").alias("id"), text_hash(text).alias("th"))
+    left = rows.join(gone, (F.col("id") == F.col("gone_id")) & (F.col("th") == F.col("gone_th")), "left_anti")
+    alike = F.row_number().over(Window.partitionBy("id", "th").orderBy("id"))
+    return left.withColumn("_n", alike).where("_n = 1 or id is null").select("row.*")

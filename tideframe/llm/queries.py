@@ -59,7 +59,7 @@ def op6_mixing_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).drop("th")
 
 
 def op8_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
