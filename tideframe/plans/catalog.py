@@ -1,11 +1,479 @@
-"""The registered queries over the reference tables and their SQL."""
+"""The registered queries over the driver's tables, and the SQL that they are held against.
+
+The events table plays three streams: clicks are orders, purchases are payments (paid from a value of 5 on), views are
+shipments; user_id is the key and event_id the order of arrival.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tideframe.functions.timeutil import ticks
+from tideframe.operators import adaptive, content, elastic, interval, metrics, relational, report, windows
+
+HOUR, DAY = 3600, 86400
+U, V, G = 48 * HOUR, 24 * HOUR, 12 * HOUR
+NAMES = elastic.Streams("o_user", "o_id", "o_ts", "p_user", "p_id", "p_ts", "s_user", "s_id", "s_ts")
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def events(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/events.parquet")
+
+
+def streams(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    e = events(spark, d)
+    one = lambda kind, x, *more: e.where(F.col("event_type") == kind).select(F.col("user_id").alias(f"{x}_user"), F.col("event_id").alias(f"{x}_id"), F.col("ts").alias(f"{x}_ts"), *more)
+    return one("click", "o"), one("purchase", "p", "value"), one("view", "s")
+
+
+def lines(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    orders = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderdate")
+    items = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_shipdate")
+    return orders, items
+
+
+O = "(SELECT user_id AS o_user, event_id AS o_id, ts AS o_ts FROM events WHERE event_type = 'click')"  # noqa: E741
+P = "(SELECT user_id AS p_user, event_id AS p_id, ts AS p_ts FROM events WHERE event_type = 'purchase' AND value >= 5)"
+S = "(SELECT user_id AS s_user, event_id AS s_id, ts AS s_ts FROM events WHERE event_type = 'view')"
+PAIRED = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_id ORDER BY p_ts, p_id) AS n FROM {O} o JOIN {P} p ON o_user = p_user AND p_ts BETWEEN o_ts AND o_ts + INTERVAL 36 HOUR) WHERE n = 1"
+
+
+def paid() -> F.Column:
+    return F.col("value") >= 5
+
+
+# --- elastic joins ---------------------------------------------------------------------------------------------------
+
+ELASTIC = f"WITH paid AS ({PAIRED}) SELECT o_id, p_id, s_id, greatest(o_ts, p_ts, s_ts) AS out_ts FROM paid JOIN {S} s ON o_user = s_user AND s_ts BETWEEN o_ts AND o_ts + INTERVAL 48 HOUR"
+
+
+@query(ELASTIC)
+def elastic_validation(spark: SparkSession, d: str) -> DataFrame:
+    return elastic.elastic_validation(*streams(spark, d), U, V, G, paid(), NAMES).select("o_id", "p_id", "s_id", "out_ts")
+
+
+@query(
+    f"""WITH paid AS ({PAIRED}), sent AS (SELECT o_id, count(*) AS n FROM {O} o JOIN {S} s ON o_user = s_user AND s_ts BETWEEN o_ts AND o_ts + INTERVAL 48 HOUR GROUP BY o_id), n AS (SELECT max(ts) AS now FROM events)
+SELECT o.o_id, coalesce(sent.n, 0)::BIGINT AS n_shipments, CASE WHEN paid.o_id IS NOT NULL AND sent.n IS NOT NULL THEN 'VALID' WHEN paid.o_id IS NULL AND now > o.o_ts + INTERVAL 36 HOUR THEN 'INVALID' WHEN paid.o_id IS NOT NULL AND now > o.o_ts + INTERVAL 48 HOUR THEN 'NO_CONTENT' ELSE 'PENDING' END AS status
+FROM {O} o LEFT JOIN paid ON paid.o_id = o.o_id LEFT JOIN sent ON sent.o_id = o.o_id, n"""
+)
+def elastic_status(spark: SparkSession, d: str) -> DataFrame:
+    now = events(spark, d).agg(F.max(ticks(events(spark, d), "ts"))).first()[0]
+    return elastic.elastic_status(*streams(spark, d), U, V, G, F.lit(now), paid(), NAMES)
+
+
+@query(
+    f"""WITH pairs AS (SELECT *, row_number() OVER (PARTITION BY o_id ORDER BY p_id) AS n FROM {O} o JOIN {P} p ON o_user = p_user AND p_ts BETWEEN o_ts AND o_ts + INTERVAL 36 HOUR), j AS (SELECT * FROM pairs JOIN {S} s ON n = 1 AND o_user = s_user AND s_ts BETWEEN o_ts AND o_ts + INTERVAL 48 HOUR), f AS (SELECT *, greatest(o_id, p_id, min(s_id) OVER (PARTITION BY o_id)) AS final_seq FROM j)
+SELECT o_id, p_id, s_id, final_seq FROM f WHERE s_id <= final_seq"""
+)
+def elastic_arrival(spark: SparkSession, d: str) -> DataFrame:
+    return elastic.elastic_arrival(*streams(spark, d), U, V, G, ("o_id", "p_id", "s_id"), paid(), NAMES).select("o_id", "p_id", "s_id", F.col("_final_seq").alias("final_seq"))
+
+
+def windowing(anchor: str, hours: int) -> str:
+    return f"WITH paid AS ({PAIRED}) SELECT o_id, p_id, s_id, greatest(o_ts, p_ts, s_ts) AS out_ts FROM paid JOIN {S} s ON o_user = s_user AND s_ts BETWEEN {anchor} AND {anchor} + INTERVAL {hours} HOUR"
+
+
+@query(windowing("o_ts", 48))
+def elastic_windowing_fixed(spark: SparkSession, d: str) -> DataFrame:
+    return elastic.elastic_windowing(*streams(spark, d), U, V, G, "fixed", 0, paid(), NAMES).select("o_id", "p_id", "s_id", "out_ts")
+
+
+@query(windowing("p_ts", 48))
+def elastic_windowing_elastic(spark: SparkSession, d: str) -> DataFrame:
+    return elastic.elastic_windowing(*streams(spark, d), U, V, G, "elastic", 0, paid(), NAMES).select("o_id", "p_id", "s_id", "out_ts")
+
+
+@query(windowing("o_ts", 60))
+def elastic_windowing_extended(spark: SparkSession, d: str) -> DataFrame:
+    return elastic.elastic_windowing(*streams(spark, d), U, V, G, "extended", 12 * HOUR, paid(), NAMES).select("o_id", "p_id", "s_id", "out_ts")
+
+
+@query(f"SELECT o_id, p_id, s_id FROM {O} o JOIN {P} p ON o_user = p_user AND p_ts BETWEEN o_ts AND o_ts + INTERVAL 24 HOUR JOIN {S} s ON o_user = s_user AND s_ts BETWEEN o_ts AND o_ts + INTERVAL 24 HOUR")
+def three_way_interval(spark: SparkSession, d: str) -> DataFrame:
+    return elastic.three_way(*streams(spark, d), 0, DAY, paid(), NAMES).select("o_id", "p_id", "s_id")
+
+
+LAST = f"last AS (SELECT p_user, max(p_ts) AS p_ts, arg_max(p_id, p_ts) AS p_id FROM {P} p GROUP BY p_user)"
+
+
+@query(f"WITH {LAST} SELECT o_id, p_id, s_id FROM {O} o JOIN last ON o_user = p_user AND p_ts BETWEEN o_ts AND o_ts + INTERVAL 24 HOUR JOIN {S} s ON o_user = s_user AND s_ts BETWEEN o_ts AND o_ts + INTERVAL 48 HOUR")
+def validated_join_strict(spark: SparkSession, d: str) -> DataFrame:
+    o, p, s = streams(spark, d)
+    valid = elastic.validated_orders(o, p, V, True, paid(), NAMES)
+    return interval.interval_join(valid, s, "o_ts", "s_ts", 0, U, [("o_user", "s_user")]).select("o_id", "p_id", "s_id")
+
+
+@query(f"WITH {LAST} SELECT o_id, p_id FROM {O} o JOIN last ON o_user = p_user")
+def validated_join_relaxed(spark: SparkSession, d: str) -> DataFrame:
+    o, p, _ = streams(spark, d)
+    return elastic.validated_orders(o, p, V, False, paid(), NAMES).select("o_id", "p_id")
+
+
+@query(
+    f"""WITH paid AS (SELECT *, row_number() OVER (PARTITION BY o_id ORDER BY p_id DESC) AS n FROM {O} o JOIN {P} p ON o_user = p_user AND p_ts BETWEEN o_ts - INTERVAL 24 HOUR AND o_ts AND p_id < o_id)
+SELECT o_id, p_id, s_id FROM paid JOIN {S} s ON n = 1 AND o_user = s_user AND s_ts BETWEEN o_ts - INTERVAL 48 HOUR AND o_ts AND s_id < o_id"""
+)
+def static_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """Events arrive in time order here, so what arrived before an order lies in its past."""
+    o, p, s = streams(spark, d)
+    pairs = interval.interval_join(o, p.where(paid()), "o_ts", "p_ts", -V, 0, [("o_user", "p_user")], condition=F.col("p_id") < F.col("o_id"))
+    first = interval.first_match(pairs, ["o_id"], [F.col("p_id").desc()])
+    return interval.interval_join(first, s, "o_ts", "s_ts", -U, 0, [("o_user", "s_user")], condition=F.col("s_id") < F.col("o_id")).select("o_id", "p_id", "s_id")
+
+
+# --- interval joins --------------------------------------------------------------------------------------------------
+
+KEYED = [("o_orderkey", "l_orderkey")]
+LINE = "SELECT o_orderkey, l_linenumber::BIGINT AS l_linenumber, o_orderdate, l_shipdate FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND "
+
+
+def shipped(spark: SparkSession, d: str, lower: float, upper: float, **more: object) -> DataFrame:
+    return interval.interval_join(*lines(spark, d), "o_orderdate", "l_shipdate", lower, upper, KEYED, **more).select("o_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "o_orderdate", "l_shipdate")
+
+
+@query(LINE + "l_shipdate BETWEEN o_orderdate AND o_orderdate + INTERVAL 30 DAY")
+def interval_join_inclusive(spark: SparkSession, d: str) -> DataFrame:
+    return shipped(spark, d, 0, 30 * DAY)
+
+
+@query(LINE + "l_shipdate > o_orderdate AND l_shipdate < o_orderdate + INTERVAL 30 DAY")
+def interval_join_exclusive(spark: SparkSession, d: str) -> DataFrame:
+    return shipped(spark, d, 0, 30 * DAY, lower_inclusive=False, upper_inclusive=False)
+
+
+@query(LINE + "l_shipdate BETWEEN o_orderdate - INTERVAL 20 DAY AND o_orderdate + INTERVAL 5 DAY")
+def interval_join_negative_lower(spark: SparkSession, d: str) -> DataFrame:
+    return shipped(spark, d, -20 * DAY, 5 * DAY)
+
+
+@query(f"SELECT o_id, s_id FROM {O} o JOIN {S} s ON s_ts BETWEEN o_ts - INTERVAL 10 MINUTE AND o_ts + INTERVAL 20 MINUTE AND o_user <> s_user")
+def interval_join_theta(spark: SparkSession, d: str) -> DataFrame:
+    o, _, s = streams(spark, d)
+    return interval.interval_join(o, s, "o_ts", "s_ts", -600, 1200, condition=F.col("o_user") != F.col("s_user")).select("o_id", "s_id")
+
+
+ON_30 = "o_orderkey = l_orderkey AND l_shipdate BETWEEN o_orderdate AND o_orderdate + INTERVAL 30 DAY"
+
+
+@query(f"SELECT o_orderkey, o_orderdate, l_linenumber::BIGINT AS l_linenumber, l_shipdate FROM orders LEFT JOIN lineitem ON {ON_30}")
+def keyed_interval_left_outer(spark: SparkSession, d: str) -> DataFrame:
+    return interval.interval_join(*lines(spark, d), "o_orderdate", "l_shipdate", 0, 30 * DAY, KEYED, "left").select("o_orderkey", "o_orderdate", F.col("l_linenumber").cast("long").alias("l_linenumber"), "l_shipdate")
+
+
+@query(f"SELECT o_orderkey, o_orderdate FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE {ON_30})")
+def keyed_interval_semi(spark: SparkSession, d: str) -> DataFrame:
+    return interval.interval_join(*lines(spark, d), "o_orderdate", "l_shipdate", 0, 30 * DAY, KEYED, "left_semi")
+
+
+@query(f"SELECT o_orderkey, o_orderdate FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE {ON_30})")
+def keyed_interval_anti(spark: SparkSession, d: str) -> DataFrame:
+    return interval.interval_join(*lines(spark, d), "o_orderdate", "l_shipdate", 0, 30 * DAY, KEYED, "left_anti")
+
+
+GRACE = "o_user = s_user AND s_ts < o_ts + INTERVAL 6 HOUR AND s_ts >= o_ts - INTERVAL 2 HOUR"
+
+
+def graced(spark: SparkSession, d: str, **more: object) -> DataFrame:
+    o, _, s = streams(spark, d)
+    return interval.dynamic_join(o, s, "o_ts", "s_ts", 6 * HOUR, [("o_user", "s_user")], lookback=2 * HOUR, **more).select("o_id", "s_id")
+
+
+@query(f"SELECT o_id, s_id FROM {O} o LEFT JOIN {S} s ON {GRACE}")
+def dynamic_grace_batch(spark: SparkSession, d: str) -> DataFrame:
+    return graced(spark, d)
+
+
+@query(f"SELECT o_id, s_id FROM {O} o JOIN {S} s ON {GRACE}")
+def dynamic_grace_incremental(spark: SparkSession, d: str) -> DataFrame:
+    return graced(spark, d, mode="incremental")
+
+
+@query(f"SELECT o_id, s_id FROM (SELECT *, row_number() OVER (PARTITION BY o_id ORDER BY s_ts, s_id) AS n FROM {O} o LEFT JOIN {S} s ON {GRACE}) WHERE n = 1")
+def dynamic_grace_first_match(spark: SparkSession, d: str) -> DataFrame:
+    return graced(spark, d, first=True, probe_id=["o_id"], build_order=["s_id"])
+
+
+def windowed(size: int, slide: int) -> str:
+    n = size // slide
+    starts = lambda t: f"unnest(list_transform(range(0, {n}), lambda i: epoch({t})::BIGINT // {slide} - i)) AS w"
+    return f"SELECT o_id, s_id, make_timestamp(w * {slide} * 1000000) AS w_start FROM (SELECT *, {starts('o_ts')} FROM {O}) o JOIN (SELECT *, {starts('s_ts')} FROM {S}) s USING (w) WHERE o_user = s_user"
+
+
+def joined_windows(spark: SparkSession, d: str, size: int, slide: int) -> DataFrame:
+    o, _, s = streams(spark, d)
+    return interval.window_join(o, s, "o_ts", "s_ts", size, slide, [("o_user", "s_user")]).select("o_id", "s_id", "w_start")
+
+
+@query(windowed(6 * HOUR, 6 * HOUR))
+def window_join_tumbling(spark: SparkSession, d: str) -> DataFrame:
+    return joined_windows(spark, d, 6 * HOUR, 6 * HOUR)
+
+
+@query(windowed(12 * HOUR, 4 * HOUR))
+def window_join_sliding(spark: SparkSession, d: str) -> DataFrame:
+    return joined_windows(spark, d, 12 * HOUR, 4 * HOUR)
+
+
+# --- windows ---------------------------------------------------------------------------------------------------------
+
+
+def closes(width: int, slide: int) -> str:
+    us = 1_000_000
+    return f"(SELECT *, make_timestamp(k * {slide * us} - {width * us}) AS w_open, make_timestamp(k * {slide * us}) AS w_close FROM (SELECT *, unnest(range(epoch_us(ts) // {slide * us} + 1, (epoch_us(ts) + {width * us}) // {slide * us} + 1)) AS k FROM events))"
+
+
+def hop_count(spark: SparkSession, d: str, width: int, slide: int) -> DataFrame:
+    return windows.hopping(events(spark, d), "ts", width, slide).groupBy("w_open", "w_close", "event_type").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT w_open, w_close, event_type, count(*) AS n FROM {closes(HOUR, HOUR)} GROUP BY ALL")
+def tumbling_count(spark: SparkSession, d: str) -> DataFrame:
+    return hop_count(spark, d, HOUR, HOUR)
+
+
+@query(f"SELECT w_open, w_close, event_type, count(*) AS n FROM {closes(3 * HOUR, 2 * HOUR)} GROUP BY ALL")
+def hopping_all(spark: SparkSession, d: str) -> DataFrame:
+    return hop_count(spark, d, 3 * HOUR, 2 * HOUR)
+
+
+@query(f"SELECT w_open, w_close, event_type, count(*) AS n FROM {closes(HOUR, 5 * HOUR)} GROUP BY ALL")
+def hopping_gaps(spark: SparkSession, d: str) -> DataFrame:
+    return hop_count(spark, d, HOUR, 5 * HOUR)
+
+
+LATEST = """WITH t AS (SELECT DISTINCT epoch_us(ts) AS t FROM events), p AS (SELECT t, lag(t) OVER (ORDER BY t) AS p FROM t),
+c AS (SELECT t, p, least(((t + 1199999999) // 1200000000 - 1) * 1200000000, greatest((p + 1199999999) // 1200000000 * 1200000000, (p + 1800000000) // 1200000000 * 1200000000)) AS c FROM p WHERE p IS NOT NULL),
+w AS (SELECT make_timestamp(t) AS eval_ts, make_timestamp(c - 1800000000) AS w_open, make_timestamp(c) AS w_close FROM c WHERE c >= p)
+SELECT eval_ts, w_open, w_close, (SELECT count(*) FROM events WHERE ts >= w_open AND ts < w_close) AS n FROM w"""
+
+
+@query(LATEST)
+def hopping_latest(spark: SparkSession, d: str) -> DataFrame:
+    e = events(spark, d)
+    reported = windows.hopping_latest(e, "ts", 1800, 1200)
+    return windows.content_of(reported, e, "ts", F.count("*").alias("n")).select("eval_ts", "w_open", "w_close", content.empty(F.col("n"), F.lit(0)).alias("n"))
+
+
+@query("SELECT event_id, count(*) OVER w AS n, max(value) OVER w AS top FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW)")
+def sliding_range_agg(spark: SparkSession, d: str) -> DataFrame:
+    e = events(spark, d)
+    w = windows.sliding("ts", 6 * HOUR, e, "user_id")
+    return e.select("event_id", F.count("*").over(w).alias("n"), F.max("value").over(w).alias("top"))
+
+
+def islands(edge: str) -> str:
+    return f"SELECT user_id, frame, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM (SELECT *, sum(CASE WHEN {edge} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS frame FROM (SELECT *, lag(ts) OVER v AS lag_ts, lag(value) OVER v AS lag_value FROM events WINDOW v AS (PARTITION BY user_id ORDER BY event_id))) GROUP BY ALL"
+
+
+def framed(df: DataFrame) -> DataFrame:
+    return df.groupBy("user_id", "frame").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
+
+
+@query(islands("value > 90"))
+def frame_threshold(spark: SparkSession, d: str) -> DataFrame:
+    return framed(windows.frames(events(spark, d), F.col("value") > 90, ["event_id"], ["user_id"]))
+
+
+@query(islands("abs(value - lag_value) > 50"))
+def frame_delta(spark: SparkSession, d: str) -> DataFrame:
+    return framed(windows.delta_frames(events(spark, d), "value", 50, ["event_id"], ["user_id"]))
+
+
+@query(islands("epoch_us(ts) - epoch_us(lag_ts) > 43200000000"))
+def session_gap(spark: SparkSession, d: str) -> DataFrame:
+    return framed(windows.session_frames(events(spark, d), "ts", 12 * HOUR, ["event_id"], ["user_id"]))
+
+
+@query("SELECT user_id, frame, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 10 AS frame FROM events) GROUP BY ALL")
+def frame_count(spark: SparkSession, d: str) -> DataFrame:
+    return framed(windows.count_frames(events(spark, d), 10, ["event_id"], ["user_id"]))
+
+
+@query()
+def frame_stateful(spark: SparkSession, d: str) -> DataFrame:
+    """Frames that close once their values sum to over 100."""
+    e = events(spark, d).select("event_id", "user_id", "value")
+    out = windows.stateful_frames(e, "event_id long, user_id long, value double", float, lambda s, r: s + (r["value"] if r["value"] == r["value"] else 0.0), lambda s: s > 100, ["event_id"], ["user_id"])
+    return framed(out)
+
+
+# --- contents, reports, streams --------------------------------------------------------------------------------------
+
+DAILY = closes(DAY, DAY)
+
+
+def daily(spark: SparkSession, d: str) -> DataFrame:
+    return windows.hopping(events(spark, d), "ts", DAY, DAY)
+
+
+@query(f"SELECT w_close, count(value) FILTER (event_type = 'purchase') AS n, max(value) FILTER (event_type = 'purchase') AS top FROM {DAILY} GROUP BY ALL")
+def content_filter(spark: SparkSession, d: str) -> DataFrame:
+    keep = F.col("event_type") == "purchase"
+    return daily(spark, d).groupBy("w_close").agg(content.filtered(F.count, F.col("value"), keep).alias("n"), content.filtered(F.max, F.col("value"), keep).alias("top"))
+
+
+@query(f"SELECT w_close, user_id, arg_min(event_type, event_id) AS first_type, min(event_id) AS first_id FROM {DAILY} GROUP BY w_close, user_id")
+def content_first(spark: SparkSession, d: str) -> DataFrame:
+    return daily(spark, d).groupBy("w_close", "user_id").agg(content.first("event_type", "event_id").alias("first_type"), F.min("event_id").alias("first_id"))
+
+
+@query(f"SELECT w_close, user_id, arg_max(event_type, event_id) AS last_type, max(event_id) AS last_id FROM {DAILY} GROUP BY w_close, user_id")
+def content_last(spark: SparkSession, d: str) -> DataFrame:
+    return daily(spark, d).groupBy("w_close", "user_id").agg(content.last("event_type", "event_id").alias("last_type"), F.max("event_id").alias("last_id"))
+
+
+@query(f"SELECT w_close, count(DISTINCT user_id) AS n_keys, count(*) AS n FROM {DAILY} GROUP BY w_close")
+def content_keyed(spark: SparkSession, d: str) -> DataFrame:
+    by_key = daily(spark, d).groupBy("w_close", "user_id").agg(F.count("*").alias("n"))
+    return by_key.groupBy("w_close").agg(F.count("*").alias("n_keys"), F.sum("n").alias("n"))
+
+
+@query(f"SELECT w_close, median(event_id) AS middle, max(event_id) - min(event_id) AS reach FROM {DAILY} GROUP BY w_close")
+def content_aggregate(spark: SparkSession, d: str) -> DataFrame:
+    return daily(spark, d).groupBy("w_close").agg(F.percentile("event_id", F.lit(0.5)).alias("middle"), (F.max("event_id") - F.min("event_id")).alias("reach"))
+
+
+@query(f"SELECT w_close, user_id, string_agg(event_type, ',' ORDER BY event_id) AS types FROM {DAILY} GROUP BY w_close, user_id")
+def content_accumulate(spark: SparkSession, d: str) -> DataFrame:
+    return daily(spark, d).groupBy("w_close", "user_id").agg(F.array_join(content.accumulated("event_type", "event_id"), ",").alias("types"))
+
+
+@query(f"SELECT w_close, user_id, count(*) AS n FROM {DAILY} WHERE w_close < (SELECT max(ts) FROM events) GROUP BY w_close, user_id HAVING count(*) > 0")
+def report_close_nonempty(spark: SparkSession, d: str) -> DataFrame:
+    now = events(spark, d).agg(F.max("ts")).first()[0]
+    counted = daily(spark, d).groupBy("w_close", "user_id").agg(F.count("*").alias("n")).withColumn("eval_ts", F.lit(now).cast("timestamp_ntz"))
+    return counted.where(report.all_of(report.on_window_close(), report.non_empty())).drop("eval_ts")
+
+
+@query(f"SELECT w_close, user_id, n FROM (SELECT *, lag(n) OVER (PARTITION BY user_id ORDER BY w_close) AS p FROM (SELECT w_close, user_id, count(*) AS n FROM {DAILY} GROUP BY w_close, user_id)) WHERE p IS NULL OR n <> p")
+def report_on_change(spark: SparkSession, d: str) -> DataFrame:
+    counted = daily(spark, d).groupBy("w_close", "user_id").agg(F.count("*").alias("n"))
+    return report.on_content_change(counted, "n", ["w_close"], ["user_id"])
+
+
+@query("SELECT event_id, ts FROM events WHERE (epoch_us(ts) // 1000000) % 3 = 0")
+def report_periodic(spark: SparkSession, d: str) -> DataFrame:
+    e = events(spark, d)
+    return e.where(report.periodic(F.floor(ticks(e, "ts") / 1_000_000), 3)).select("event_id", "ts")
+
+
+@query("SELECT ts AS eval_ts, count(*) AS duplicates FROM events GROUP BY ts")
+def tick_time(spark: SparkSession, d: str) -> DataFrame:
+    return report.time_ticks(events(spark, d), "ts")
+
+
+@query("SELECT event_id, ts AS eval_ts FROM events WHERE (event_id + 1) % 7 = 0")
+def tick_batch(spark: SparkSession, d: str) -> DataFrame:
+    return report.batch_ticks(events(spark, d).withColumn("seq", F.col("event_id") + 1), "ts", 7, "seq").select("event_id", "eval_ts")
+
+
+@query(
+    """SELECT event_id, CASE WHEN ts < mark THEN event_type || '-late' ELSE 'on-time' END AS tag FROM (SELECT *, max(ts) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 10 MINUTE AS mark
+FROM (SELECT *, event_id + CASE WHEN event_id % 5 = 0 THEN 7 ELSE 0 END + event_id * 0.0001 AS seq FROM events))"""
+)
+def late_side_output(spark: SparkSession, d: str) -> DataFrame:
+    """Every fifth event arrives seven places late."""
+    e = events(spark, d).withColumn("seq", (F.col("event_id") + F.when(F.col("event_id") % 5 == 0, 7).otherwise(0) + F.col("event_id") * F.lit(0.0001).cast("decimal(4,4)")).cast("decimal(38,4)"))
+    return interval.with_lateness(e, "ts", "seq", 600, F.col("event_type")).select("event_id", F.col("_tag").alias("tag"))
+
+
+def snapshot(spark: SparkSession, d: str, instant: str) -> DataFrame:
+    """Users by their number of events in the day before an instant."""
+    e = events(spark, d)
+    t = F.lit(instant).cast("timestamp_ntz")
+    return relational.at(e, "ts", t).where(F.col("ts") > t - F.expr("INTERVAL 24 HOUR")).groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+def snap(instant: str) -> str:
+    return f"SELECT user_id, count(*) AS n FROM events WHERE ts <= TIMESTAMP '{instant}' AND ts > TIMESTAMP '{instant}' - INTERVAL 24 HOUR GROUP BY user_id"
+
+
+T1, T2 = "2024-01-10 00:00:00", "2024-01-10 06:00:00"
+
+
+@query(snap(T2))
+def rstream(spark: SparkSession, d: str) -> DataFrame:
+    return relational.rstream(snapshot(spark, d, T2))
+
+
+@query(f"({snap(T2)}) EXCEPT ALL ({snap(T1)})")
+def istream(spark: SparkSession, d: str) -> DataFrame:
+    return relational.istream(snapshot(spark, d, T2), snapshot(spark, d, T1))
+
+
+@query(f"({snap(T1)}) EXCEPT ALL ({snap(T2)})")
+def dstream(spark: SparkSession, d: str) -> DataFrame:
+    return relational.dstream(snapshot(spark, d, T2), snapshot(spark, d, T1))
+
+
+@query("SELECT a.event_id AS x, b.event_type AS kind FROM events a JOIN (SELECT DISTINCT user_id, event_type FROM events) b ON a.user_id = b.user_id WHERE a.event_type = 'error'")
+def graph_pattern(spark: SparkSession, d: str) -> DataFrame:
+    """Triples (event, by, user) and (user, did, type): which types of events do the users of error events have?"""
+    e = events(spark, d)
+    by = e.where("event_type = 'error'").select(F.concat(F.lit("e"), "event_id").alias("s"), F.lit("by").alias("p"), F.concat(F.lit("u"), "user_id").alias("o"))
+    did = e.select(F.concat(F.lit("u"), "user_id").alias("s"), F.lit("did").alias("p"), F.col("event_type").alias("o")).distinct()
+    found = relational.basic_graph_pattern(by.unionByName(did), [("?x", "by", "?u"), ("?u", "did", "?kind")])
+    return found.select(F.substring("x", 2, 20).cast("long").alias("x"), "kind")
+
+
+@query(
+    f"""WITH truth AS (SELECT DISTINCT o_id, s_id FROM ({ELASTIC})), found AS (SELECT o_id, s_id, s_ts, o_ts FROM {O} o JOIN {S} s ON o_user = s_user AND s_ts BETWEEN o_ts AND o_ts + INTERVAL 24 HOUR),
+m AS (SELECT f.o_id IS NOT NULL AND t.o_id IS NOT NULL AS hit, f.o_id IS NULL AS missed, epoch_us(s_ts) - epoch_us(o_ts) AS lat FROM found f FULL JOIN truth t ON f.o_id = t.o_id AND f.s_id = t.s_id),
+c AS (SELECT count(*) FILTER (hit) AS tp, count(*) FILTER (NOT hit AND NOT missed) AS fp, count(*) FILTER (missed) AS fn, quantile_cont(lat, 0.5) FILTER (hit) AS lat_median, quantile_cont(lat, 0.95) FILTER (hit) AS lat_p95 FROM m)
+SELECT tp, fp, fn, round(tp / (tp + fp), 6) AS "precision", round(tp / (tp + fn), 6) AS recall, round(lat_median, 1) AS lat_median, round(lat_p95, 1) AS lat_p95 FROM c"""
+)
+def eval_metrics(spark: SparkSession, d: str) -> DataFrame:
+    o, _, s = streams(spark, d)
+    truth = elastic_validation(spark, d).select("o_id", "s_id").distinct()
+    found = interval.interval_join(o, s, "o_ts", "s_ts", 0, DAY, [("o_user", "s_user")])
+    found = found.select("o_id", "s_id", (ticks(found, "s_ts") - ticks(found, "o_ts")).alias("lat"))
+    one = metrics.evaluate(found, truth, ["o_id", "s_id"], "lat")
+    return one.select("tp", "fp", "fn", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), F.round("lat_median", 1).alias("lat_median"), F.round("lat_p95", 1).alias("lat_p95"))
+
+
+def two_sides(spark: SparkSession, d: str) -> DataFrame:
+    e = events(spark, d).where("event_type in ('click', 'purchase')")
+    return e.select(F.col("user_id").alias("key"), F.when(F.col("event_type") == "click", "L").otherwise("R").alias("side"), F.floor(ticks(e, "ts") / 60_000_000).alias("t"), F.col("event_id").cast("string").alias("event"), F.col("event_id").alias("_seq"))
+
+
+BOUNDS = {"alpha0": 120, "beta0": 60, "delta": 120, "alpha_max": 720, "beta_max": 480}
+
+
+@query()
+def expanding_join(spark: SparkSession, d: str) -> DataFrame:
+    return adaptive.pairs(adaptive.adaptive_join(two_sides(spark, d), adaptive.Bounds(**BOUNDS)))
+
+
+@query()
+def expand_shrink_join(spark: SparkSession, d: str) -> DataFrame:
+    return adaptive.pairs(adaptive.adaptive_join(two_sides(spark, d), adaptive.Bounds(**BOUNDS, mode="expand_shrink")))
+
+
+@query()
+def adaptation_log(spark: SparkSession, d: str) -> DataFrame:
+    return adaptive.adaptations(adaptive.adaptive_join(two_sides(spark, d), adaptive.Bounds(**BOUNDS)))
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
