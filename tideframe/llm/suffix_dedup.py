@@ -5,7 +5,8 @@ Every byte goes that a string of `length` bytes covers which starts anywhere els
 All windows of `length` bytes are dealt into ranges: consecutive windows with one least hash of their GRAM-byte strings, the
 anchor. Equal windows have equal anchors, so only ranges whose anchor occurs twice matter. Such ranges take the place of
 text that is equal as a whole: one that occurs twice is repeated throughout. What is left, the ranges at the rims of
-repeats, is sorted in shards, one for each anchor with its different ranges: induced sorting makes the shard's suffix array,
+repeats, is sorted in shards, one for each anchor with its different ranges, which all hold the anchor's string once; it is one symbol
+there (unless a range holds it twice). Induced sorting makes the shard's suffix array,
 the permuted common prefixes with each suffix's neighbour follow from it, and those of `length` or more are repeats. A range
 goes there only if one of three strings of length - SLACK bytes around its anchor, one of which every window of it holds,
 occurs twice. A shard of more than SHARD_BYTES is not sorted in one task: the hashes of its windows are counted instead.
@@ -21,6 +22,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -30,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_written, written
+from .common import rows as rows_of
 
 LENGTH = 400
 GRAM = 256  # a power of two
@@ -126,21 +130,29 @@ def permuted_prefixes(text: list[int], order: list[int]) -> tuple[list[int], lis
     return found, before
 
 
-def repeated_starts(texts: list[bytes], length: int) -> list[np.ndarray]:
-    """For each text, the starts of its strings of that length that start elsewhere in these texts too."""
+def repeated_starts(texts: list[bytes], length: int, shared: list[int] | None = None, size: int = GRAM) -> list[np.ndarray]:
+    """For each text, the starts of its strings of that length that start elsewhere in these texts too.
+
+    shared: where in each text one string of `size` bytes lies that all texts hold, each once, and that all strings asked
+    for hold. It is one symbol then, as a name stands for a substring, and starts behind it aren't told.
+    """
     m = len(texts)
     joined: list[int] = []
     for k, t in enumerate(texts):
-        joined += (np.frombuffer(t, np.uint8).astype(np.int64) + m + 1).tolist()
+        symbols = (np.frombuffer(t, np.uint8).astype(np.int64) + m + 1).tolist()
+        if shared is not None:
+            symbols[shared[k] : shared[k] + size] = [m + 257]
+        joined += symbols
         joined.append(k + 1)
     joined.append(0)
-    prefixes, before = permuted_prefixes(joined, suffix_array(joined, m + 257))
+    prefixes, before = permuted_prefixes(joined, suffix_array(joined, m + 258))
+    less = 0 if shared is None else size - 1
     p, b = np.array(prefixes), np.array(before)
-    long = p >= length
+    long = p >= length - less
     hit = long.copy()
     hit[b[long]] = True
-    cuts = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    return [np.flatnonzero(hit[cuts[k] : cuts[k] + len(t)]) for k, t in enumerate(texts)]
+    cuts = np.cumsum([0, *(len(t) - less + 1 for t in texts)])
+    return [np.flatnonzero(hit[cuts[k] : cuts[k + 1] - 1]) for k in range(m)]
 
 
 # --- ranges ----------------------------------------------------------------------------------------------------------
@@ -198,7 +210,7 @@ def ranges(texts: list[bytes], length: int) -> dict[str, np.ndarray]:
     whole = mixed(h[s] * MULTIPLIER + h[(s + end) // 2]) * MULTIPLIER + h[end] + (e - s).astype(np.uint64)
     for i in np.flatnonzero(again):
         whole[i] = xxhash.xxh3_64_intdigest(data[s[i] : e[i] + length])
-    out = {"text": text, "s": s - begin[text], "e": e - begin[text], "anchor": anchor, "whole": whole, "again": again}
+    out = {"text": text, "s": s - begin[text], "e": e - begin[text], "p": p - begin[text], "anchor": anchor, "whole": whole, "again": again}
     inner = length - SLACK
     for j in range(3):
         x = p - SLACK * j
@@ -224,7 +236,7 @@ def runs(starts: np.ndarray, length: int) -> np.ndarray:
 
 # --- DataFrames ------------------------------------------------------------------------------------------------------
 
-RANGE = "id long, th long, s int, e int, anchor long, whole long, c0 long, c1 long, c2 long, again boolean"
+RANGE = "id long, th long, s int, e int, p int, anchor long, whole long, c0 long, c1 long, c2 long, again boolean"
 
 
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -240,8 +252,8 @@ def found_ranges(rows: DataFrame, length: int) -> DataFrame:
         def told() -> pa.RecordBatch:
             r = ranges([t for _, _, t in held], length)
             ids, th = (pa.array([x[k] for x in held], pa.int64()).take(pa.array(r["text"])) for k in (0, 1))
-            cols = [ids, th, *(pa.array(r[c].astype(np.int32)) for c in "se"), *(pa.array(r[c].view(np.int64)) for c in ("anchor", "whole", "c0", "c1", "c2")), pa.array(r["again"])]
-            return pa.RecordBatch.from_arrays(cols, names=["id", "th", "s", "e", "anchor", "whole", "c0", "c1", "c2", "again"])
+            cols = [ids, th, *(pa.array(r[c].astype(np.int32)) for c in "sep"), *(pa.array(r[c].view(np.int64)) for c in ("anchor", "whole", "c0", "c1", "c2")), pa.array(r["again"])]
+            return pa.RecordBatch.from_arrays(cols, names=["id", "th", "s", "e", "p", "anchor", "whole", "c0", "c1", "c2", "again"])
 
         for b in batches:
             for i, h, t in zip(*b.columns, strict=True):
@@ -267,7 +279,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: st
     live = written(all_ranges.join(twice, F.col("anchor") == F.col("x")).drop("x", "n"), "repeat-candidates")
     drop_written(all_ranges)
     # equal ranges: repeated throughout if there are two
-    whole = live.groupBy(F.col("anchor").alias("wa"), F.col("whole").alias("ww")).agg(F.count("*").alias("copies"), F.min(F.struct("id", "th", "s", "e", "c0", "c1", "c2", "x_again")).alias("one"))
+    whole = live.groupBy(F.col("anchor").alias("wa"), F.col("whole").alias("ww")).agg(F.count("*").alias("copies"), F.min(F.struct("id", "th", "s", "e", "p", "c0", "c1", "c2", "x_again")).alias("one"))
     whole = written(whole, "repeat-wholes")
     sure = live.join(whole.where("copies > 1").select("wa", "ww"), (F.col("anchor") == F.col("wa")) & (F.col("whole") == F.col("ww")), "left_semi")
     sure = sure.select("id", "th", F.col("s").alias("a"), (F.col("e") + length).alias("b"))
@@ -275,11 +287,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: st
     parts = whole.select("wa", "ww", "copies", "one.*")
     inner = parts.select("wa", F.explode(F.array("c0", "c1", "c2")).alias("c")).where("c != 0").groupBy(F.col("wa").alias("ia"), F.col("c").alias("ic")).agg(F.count("*").alias("n")).where("n > 1").drop("n")
     asked = parts.withColumn("c", F.explode(F.array("c0", "c1", "c2"))).join(inner, (F.col("wa") == F.col("ia")) & (F.col("c") == F.col("ic")), "left")
-    asked = asked.groupBy("wa", "ww").agg(F.max(F.col("ic").isNotNull() | F.col("x_again")).alias("asked"), F.first(F.struct("copies", "id", "th", "s", "e")).alias("r")).where("asked").select("wa", "ww", "r.*")
+    asked = asked.groupBy("wa", "ww").agg(F.max(F.col("ic").isNotNull() | F.col("x_again")).alias("asked"), F.first(F.struct("copies", "id", "th", "s", "e", "p", "x_again")).alias("r")).where("asked").select("wa", "ww", "r.*")
     asked = written(asked, "repeat-asked")
     by_anchor = asked.groupBy(F.col("wa").alias("ga")).agg(F.sum(F.col("e") - F.col("s") + length).alias("size"), F.count_if(F.col("copies") == 1).alias("open")).where("open > 0")
-    chosen = asked.join(by_anchor, F.col("wa") == F.col("ga")).select("wa", "copies", "size", "id", "th", "s", "e")
-    by_text = chosen.groupBy(F.col("id").alias("ci"), F.col("th").alias("ct")).agg(F.collect_list(F.struct("wa", "copies", "size", "s", "e")).alias("cuts"))
+    chosen = asked.join(by_anchor, F.col("wa") == F.col("ga")).select("wa", "copies", "size", "id", "th", "s", "e", F.when(F.col("x_again"), -1).otherwise(F.col("p") - F.col("s")).alias("p"))
+    by_text = chosen.groupBy(F.col("id").alias("ci"), F.col("th").alias("ct")).agg(F.collect_list(F.struct("wa", "copies", "size", "s", "e", "p")).alias("cuts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -287,7 +299,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: st
             for i, h, t, cuts in zip(*b.columns, strict=True):
                 data, name = t.as_py().encode(), (i.as_py(), h.as_py())
                 for c in cuts.as_py():
-                    out.append((*name, c["wa"], c["copies"], c["size"], c["s"], data[c["s"] : c["e"] + length]))
+                    out.append((*name, c["wa"], c["copies"], c["size"], c["s"], c["p"], data[c["s"] : c["e"] + length]))
                     size += len(out[-1][-1])
                     if size >= BATCH_BYTES:
                         yield batch(out)
@@ -296,21 +308,33 @@ def repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: st
                 yield batch(out)
 
     def batch(out: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["id", "th", "wa", "copies", "size", "s", "data"])
+        kinds = [pa.int64()] * 5 + [pa.int32(), pa.int32(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["id", "th", "wa", "copies", "size", "s", "p", "data"])
 
-    contexts = rows.join(by_text, F.col("id").eqNullSafe(F.col("ci")) & (F.col("th") == F.col("ct"))).select("id", "th", "text", "cuts").mapInArrow(cut, "id long, th long, wa long, copies long, size long, s int, data binary")
+    contexts = rows.join(by_text, F.col("id").eqNullSafe(F.col("ci")) & (F.col("th") == F.col("ct"))).select("id", "th", "text", "cuts").mapInArrow(cut, "id long, th long, wa long, copies long, size long, s int, p int, data binary")
     contexts = written(contexts.dropDuplicates(["id", "th", "wa", "s"]), "repeat-contexts")
 
-    def shard(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        texts = [bytes(x) for x in pdf["data"]]
-        for (i, h, copies, s), hit in zip(pdf[["id", "th", "copies", "s"]].itertuples(index=False, name=None), repeated_starts(texts, length), strict=True):
-            if copies == 1:
-                out += [(i, h, s + a, s + b) for a, b in runs(hit, length).tolist()]
-        return pd.DataFrame(out, columns=["id", "th", "a", "b"]).astype({"id": "Int64", "th": "int64", "a": "int32", "b": "int32"})
-
-    sorted_out = contexts.where(F.col("size") <= SHARD_BYTES).groupBy("wa").applyInPandas(shard, "id long, th long, a int, b int")
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by anchor."""
+        found: list[tuple] = []
+        for _, group in groupby(rows_of(batches, "wa", "id", "th", "copies", "s", "p", "data"), itemgetter(0)):
+            held = list(group)
+            shared = None if min(r[5] for r in held) < 0 else [r[5] for r in held]
+            for (_, i, h, copies, s, _, _), hit in zip(held, repeated_starts([r[6] for r in held], length, shared), strict=True):
+                if copies == 1:
+                    found += [(i, h, s + a, s + b) for a, b in runs(hit, length).tolist()]
+            if len(found) >= 10_000:
+                yield told(found)
+                found = []
+        if found:
+            yield told(found)
+
+    def told(found: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=["id", "th", "a", "b"])
+
+    small = contexts.where(F.col("size") <= SHARD_BYTES).repartition("wa").sortWithinPartitions("wa")
+    sorted_out = small.mapInArrow(shards, "id long, th long, a int, b int")
     window = windows_of(contexts.where(F.col("size") > SHARD_BYTES), length)
     common = window.groupBy(F.col("h").alias("hh"), F.col("h2").alias("hh2")).agg(F.count("*").alias("n")).where("n > 1").drop("n")
     counted = window.where("copies = 1").join(common, (F.col("h") == F.col("hh")) & (F.col("h2") == F.col("hh2"))).select("id", "th", F.col("s").alias("a"), (F.col("s") + length).alias("b"))
