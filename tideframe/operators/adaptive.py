@@ -16,9 +16,11 @@ from __future__ import annotations
 
 import pickle
 from bisect import bisect_left, bisect_right, insort
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,6 +99,10 @@ class Fold:
 RESULT = "kind string, left_id string, right_id string, out_t long, side string, t long, old_alpha long, old_beta long, new_alpha long, new_beta long"
 
 
+NAMES = [c.split()[0] for c in RESULT.split(", ")]
+TYPES = [pa.int64() if c.endswith("long") else pa.string() for c in RESULT.split(", ")]
+
+
 def folded(fold: Fold, rows: list[tuple[str, int, str]]) -> list[tuple]:
     """Rows of RESULT of (side, t, event) rows in order: pairs, and adaptations of the bounds."""
     out = []
@@ -118,14 +124,22 @@ def adaptive_join(events: DataFrame, bounds: Bounds, key: str = "key", side: str
     kind = events.schema[key].dataType.simpleString()
     rows = events.select(F.col(key).alias("key"), F.col(side).alias("side"), F.col(time).cast("long").alias("t"), F.col(event).cast("string").alias("event"), F.col(seq).alias("seq")).dropna()
 
-    def fold(names: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["seq", "side", "t", "event"])
-        out = folded(Fold(bounds), list(pdf[["side", "t", "event"]].itertuples(index=False, name=None)))
-        found = pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")]).astype({c: "Int64" for c in ("out_t", "t", "old_alpha", "old_beta", "new_alpha", "new_beta")})
-        found.insert(0, "key", names[0])
-        return found
-
-    return rows.groupBy("key").applyInPandas(fold, f"key {kind}, {RESULT}")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by key and order, so that a key is folded as it streams by; only its buffers are held."""
+        now, state, keys, out = object(), None, [], []
+        for b in batches:
+            for k, side_, t, e in zip(*(c.to_pylist() for c in b.columns[:4]), strict=True):
+                if k != now:
+                    now, state = k, Fold(bounds)
+                found = folded(state, [(side_, t, e)])
+                keys += [k] * len(found)
+                out += found
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(keys, b.column(0).type), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), TYPES, strict=True))], names=["key", *NAMES])
+                keys, out = [], []
+
+    dealt = rows.repartition("key").sortWithinPartitions("key", "seq", "side", "t", "event")
+    return dealt.mapInArrow(fold, f"key {kind}, {RESULT}")
 
 
 def pairs(result: DataFrame) -> DataFrame:
