@@ -93,9 +93,9 @@ def measured(text: Column) -> Column:
 
 
 def features(df: DataFrame, text: str = "text") -> DataFrame:
-    """df and the columns FEATURES."""
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in FEATURES]
-    return df.select(*kept, measured(F.col(f"`{text}`")).alias("_m")).select(*[F.col(f"`{c}`") for c in df.columns if c not in FEATURES], *[F.col(f"_m.{n}").alias(n) for n in FEATURES])
+    """df and the columns FEATURES. They come from a generator of one row, below which no condition on them is pushed, so
+    that a text is measured once."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in FEATURES], F.inline(F.array(measured(F.col(f"`{text}`")))))
 
 
 def ratios() -> dict[str, Column]:
@@ -161,5 +161,5 @@ def good_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang", ke
     """The rows and columns of docs that quality_rules keeps; texts are read twice, so that they needn't be shuffled."""
     held = features(docs.select(key, stratum, text), text).drop(text)
     cutoffs = written(learn(held, labels, stratum, key), "quality-cutoffs")
-    measured_docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{stratum}`").alias("_by"), measured(F.col(f"`{text}`")).alias("_m"))
-    return judge(measured_docs.select("_row", "_by", "_m.*"), cutoffs, "_by").where("kept").select("_row.*")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{stratum}`").alias("_by"), F.col(f"`{text}`").alias("_text"))
+    return judge(features(rows, "_text").drop("_text"), cutoffs, "_by").where("kept").select("_row.*")
