@@ -23,12 +23,15 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPLIT), lambda w: w != "")
 
 
+OWN: dict[str, str] = {}  # folders of applications whose session names none, as in tests
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is set only where the session has none."""
+    """The folder that driver and executors share, from the session; a temporary one only where it names none."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = tempfile.mkdtemp(prefix="tideframe-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        app = spark.sparkContext.applicationId
+        where = OWN[app] = OWN.get(app) or tempfile.mkdtemp(prefix="tideframe-")
     return where.rstrip("/")
 
 

@@ -32,7 +32,7 @@ PREFIXES = (3, 4, 5, 6, 7)
 LEAST_TOXIC = 3  # toxic documents that must hold a word of the model
 SURE = 30.0  # least G-squared of a word of the model
 GRADES = 4
-L2 = 1e-3
+L2 = 2e-4
 
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 
@@ -56,8 +56,9 @@ class CumulativeLink:
 
     def __init__(self, n_features: int, n_grades: int):
         self.weights, self.thresholds = np.zeros(n_features), np.arange(n_grades - 1, dtype=float)
+        self.cut = 0.5  # chance of a grade over 0 from which on a document counts as toxic
 
-    def fit(self, x: np.ndarray, grade: np.ndarray, steps: int = 400, rate: float = 0.1, l2: float = L2) -> CumulativeLink:
+    def fit(self, x: np.ndarray, grade: np.ndarray, steps: int = 600, rate: float = 0.1, l2: float = L2) -> CumulativeLink:
         """Adam on the likelihood; thresholds stay ordered as the first and the logs of the gaps are learned."""
         k = len(self.thresholds)
         share = np.cumsum(np.bincount(grade, minlength=k + 1))[:k] / len(grade)
@@ -88,6 +89,16 @@ class CumulativeLink:
         """P(grade > k) for each threshold k."""
         return 1 - sigmoid(self.thresholds[None, :] - (x @ self.weights)[:, None])
 
+    def choose_cut(self, x: np.ndarray, grade: np.ndarray) -> CumulativeLink:
+        """The cut of best F1 on the rows, midway to the next score below, so that rare toxic rows count as well."""
+        p, y = self.at_least(x)[:, 0], grade > 0
+        order = np.argsort(-p, kind="stable")
+        hits, last = np.cumsum(y[order]), np.append(np.diff(p[order]) != 0, True)
+        f1 = np.where(last, 2 * hits / (np.arange(1, len(p) + 1) + y.sum()), -1)
+        best = int(np.argmax(f1))
+        self.cut = float((p[order][best] + (p[order][best + 1] if best + 1 < len(p) else 0.0)) / 2)
+        return self
+
     def severity(self, x: np.ndarray) -> np.ndarray:
         return self.at_least(x).sum(axis=1)
 
@@ -154,18 +165,18 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
         hits = np.expm1(x).sum(axis=1)
         edges = np.quantile(hits[y == 1], np.arange(1, GRADES - 1) / (GRADES - 1))
         y = np.where(y == 1, 1 + np.searchsorted(edges, hits, side="right"), 0)
-    return index, CumulativeLink(len(index), int(max(GRADES, y.max() + 1))).fit(x, y.astype(int))
+    return index, CumulativeLink(len(index), int(max(GRADES, y.max() + 1))).fit(x, y.astype(int)).choose_cut(x, y.astype(int))
 
 
 def toxicity(docs: DataFrame, index: dict[str, int], model: CumulativeLink, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key (long), severity (expected grade), p_toxic, grade (the likeliest by the median) and toxic of each document."""
+    """key (long), severity (expected grade), p_toxic, grade (the median one; at least 1 where toxic, else 0) and toxic of each document."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             over = np.zeros((b.num_rows, len(model.thresholds)))
             if index:
                 over = np.concatenate([model.at_least(counts(t.as_py(), index)[None, :]) for t in b.column(1)])
-            p = np.round(over, 9)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array((p >= 0.5).sum(axis=1).astype(np.int32)), pa.array(p[:, 0] >= 0.5)], names=[key, "severity", "p_toxic", "grade", "toxic"])
+            p, toxic = np.round(over, 9), over[:, 0] >= model.cut
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array(np.where(toxic, np.maximum(1, (p >= 0.5).sum(axis=1)), 0).astype(np.int32)), pa.array(toxic)], names=[key, "severity", "p_toxic", "grade", "toxic"])
 
     return docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("text")).mapInArrow(score, f"`{key}` long, severity double, p_toxic double, grade int, toxic boolean")
