@@ -26,6 +26,11 @@ def test_interval_join_is_exact(spark, lower, upper, li, ui):
     assert theta.count() == sum(1 for x in a for y in b if None not in (x[2], y[2]) and x[2] + lo <= y[2] <= x[2] + hi)
     kept = interval.interval_join(left, right, "lt", "rt", lower, upper, [("k", "rk")], "left_anti", lower_inclusive=li, upper_inclusive=ui)
     assert {r.l for r in kept.collect()} == {x[1] for x in a} - {i for i, _ in want}
+    semi = interval.interval_join(left, right, "lt", "rt", lower, upper, [("k", "rk")], "left_semi", lower_inclusive=li, upper_inclusive=ui)
+    assert sorted(r.l for r in semi.collect()) == sorted({i for i, _ in want})
+    outer = interval.interval_join(left, right, "lt", "rt", lower, upper, [("k", "rk")], "left", lower_inclusive=li, upper_inclusive=ui)
+    assert sorted((r.l, r.r) for r in outer.collect() if r.r is not None) == want
+    assert outer.count() == len(want) + len(a) - len({i for i, _ in want})
 
 
 def test_inverted_interval_raises(spark):

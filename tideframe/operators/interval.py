@@ -26,42 +26,20 @@ def bounds(df: DataFrame, time: str, lower: float, upper: float, lower_inclusive
 def interval_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str, lower: float, upper: float, keys: list[tuple[str, str]] = (), how: str = "inner", condition: Column | None = None, lower_inclusive: bool = True, upper_inclusive: bool = True) -> DataFrame:
     """left and right columns of matching pairs; how: inner, left, left_semi or left_anti.
 
-    The inner join emits each pair once, as the right row lies in one bucket. Outer forms join the pairs back by a row
-    number of the left rows.
+    A left row lies in one bucket, and a right row is put into the one or two buckets whose left rows it can match, so each
+    pair meets once, and all that a left row can match meets it in its bucket; hence outer forms need no second step.
     """
     lo, hi = bounds(left, left_time, lower, upper, lower_inclusive, upper_inclusive)
     width = max(1, hi - lo)
-    lt, rt = ticks(left, left_time), ticks(right, right_time)
-    spread = left.withColumn("_lt", lt).withColumn("_b", F.explode(F.sequence(floor_div(F.col("_lt") + lo, width), floor_div(F.col("_lt") + hi, width)))) if how == "inner" else None
-    if how != "inner":
-        numbered = left.withColumn("_row", F.monotonically_increasing_id())
-        return _kept_left(numbered, right, left_time, right_time, lower, upper, keys, how, condition, lower_inclusive, upper_inclusive)
-    bucketed = right.withColumn("_rt", rt).withColumn("_rb", floor_div(F.col("_rt"), width))
-    on = (F.col("_b") == F.col("_rb")) & F.col("_rt").between(F.col("_lt") + lo, F.col("_lt") + hi)
+    t = F.col("_rt")
+    l = left.withColumn("_lt", ticks(left, left_time)).withColumn("_b", floor_div(F.col("_lt"), width))  # noqa: E741
+    r = right.withColumn("_rt", ticks(right, right_time)).withColumn("_rb", F.explode(F.sequence(floor_div(t - hi, width), floor_div(t - lo, width))))
+    on = (F.col("_b") == F.col("_rb")) & t.between(F.col("_lt") + lo, F.col("_lt") + hi)
     for a, b in keys:
         on &= F.col(a) == F.col(b)
     if condition is not None:
         on &= condition
-    return spread.join(bucketed, on).drop("_lt", "_b", "_rt", "_rb")
-
-
-def _kept_left(numbered: DataFrame, right: DataFrame, left_time: str, right_time: str, lower: float, upper: float, keys: list, how: str, condition: Column | None, li: bool, ui: bool) -> DataFrame:
-    """Outer, semi and anti forms: one join on key and bucket, in which a left row asks each bucket once.
-
-    A left row that is spread over buckets may match in one and not in another, so rows are gathered again by their key
-    columns' own join instead: the condition is the residual of an equality join on the keys.
-    """
-    lo, hi = bounds(numbered, left_time, lower, upper, li, ui)
-    lt, rt = ticks(numbered, left_time), ticks(right, right_time)
-    if not keys:
-        raise ValueError("outer forms need a key")
-    r = right.withColumn("_rt", rt)
-    on = F.col("_rt").between(F.col("_lt") + lo, F.col("_lt") + hi)
-    for a, b in keys:
-        on &= F.col(a) == F.col(b)
-    if condition is not None:
-        on &= condition
-    return numbered.withColumn("_lt", lt).join(r, on, how).drop("_lt", "_rt", "_row")
+    return l.join(r, on, how).drop("_lt", "_b", "_rt", "_rb")
 
 
 def first_match(pairs: DataFrame, left_id: list[str], order: list[Column]) -> DataFrame:
@@ -75,18 +53,17 @@ def dynamic_join(probe: DataFrame, build: DataFrame, probe_time: str, build_time
     mode batch keeps probes without a match (left outer), incremental reports matches only. With first, a probe takes the
     build of least time only. Matches are allowed before the deadline, at it no more. A probe never matches itself.
     """
-    lo = None if lookback is None else span(probe, probe_time, -lookback)
-    hi = span(probe, probe_time, grace) - 1
-    p, b = probe.withColumn("_lt", ticks(probe, probe_time)), build.withColumn("_rt", ticks(build, build_time))
-    on = F.col("_rt") <= F.col("_lt") + hi
-    if lo is not None:
-        on &= F.col("_rt") >= F.col("_lt") + lo
-    for x, y in keys:
-        on &= F.col(x) == F.col(y)
-    out = p.join(b, on, "left" if mode == "batch" else "inner")
+    how = "left" if mode == "batch" else "inner"
+    if lookback is not None:
+        out = interval_join(probe, build, probe_time, build_time, -lookback, grace, keys, how, upper_inclusive=False)
+    else:
+        on = ticks(build, build_time) < ticks(probe, probe_time) + span(probe, probe_time, grace)
+        for x, y in keys:
+            on &= F.col(x) == F.col(y)
+        out = probe.join(build, on, how)
     if first:
-        out = first_match(out, list(probe_id), [F.col("_rt").asc_nulls_last(), *[F.col(c) for c in build_order]])
-    return out.drop("_lt", "_rt")
+        out = first_match(out, list(probe_id), [F.col(build_time).asc_nulls_last(), *[F.col(c) for c in build_order]])
+    return out
 
 
 def window_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str, size: float, slide: float | None = None, keys: list[tuple[str, str]] = ()) -> DataFrame:
