@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_prefix, media_png, mixing, ngram_join, oracle_rules, pairwise_quality, quality_rules, suffix_dedup, token_files, toxicity, url_filters
+from . import bpe_prefix, media_png, mixing, ngram_join, oracle_join, oracle_rules, pairwise_quality, quality_rules, suffix_dedup, token_files, toxicity, url_filters
 from .common import held_out, table
 
 
@@ -87,4 +87,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL where whole tables are cheap enough for it; the others are tested against brute force."""
-    return {"op1_quality_rules": oracle_rules.op1_sql()}
+    return {"op1_quality_rules": oracle_rules.op1_sql(), "op7_ngram_join": oracle_join.op7_sql()}
