@@ -179,9 +179,13 @@ def linked(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> Ite
 def links_of(rows: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
     """a, b: links between classes, enough of them to connect all that links connect."""
     classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("need").alias("need"), F.first("tokens").alias("tokens"))
-    told = classes.select("cls", "doc_id", "need", F.explode("tokens").alias("token"))
+    # a hash names the class while all tokens are dealt out; should two classes share one, they get each other's tokens too
+    told = classes.select(F.xxhash64("cls").alias("name"), F.explode("tokens").alias("token"))
+    named = classes.select("cls", "doc_id", "need", F.xxhash64("cls").alias("named"))
     counted = told.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").withColumnRenamed("token", "t")
-    shared = written(told.join(counted, F.col("token") == F.col("t")).select("cls", "doc_id", "need", "token", "c"), "shared-tokens")
+    common = written(told.join(counted, F.col("token") == F.col("t")).select("name", "token", "c"), "common-tokens")
+    shared = written(common.join(named, F.col("name") == F.col("named")).select("cls", "doc_id", "need", "token", "c"), "shared-tokens")
+    drop_written(common)
     # groups: each class goes to the neighbour that shares most tokens with all
     rank = shared.groupBy("cls").agg(F.struct(F.sum("c").alias("s"), F.col("cls").alias("x")).alias("rank"))
     ranked = shared.join(rank, "cls")
