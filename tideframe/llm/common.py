@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -54,6 +55,13 @@ def drop_written(df: DataFrame) -> None:
             p.getFileSystem(conf).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark remove the shuffle files of steps that nothing refers to any more, rather than when the driver happens to
+    collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def rows(batches: Iterator, *names: str) -> Iterator[tuple]:
     """The rows of Arrow batches, one Python tuple at a time."""
     for batch in batches:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_written, written
+from .common import drop_written, release, written
 
 MEMO = 400_000  # word hashes kept in a Python worker
 BLOCK = 1024  # classes on a side of one block of comparisons
@@ -176,8 +176,8 @@ def linked(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> Ite
             yield i, j
 
 
-def links_of(rows: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """a, b: links between classes, enough of them to connect all that links connect."""
+def shared_tokens(rows: DataFrame) -> DataFrame:
+    """cls, doc_id, need, token and c of the tokens that c > 1 classes have."""
     classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("need").alias("need"), F.first("tokens").alias("tokens"))
     # a hash names the class while all tokens are dealt out; should two classes share one, they get each other's tokens too
     told = classes.select(F.xxhash64("cls").alias("name"), F.explode("tokens").alias("token"))
@@ -186,6 +186,13 @@ def links_of(rows: DataFrame, docs: DataFrame, key: str, text: str, size: int, p
     common = written(told.join(counted, F.col("token") == F.col("t")).select("name", "token", "c"), "common-tokens")
     shared = written(common.join(named, F.col("name") == F.col("named")).select("cls", "doc_id", "need", "token", "c"), "shared-tokens")
     drop_written(common)
+    return shared
+
+
+def links_of(rows: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+    """a, b: links between classes, enough of them to connect all that links connect."""
+    shared = shared_tokens(rows)
+    release(rows.sparkSession)
     # groups: each class goes to the neighbour that shares most tokens with all
     rank = shared.groupBy("cls").agg(F.struct(F.sum("c").alias("s"), F.col("cls").alias("x")).alias("rank"))
     ranked = shared.join(rank, "cls")
@@ -264,6 +271,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 90, key: str
     """doc_id, th (hash of the text), n_shingles and component_id of each row."""
     rows = written(sized(docs, key, text, size, percent), "shingle-classes")
     found = components(links_of(rows, docs, key, text, size, percent))
+    release(docs.sparkSession)
     labelled = rows.select("doc_id", "th", "n", "cls").join(found, F.col("cls") == F.col("v"), "left").withColumn("label", F.coalesce("label", "cls"))
     labelled = written(labelled.select("doc_id", "th", "n", "label"), "shingle-labels")
     least = labelled.where("label is not null").groupBy(F.col("label").alias("l")).agg(F.min("doc_id").alias("component"))
