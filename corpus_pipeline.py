@@ -16,6 +16,7 @@ from tideframe.llm import bpe_prefix, mixing, ngram_join, quality_rules, suffix_
 from tideframe.llm.common import written
 
 SHINGLE_WORDS, PERCENT = 5, 80
+PASSAGE_WORDS = 51
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +30,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings that repeat are cut out of the texts."""
-    out = suffix_dedup.clean_documents(docs)
+    """Strings that repeat and passages of over 50 words that do are cut out of the texts."""
+    out = suffix_dedup.clean_documents(docs, words=PASSAGE_WORDS)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

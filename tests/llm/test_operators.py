@@ -451,3 +451,40 @@ def test_clean_documents(spark, docs, none):
     assert suffix_dedup.clean_documents(none).count() == 0
     assert suffix_dedup.cut_text("aéb", [(0, 2)]) == "éb", "a character that a cut would split stays"
     assert out.where("text is null").count() == docs.where("text is null").count()
+
+
+def brute_cleaned(texts, length, count):
+    """Bytes without those of repeated strings of that length or of runs of words that repeated passages of count words cover."""
+    data = [(t or "").encode() for t in texts]
+    places = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", d)] for d in data]
+    parts = [[tuple(d[a:b] for a, b in p[i : i + count]) for i in range(len(p) - count + 1)] for d, p in zip(data, places, strict=True)]
+    times = Counter(x for p in parts for x in p)
+    strings = Counter(d[x : x + length] for d in data for x in range(len(d) - length + 1))
+    out = []
+    for d, p, found in zip(data, places, parts, strict=True):
+        gone = bytearray(len(d))
+        marks = ["0"] * len(p)
+        for i, x in enumerate(found):
+            if times[x] > 1:
+                marks[i : i + count] = "1" * count
+        spans = [(p[m.start()][0], p[m.end() - 1][1]) for m in re.finditer("1+", "".join(marks))]
+        for a, b in spans + [(x, x + length) for x in range(len(d) - length + 1) if strings[d[x : x + length]] > 1]:
+            gone[a:b] = b"\1" * (b - a)
+        out.append(bytes(c for c, g in zip(d, gone, strict=True) if not g))
+    return out
+
+
+@pytest.mark.parametrize("limit", [4 << 20, 10])
+def test_repeated_passages(spark, monkeypatch, limit):
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", limit)
+    rnd = random.Random(8)
+    say = lambda n, k=8: " ".join("".join(rnd.choices("abcdefghij", k=rnd.randint(1, k))) for _ in range(n))
+    out = [say(rnd.randint(1, 80)) for _ in range(10)]
+    for n, k in [(51, 1), (51, 8), (52, 4), (60, 6), (140, 8), (50, 8), (50, 1), (20, 8)]:
+        passage = say(n, k)
+        out += [f"{say(rnd.randint(0, 90))} {passage} {say(rnd.randint(0, 90))}" for _ in range(rnd.randint(2, 4))]
+    a, b = say(30), say(30)  # twice each, but no passage of 51 words
+    out += [f"{say(20)} {a} {b} {say(20)}", f"{say(20)} {a} {say(20)} {b}", "la " * 90, "x" * 500, "x" * 600]
+    df = spark.createDataFrame(list(enumerate(out)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.text.encode() for r in suffix_dedup.clean_documents(df, words=51).collect()}
+    assert [got[i] for i in range(len(out))] == brute_cleaned(out, 400, 51)

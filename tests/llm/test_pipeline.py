@@ -7,7 +7,7 @@ import public_tokenizers
 import tiktoken
 
 import corpus_pipeline
-from tests.llm.test_operators import RANKS, brute_components, brute_removed
+from tests.llm.test_operators import RANKS, brute_cleaned, brute_components, brute_removed
 from tideframe.llm import bpe_prefix, mixing, queries, suffix_dedup
 
 D = "/root/testdata/sf0.001"
@@ -44,3 +44,23 @@ def test_stages(spark, tmp_path):
 def test_run_and_queries(spark):
     assert corpus_pipeline.run(spark, D).count() > 100
     assert {q.split("_")[0] for q in queries.queries()} == {f"op{i}" for i in range(1, 11)}
+
+
+def test_passages_of_over_50_words_are_cut(spark):
+    letters, word = "abcdefghijklmnopqrstuvwxyz", lambda k, i: f"{k}{i:03d}"
+    short = " ".join(letters[i * i % 26] for i in range(51))  # 101 bytes
+    long = " ".join(word("p", i) for i in range(51))  # 254 bytes
+    fifty = " ".join(word("q", i) for i in range(50))
+    own = lambda k: " ".join(word(k, i) for i in range(30))
+    texts = [f"{own(f'{k}a')} {p} {own(f'{k}b')}" for k, p in enumerate([short, short, long, long, fifty, fifty])]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.repeated_strings(spark, docs, D).collect()}
+    assert got == {i: t if i > 3 else t.replace(short, "").replace(long, "") for i, t in enumerate(texts)}
+
+
+def test_repeats_against_brute_force(spark):
+    docs = corpus_pipeline.near_copies(spark, spark.read.parquet(f"{D}/documents.parquet"), D).select("doc_id", "text")
+    rows = docs.collect()
+    got = {r.doc_id: len(r.text.encode()) for r in corpus_pipeline.repeated_strings(spark, spark.createDataFrame(rows, docs.schema), D).collect()}
+    want = {r.doc_id: len(b) for r, b in zip(rows, brute_cleaned([r.text for r in rows], 400, 51), strict=True)}
+    assert got == want and sum(want.values()) < sum(len(r.text.encode()) for r in rows)

@@ -2,15 +2,18 @@
 
 Every byte goes that a string of `length` bytes covers which starts anywhere else too, in any text or the same.
 
-All windows of `length` bytes are dealt into ranges: consecutive windows with one least hash of their GRAM-byte strings, the
-anchor. Equal windows have equal anchors, so only ranges whose anchor occurs twice matter. Such ranges take the place of
+All windows of `length` bytes are dealt into ranges: consecutive windows with one least hash of their strings of gram(length)
+bytes, the anchor. Equal windows have equal anchors, so only ranges whose anchor occurs twice matter. Such ranges take the place of
 text that is equal as a whole: one that occurs twice is repeated throughout. What is left, the ranges at the rims of
 repeats, is sorted in shards, one for each anchor with its different ranges, which all hold the anchor's string once; it is one symbol
 there (unless a range holds it twice). Induced sorting makes the shard's suffix array,
 the permuted common prefixes with each suffix's neighbour follow from it, and those of `length` or more are repeats. A range
-goes there only if one of three strings of length - SLACK bytes around its anchor, one of which every window of it holds,
+goes there only if one of three strings of length - slack(length) bytes around its anchor, one of which every window of it holds,
 occurs twice. A shard of more than SHARD_BYTES is not sorted in one task: the hashes of its windows are counted instead.
 
+The symbols are bytes or, for passages of so many words, the words' hashes: then white space doesn't count, and what goes is
+the bytes from the first word to the last.
+
 Hashes are of 64 bits, and a range's is compared within its anchor only.
 
 Defined results: null texts are empty; texts shorter than `length` keep all; repeated rows are texts like others and so
@@ -21,7 +24,8 @@ clean_documents passes the others through.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from itertools import groupby
 from operator import itemgetter
 
@@ -32,12 +36,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, written
+from .common import drop_written, release, written
 from .common import rows as rows_of
+from .ngram_join import WORDS
 
 LENGTH = 400
-GRAM = 256  # a power of two
-SLACK = 48
 SHARD_BYTES = 4 << 20
 BATCH_BYTES = 4 << 20
 MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
@@ -130,22 +133,25 @@ def permuted_prefixes(text: list[int], order: list[int]) -> tuple[list[int], lis
     return found, before
 
 
-def repeated_starts(texts: list[bytes], length: int, shared: list[int] | None = None, size: int = GRAM) -> list[np.ndarray]:
-    """For each text, the starts of its strings of that length that start elsewhere in these texts too.
+def repeated_starts(texts: list[bytes] | list[np.ndarray], length: int, shared: list[int] | None = None, size: int = 1) -> list[np.ndarray]:
+    """For each text (bytes or word hashes), the starts of its strings of that length that start elsewhere in these texts too.
 
-    shared: where in each text one string of `size` bytes lies that all texts hold, each once, and that all strings asked
+    shared: where in each text one string of `size` symbols lies that all texts hold, each once, and that all strings asked
     for hold. It is one symbol then, as a name stands for a substring, and starts behind it aren't told.
     """
-    m = len(texts)
+    m, kinds = len(texts), 256
+    if m and not isinstance(texts[0], bytes):
+        known, ranked = np.unique(np.concatenate(texts), return_inverse=True)
+        kinds, texts = len(known), np.split(ranked, np.cumsum([len(t) for t in texts])[:-1])
     joined: list[int] = []
     for k, t in enumerate(texts):
-        symbols = (np.frombuffer(t, np.uint8).astype(np.int64) + m + 1).tolist()
+        symbols = ((np.frombuffer(t, np.uint8) if isinstance(t, bytes) else t).astype(np.int64) + m + 1).tolist()
         if shared is not None:
-            symbols[shared[k] : shared[k] + size] = [m + 257]
+            symbols[shared[k] : shared[k] + size] = [m + kinds + 1]
         joined += symbols
         joined.append(k + 1)
     joined.append(0)
-    prefixes, before = permuted_prefixes(joined, suffix_array(joined, m + 258))
+    prefixes, before = permuted_prefixes(joined, suffix_array(joined, m + kinds + 2))
     less = 0 if shared is None else size - 1
     p, b = np.array(prefixes), np.array(before)
     long = p >= length - less
@@ -158,12 +164,35 @@ def repeated_starts(texts: list[bytes], length: int, shared: list[int] | None =
 # --- ranges ----------------------------------------------------------------------------------------------------------
 
 
+def gram(length: int) -> int:
+    """Size of an anchor's string: a power of two, at least half of the length and less than it."""
+    return 1 << max((length - 1).bit_length() - 1, 0)
+
+
+def slack(length: int) -> int:
+    """So much that three steps of it reach over all places of an anchor in a window."""
+    return -(-(length - gram(length)) // 3)
+
+
+def byte_symbols(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8)
+
+
+def word_symbols(data: bytes) -> np.ndarray:
+    """Hashes of the words; bytes.split knows ASCII spaces only."""
+    w = data.split()
+    return np.fromiter(map(WORDS.__getitem__, w), np.uint64, len(w))
+
+
+Symbols = Callable[[bytes], np.ndarray]
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(32))
 
 
-def gram_hashes(data: np.ndarray, size: int = GRAM) -> np.ndarray:
+def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
     h, step, power = data.astype(np.uint64) + np.uint64(1), 1, MULTIPLIER
     while step < size:
         h = h[:-step] * power + h[step:]
@@ -181,15 +210,16 @@ def window_least(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[: n - w + 1], left[w - 1 : n])
 
 
-def ranges(texts: list[bytes], length: int) -> dict[str, np.ndarray]:
-    """The ranges of texts of at least `length` bytes: text (place in the list), s and e (first and last start of its
-    windows), anchor, whole (hash of all its bytes), c0 to c2 (hashes of the inner strings; 0: none) and again (the anchor
+def ranges(texts: list[np.ndarray], length: int) -> dict[str, np.ndarray]:
+    """The ranges of texts of at least `length` symbols: text (place in the list), s and e (first and last start of its
+    windows), anchor, whole (hash of all its symbols), c0 to c2 (hashes of the inner strings; 0: none) and again (the anchor
     occurs in it more than once)."""
-    w = length - GRAM + 1
-    data = np.frombuffer(b"".join(texts), np.uint8)
+    size, step = gram(length), slack(length)
+    w = length - size + 1
+    data = np.concatenate(texts)
     sizes = np.array([len(t) for t in texts])
     begin = np.cumsum(sizes) - sizes
-    h = gram_hashes(data)
+    h = gram_hashes(data, size)
     least = window_least(h, w)
     valid = np.zeros(len(least) + 1, np.int32)
     np.add.at(valid, begin, 1)
@@ -206,17 +236,17 @@ def ranges(texts: list[bytes], length: int) -> dict[str, np.ndarray]:
         p[c] = s[c] + first.argmax(axis=1)
         again[c] = (first.sum(axis=1) > 1) | (last.sum(axis=1) > 1) | (e[c] + last.argmax(axis=1) != p[c])
     text = np.searchsorted(begin, s, side="right") - 1
-    end = e + length - GRAM
+    end = e + length - size
     whole = mixed(h[s] * MULTIPLIER + h[(s + end) // 2]) * MULTIPLIER + h[end] + (e - s).astype(np.uint64)
     for i in np.flatnonzero(again):
         whole[i] = xxhash.xxh3_64_intdigest(data[s[i] : e[i] + length])
     out = {"text": text, "s": s - begin[text], "e": e - begin[text], "p": p - begin[text], "anchor": anchor, "whole": whole, "again": again}
-    inner = length - SLACK
+    inner = length - step
     for j in range(3):
-        x = p - SLACK * j
+        x = p - step * j
         ok = (x >= begin[text]) & (x + inner <= begin[text] + sizes[text])
         x = np.where(ok, x, 0)
-        out[f"c{j}"] = np.where(ok, (mixed(h[x] * MULTIPLIER + h[np.minimum(x + inner - GRAM, len(h) - 1)]) | np.uint64(1)), np.uint64(0))
+        out[f"c{j}"] = np.where(ok, (mixed(h[x] * MULTIPLIER + h[np.minimum(x + inner - size, len(h) - 1)]) | np.uint64(1)), np.uint64(0))
     return out
 
 
@@ -244,7 +274,7 @@ def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
 
 
-def found_ranges(rows: DataFrame, length: int) -> DataFrame:
+def found_ranges(rows: DataFrame, length: int, symbols: Symbols) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
@@ -257,10 +287,10 @@ def found_ranges(rows: DataFrame, length: int) -> DataFrame:
 
         for b in batches:
             for i, h, t in zip(*b.columns, strict=True):
-                data = t.as_py().encode()
+                data = symbols(t.as_py().encode())
                 if len(data) >= length:
                     held.append((i.as_py(), h.as_py(), data))
-                    size += len(data)
+                    size += data.nbytes
                     if size >= BATCH_BYTES:
                         yield told()
                         held.clear()
@@ -271,10 +301,10 @@ def found_ranges(rows: DataFrame, length: int) -> DataFrame:
     return rows.select("id", "th", "text").mapInArrow(each, RANGE)
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, th and spans (array of structs a, b: bytes a to b, not merged) of the texts that hold repeats."""
+def repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", symbols: Symbols = byte_symbols) -> DataFrame:
+    """id, th and spans (array of structs a, b: symbols a to b, not merged) of the texts that hold repeats."""
     rows = keyed(docs, key, text)
-    all_ranges = written(found_ranges(rows, length), "repeat-ranges")
+    all_ranges = written(found_ranges(rows, length, symbols), "repeat-ranges")
     twice = all_ranges.groupBy(F.col("anchor").alias("x")).agg(F.count("*").alias("n"), F.max("again").alias("x_again")).where("n > 1 or x_again")
     live = written(all_ranges.join(twice, F.col("anchor") == F.col("x")).drop("x", "n"), "repeat-candidates")
     drop_written(all_ranges)
@@ -297,9 +327,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: st
         for b in batches:
             out, size = [], 0
             for i, h, t, cuts in zip(*b.columns, strict=True):
-                data, name = t.as_py().encode(), (i.as_py(), h.as_py())
+                data, name = symbols(t.as_py().encode()), (i.as_py(), h.as_py())
                 for c in cuts.as_py():
-                    out.append((*name, c["wa"], c["copies"], c["size"], c["s"], c["p"], data[c["s"] : c["e"] + length]))
+                    out.append((*name, c["wa"], c["copies"], c["size"], c["s"], c["p"], data[c["s"] : c["e"] + length].tobytes()))
                     size += len(out[-1][-1])
                     if size >= BATCH_BYTES:
                         yield batch(out)
@@ -317,10 +347,12 @@ def repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: st
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by anchor."""
         found: list[tuple] = []
+        kind = symbols(b"").dtype
         for _, group in groupby(rows_of(batches, "wa", "id", "th", "copies", "s", "p", "data"), itemgetter(0)):
             held = list(group)
             shared = None if min(r[5] for r in held) < 0 else [r[5] for r in held]
-            for (_, i, h, copies, s, _, _), hit in zip(held, repeated_starts([r[6] for r in held], length, shared), strict=True):
+            texts = [r[6] if kind == np.uint8 else np.frombuffer(r[6], kind) for r in held]
+            for (_, i, h, copies, s, _, _), hit in zip(held, repeated_starts(texts, length, shared, gram(length)), strict=True):
                 if copies == 1:
                     found += [(i, h, s + a, s + b) for a, b in runs(hit, length).tolist()]
             if len(found) >= 10_000:
@@ -335,34 +367,46 @@ def repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: st
 
     small = contexts.where(F.col("size") <= SHARD_BYTES).repartition("wa").sortWithinPartitions("wa")
     sorted_out = small.mapInArrow(shards, "id long, th long, a int, b int")
-    window = windows_of(contexts.where(F.col("size") > SHARD_BYTES), length)
+    window = windows_of(contexts.where(F.col("size") > SHARD_BYTES), length, symbols)
     common = window.groupBy(F.col("h").alias("hh"), F.col("h2").alias("hh2")).agg(F.count("*").alias("n")).where("n > 1").drop("n")
     counted = window.where("copies = 1").join(common, (F.col("h") == F.col("hh")) & (F.col("h2") == F.col("hh2"))).select("id", "th", F.col("s").alias("a"), (F.col("s") + length).alias("b"))
     spans = sure.union(sorted_out).union(counted)
-    return spans.groupBy("id", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    spans = written(spans.groupBy("id", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "repeat-spans")
+    for done in (live, whole, asked, contexts):
+        drop_written(done)
+    release(docs.sparkSession)
+    return spans
 
 
-def windows_of(contexts: DataFrame, length: int) -> DataFrame:
+def windows_of(contexts: DataFrame, length: int, symbols: Symbols) -> DataFrame:
     """id, th, copies, s and the hashes h, h2 of every window of the contexts."""
 
+    size = gram(length)
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = symbols(b"").dtype
         for b in batches:
             for i, h, copies, s, data in zip(*b.columns, strict=True):
-                data = data.as_py()
-                grams = gram_hashes(np.frombuffer(data, np.uint8))
+                data = np.frombuffer(data.as_py(), kind)
+                grams = gram_hashes(data, size)
                 n = len(data) - length + 1
-                x = grams[:n], grams[length - GRAM :][:n]
+                x = grams[:n], grams[length - size :][:n]
                 yield pa.RecordBatch.from_arrays([pa.repeat(i, n), pa.repeat(h, n), pa.repeat(copies, n), pa.array(np.arange(n, dtype=np.int32) + s.as_py()), *(pa.array(y.view(np.int64)) for y in x)], names=["id", "th", "copies", "s", "h", "h2"])
 
     return contexts.select("id", "th", "copies", "s", "data").mapInArrow(each, "id long, th long, copies long, s int, h long, h2 long")
 
 
-def with_spans(docs: DataFrame, length: int, key: str, text: str, row: F.Column | None = None) -> DataFrame:
-    """id, text and spans of each row of docs, and row where one is given."""
+def with_spans(docs: DataFrame, length: int, key: str, text: str, row: F.Column | None = None, words: int | None = None) -> DataFrame:
+    """id, text and spans of each row of docs, and row where one is given. With words, word_spans (in words) are those of repeated
+    passages of so many words."""
     rows = keyed(docs, key, text)
     if row is not None:
         rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"), row.alias("row")).withColumn("th", F.xxhash64("text"))
-    spans = written(repeats(docs, length, key, text).withColumnsRenamed({"id": "si", "th": "st"}), "repeat-spans")
+    spans = repeats(docs, length, key, text)
+    if words is not None:
+        both = spans.withColumn("word_spans", F.lit(None).cast(spans.schema["spans"].dataType)).unionByName(repeats(docs, words, key, text, word_symbols).withColumnRenamed("spans", "word_spans"), allowMissingColumns=True)
+        spans = both.groupBy("id", "th").agg(F.max("spans").alias("spans"), F.max("word_spans").alias("word_spans"))
+    spans = spans.withColumnsRenamed({"id": "si", "th": "st"})
     return rows.join(spans, F.col("id").eqNullSafe(F.col("si")) & (F.col("th") == F.col("st")), "left").drop("si", "st", "th")
 
 
@@ -394,27 +438,39 @@ def removed(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: st
     return with_spans(docs, length, key, text).select("id", "text", "spans").mapInArrow(each, f"`{key}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<a:int,b:int>>")
 
 
-def clean_documents(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the repeated strings cut out of the text; a character that a cut would split stays whole. Null texts that
-    hold nothing to cut stay null."""
+def clean_documents(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", words: int | None = None) -> DataFrame:
+    """docs with the repeated strings cut out of the text, and with words also the repeated passages of so many words; a
+    character that a cut would split stays whole. Null texts that hold nothing to cut stay null."""
 
-    def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts, spans in batches:
-            yield pd.Series([cut_text(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
+    def each(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, spans, word_spans in batches:
+            yield pd.Series([cut_text(t, s, w) for t, s, w in zip(texts, spans, word_spans, strict=True)], dtype=object)
 
     cleaned = F.pandas_udf(each, "string")
-    joined = with_spans(docs, length, key, text, F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    new = F.when(F.col("spans").isNull(), F.col("row")[text]).otherwise(cleaned("text", F.transform("spans", lambda x: F.array(x["a"], x["b"]))))
+    joined = with_spans(docs, length, key, text, F.struct(*[F.col(f"`{c}`") for c in docs.columns]), words)
+    if words is None:
+        joined = joined.withColumn("word_spans", F.lit(None).cast(joined.schema["spans"].dataType))
+    pairs = [F.transform(c, lambda x: F.array(x["a"], x["b"])) for c in ("spans", "word_spans")]
+    new = F.when(F.col("spans").isNull() & F.col("word_spans").isNull(), F.col("row")[text]).otherwise(cleaned("text", *pairs))
     return joined.withColumn("_new", new).select(*[F.col("_new").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
 
 
-def cut_text(text: str, spans: object) -> str:
-    if spans is None:
+def word_places(data: bytes) -> np.ndarray:
+    """Start and end of each word."""
+    return np.array([m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)], np.int64).reshape(-1, 2)
+
+
+def cut_text(text: str, spans: object, word_spans: object = None) -> str:
+    if spans is None and word_spans is None:
         return text
     data = text.encode()
+    at = np.array([list(x) for x in spans] if spans is not None else [], np.int64).reshape(-1, 2)
+    if word_spans is not None:
+        places, told = word_places(data), merged(np.array([list(x) for x in word_spans], np.int64).reshape(-1, 2))
+        at = np.concatenate([at, np.stack([places[told[:, 0], 0], places[told[:, 1] - 1, 1]], axis=1)])
     inside = lambda i: 0 < i < len(data) and data[i] & 0xC0 == 0x80
     out = []
-    for a, b in merged(np.array([list(x) for x in spans], np.int64).reshape(-1, 2)).tolist():
+    for a, b in merged(at).tolist():
         while inside(a):
             a += 1
         while inside(b):
