@@ -303,7 +303,7 @@ def found_ranges(rows: DataFrame, length: int, symbols: Symbols) -> DataFrame:
 
 def repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", symbols: Symbols = byte_symbols) -> DataFrame:
     """id, th and spans (array of structs a, b: symbols a to b, not merged) of the texts that hold repeats."""
-    rows = keyed(docs, key, text)
+    rows, width = keyed(docs, key, text), symbols(b"").itemsize
     all_ranges = written(found_ranges(rows, length, symbols), "repeat-ranges")
     twice = all_ranges.groupBy(F.col("anchor").alias("x")).agg(F.count("*").alias("n"), F.max("again").alias("x_again")).where("n > 1 or x_again")
     live = written(all_ranges.join(twice, F.col("anchor") == F.col("x")).drop("x", "n"), "repeat-candidates")
@@ -319,7 +319,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: st
     asked = parts.withColumn("c", F.explode(F.array("c0", "c1", "c2"))).join(inner, (F.col("wa") == F.col("ia")) & (F.col("c") == F.col("ic")), "left")
     asked = asked.groupBy("wa", "ww").agg(F.max(F.col("ic").isNotNull() | F.col("x_again")).alias("asked"), F.first(F.struct("copies", "id", "th", "s", "e", "p", "x_again")).alias("r")).where("asked").select("wa", "ww", "r.*")
     asked = written(asked, "repeat-asked")
-    by_anchor = asked.groupBy(F.col("wa").alias("ga")).agg(F.sum(F.col("e") - F.col("s") + length).alias("size"), F.count_if(F.col("copies") == 1).alias("open")).where("open > 0")
+    by_anchor = asked.groupBy(F.col("wa").alias("ga")).agg(F.sum((F.col("e") - F.col("s") + length) * width).alias("size"), F.count_if(F.col("copies") == 1).alias("open")).where("open > 0")
     chosen = asked.join(by_anchor, F.col("wa") == F.col("ga")).select("wa", "copies", "size", "id", "th", "s", "e", F.when(F.col("x_again"), -1).otherwise(F.col("p") - F.col("s")).alias("p"))
     by_text = chosen.groupBy(F.col("id").alias("ci"), F.col("th").alias("ct")).agg(F.collect_list(F.struct("wa", "copies", "size", "s", "e", "p")).alias("cuts"))
 
