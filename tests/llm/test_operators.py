@@ -488,3 +488,17 @@ def test_repeated_passages(spark, monkeypatch, limit):
     df = spark.createDataFrame(list(enumerate(out)), "doc_id long, text string").repartition(3)
     got = {r.doc_id: r.text.encode() for r in suffix_dedup.clean_documents(df, words=51).collect()}
     assert [got[i] for i in range(len(out))] == brute_cleaned(out, 400, 51)
+
+
+def test_tokens_of_small_sets():
+    """Also where one set gives its empty segments and its partner doesn't."""
+    rng = np.random.default_rng(7)
+    for percent, least in ((80, 5), (90, 10)):
+        ends = ngram_join.bands(percent)
+        for _ in range(30_000):
+            n = int(rng.integers(least, 21))
+            a, most = rng.integers(0, 2**63, n, dtype=np.uint64), n * (100 - percent) // 100
+            a, b = np.unique(a * np.uint64(2)), np.unique(a[: n - int(rng.integers(1, most + 1))] * np.uint64(2)) if most else None
+            if b is not None and 100 * len(b) >= percent * n:
+                (ta, na), (tb, nb) = ngram_join.tokens(a, ends, percent), ngram_join.tokens(b, ends, percent)
+                assert len(np.intersect1d(ta, tb)) >= max(na, nb, 1)

@@ -96,7 +96,8 @@ def segments(tag: int, ends: np.ndarray, percent: int) -> tuple[int, int]:
 def tokens(sets: np.ndarray, ends: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
     """Segment hashes of a sorted set, for its own band and for the next, and how many of them any partner shares.
 
-    Empty segments are left out where there are too few of them to make up the agreement.
+    Empty segments are left out where there are too few of them to make up the agreement. A set that gives them may have a
+    partner that leaves out all but one of those in which they agree, so it asks for one.
     """
     out, need = [np.empty(0, np.uint64)], 1 << 20
     band = int(np.searchsorted(ends, len(sets), side="right")) - 1
@@ -108,7 +109,7 @@ def tokens(sets: np.ndarray, ends: np.ndarray, percent: int) -> tuple[np.ndarray
         part = ((sets >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
         edge = np.searchsorted(part, np.arange(k + 1, dtype=np.uint64))
         full = np.flatnonzero(edge[1:] > edge[:-1])
-        agree, full = (agree - k + len(full), full) if k - len(full) < agree else (agree, np.arange(k))
+        agree, full = (agree - k + len(full), full) if k - len(full) < agree else (1, np.arange(k))
         need = min(need, agree)
         out.append(mixed(mixed(sums[edge[full + 1]] - sums[edge[full]]) + np.uint64(tag << 40) + full.astype(np.uint64)))
     return np.concatenate(out), need
