@@ -502,3 +502,15 @@ def test_tokens_of_small_sets():
             if b is not None and 100 * len(b) >= percent * n:
                 (ta, na), (tb, nb) = ngram_join.tokens(a, ends, percent), ngram_join.tokens(b, ends, percent)
                 assert len(np.intersect1d(ta, tb)) >= max(na, nb, 1)
+
+
+def test_join_without_or_with_repeated_ids(spark):
+    base = [f"w{i}" for i in range(100)]
+    step = lambda n: " ".join([*(f"x{i}" for i in range(n)), *base[n:]])
+    other = lambda n: " ".join([*(f"y{i}" for i in range(n)), *(f"z{i}" for i in range(n, 100))])
+    rows = [(3, step(0)), (None, step(6)), (4, step(12)), (7, other(0)), (7, other(3)), (None, "alone " * 9), (None, "alone " * 9), (None, ""), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(df, 5, 80).collect())
+    assert got == Counter(brute_components(rows, 5, 80)) and got[4, 96, 3] == got[None, 96, 3] == 1
+    left = ngram_join.first_of_each(df).collect()
+    assert Counter(r.doc_id for r in left) == {3: 1, 7: 1, None: 3} and sum(r.text == "" for r in left) == 2

@@ -178,14 +178,14 @@ def linked(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> Ite
 
 
 def shared_tokens(rows: DataFrame) -> DataFrame:
-    """cls, doc_id, need, token and c of the tokens that c > 1 classes have."""
-    classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("need").alias("need"), F.first("tokens").alias("tokens"))
+    """cls, need, token and c of the tokens that c > 1 classes have."""
+    classes = rows.where("cls is not null").groupBy("cls").agg(F.first("need").alias("need"), F.first("tokens").alias("tokens"))
     # a hash names the class while all tokens are dealt out; should two classes share one, they get each other's tokens too
     told = classes.select(F.xxhash64("cls").alias("name"), F.explode("tokens").alias("token"))
-    named = classes.select("cls", "doc_id", "need", F.xxhash64("cls").alias("named"))
+    named = classes.select("cls", "need", F.xxhash64("cls").alias("named"))
     counted = told.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").withColumnRenamed("token", "t")
     common = written(told.join(counted, F.col("token") == F.col("t")).select("name", "token", "c"), "common-tokens")
-    shared = written(common.join(named, F.col("name") == F.col("named")).select("cls", "doc_id", "need", "token", "c"), "shared-tokens")
+    shared = written(common.join(named, F.col("name") == F.col("named")).select("cls", "need", "token", "c"), "shared-tokens")
     drop_written(common)
     return shared
 
@@ -206,7 +206,8 @@ def links_of(rows: DataFrame, docs: DataFrame, key: str, text: str, size: int, p
     opened = overlap.where("overlap >= need").select("cls", "g")
     opened = written(opened, "opened-groups")
     # whole sets of the classes that are in question
-    wanted = shared.select("cls", "doc_id").distinct().withColumnRenamed("doc_id", "id")
+    one = rows.where("cls is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "th")).alias("one"))
+    wanted = shared.select("cls").distinct().join(one, "cls").select("cls", F.col("one.doc_id").alias("wid"), F.col("one.th").alias("wth"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -214,8 +215,8 @@ def links_of(rows: DataFrame, docs: DataFrame, key: str, text: str, size: int, p
             same = [xxhash.xxh3_128_digest(s.tobytes()) == c.as_py() for s, c in zip(got, b.column(0), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([c.as_py() for c, ok in zip(b.column(0), same, strict=True) if ok], pa.binary()), pa.array([s.tobytes() for s, ok in zip(got, same, strict=True) if ok], pa.binary())], names=["c", "hashes"])
 
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    sets = texts.join(wanted, "id").select("cls", "text").mapInArrow(whole, "c binary, hashes binary").dropDuplicates(["c"])
+    texts = docs.select(F.col(key).cast("long").alias("id"), text_hash(text).alias("th"), F.col(text).cast("string").alias("text"))
+    sets = texts.join(wanted, F.col("id").eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth"))).select("cls", "text").mapInArrow(whole, "c binary, hashes binary").dropDuplicates(["c"])
     sets = written(sets, "sets")
     # first each class with the leaders of its groups
     pairs = opened.where("cls != g").join(sets, F.col("cls") == F.col("c")).select("cls", "g", F.col("hashes").alias("h1")).join(sets, F.col("g") == F.col("c")).select("cls", "g", "h1", "hashes")
@@ -268,23 +269,31 @@ def links_of(rows: DataFrame, docs: DataFrame, key: str, text: str, size: int, p
     return near.union(far)
 
 
-def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, th (hash of the text), n_shingles and component_id of each row."""
+def labelled(docs: DataFrame, size: int, percent: int, key: str, text: str) -> DataFrame:
+    """doc_id, th (hash of the text), n and label (of its component; null: no words) of each row."""
     rows = written(sized(docs, key, text, size, percent), "shingle-classes")
     found = components(links_of(rows, docs, key, text, size, percent))
     release(docs.sparkSession)
-    labelled = rows.select("doc_id", "th", "n", "cls").join(found, F.col("cls") == F.col("v"), "left").withColumn("label", F.coalesce("label", "cls"))
-    labelled = written(labelled.select("doc_id", "th", "n", "label"), "shingle-labels")
-    least = labelled.where("label is not null").groupBy(F.col("label").alias("l")).agg(F.min("doc_id").alias("component"))
-    return labelled.join(least, F.col("label") == F.col("l"), "left").select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    named = rows.select("doc_id", "th", "n", "cls").join(found, F.col("cls") == F.col("v"), "left").withColumn("label", F.coalesce("label", "cls"))
+    return written(named.select("doc_id", "th", "n", "label"), "shingle-labels")
+
+
+def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, th (hash of the text), n_shingles and component_id of each row."""
+    rows = labelled(docs, size, percent, key, text)
+    least = rows.where("label is not null").groupBy(F.col("label").alias("l")).agg(F.min("doc_id").alias("component"))
+    return rows.join(least, F.col("label") == F.col("l"), "left").select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def first_of_each(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the documents that reach one of a lesser id; of rows alike in id and text one stays. Documents without
-    words or without an id stay."""
-    gone = near_duplicates(docs, size, percent, key, text).where("component_id < doc_id").select("doc_id", "th").distinct()
+    """docs with one document of each component: that of the least id, no id being the last, and of the least text hash
+    among equal ids. Documents without words stay, but of those alike in id and text one, unless they have no id."""
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    known = labelled(docs, size, percent, key, text).where("label is not null").withColumn("rank", rank)
+    least = known.groupBy(F.col("label").alias("l")).agg(F.min("rank").alias("least"))
+    gone = known.join(least, F.col("label") == F.col("l")).where("rank > least").select("doc_id", "th").distinct()
     gone = written(gone.select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")), "near-copies")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{key}`").cast("long").alias("id"), text_hash(text).alias("th"))
-    left = rows.join(gone, (F.col("id") == F.col("gone_id")) & (F.col("th") == F.col("gone_th")), "left_anti")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{key}`").cast("long").alias("id"), text_hash(text).alias("th"), F.coalesce(F.col(f"`{text}`").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("worded"))
+    left = rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("th") == F.col("gone_th")), "left_anti")
     alike = F.row_number().over(Window.partitionBy("id", "th").orderBy("id"))
-    return left.withColumn("_n", alike).where("_n = 1 or id is null").select("row.*")
+    return left.withColumn("_n", alike).where("_n = 1 or (id is null and not worded)").select("row.*")
