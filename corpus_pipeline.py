@@ -36,8 +36,8 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    return mixing.mixed_documents(docs).drop("_shard", "_copy")
+    """Each document as often as the mix takes it, shard by shard and shuffled within each."""
+    return mixing.shuffled(mixing.mixed_documents(docs)).drop("_shard", "_copy")
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

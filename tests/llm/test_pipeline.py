@@ -64,3 +64,20 @@ def test_repeats_against_brute_force(spark):
     got = {r.doc_id: len(r.text.encode()) for r in corpus_pipeline.repeated_strings(spark, spark.createDataFrame(rows, docs.schema), D).collect()}
     want = {r.doc_id: len(b) for r, b in zip(rows, brute_cleaned([r.text for r in rows], 400, 51), strict=True)}
     assert got == want and sum(want.values()) < sum(len(r.text.encode()) for r in rows)
+
+
+def test_mixture_is_shuffled(spark):
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    mix = mixing.mixed(docs)
+    placed = {}
+    for r in mixing.shard_rows(mix).collect():
+        placed.setdefault(r["shard"], []).append((r["at"], r.doc_id))
+    want = Counter(tuple(i for _, i in sorted(x)) for x in placed.values())
+    parts = corpus_pipeline.mixture(spark, docs, D).select("doc_id").rdd.map(lambda r: r.doc_id).glom().collect()
+    left = Counter()
+    for part in parts:  # whole shards, one after the other
+        while part:
+            shard = next(x for x in want if tuple(part[: len(x)]) == x)
+            left[shard] += 1
+            part = part[len(shard) :]
+    assert left == want

@@ -153,6 +153,12 @@ def mixed_documents(docs: DataFrame, source: str = "source", key: str = "doc_id"
     return full.where("n > 0").select("row", F.posexplode("shards").alias("_copy", "_shard")).select("row.*", "_shard", "_copy")
 
 
+def shuffled(copies: DataFrame, key: str = "doc_id", seed: int = SEED) -> DataFrame:
+    """The rows of mixed_documents, each shard in one partition and in the order of shard_rows."""
+    at = F.xxhash64(F.lit(seed + 2), key, "_copy")
+    return copies.repartition("_shard").sortWithinPartitions("_shard", at, key, "_copy")
+
+
 def shard_rows(mix: DataFrame, seed: int = SEED) -> DataFrame:
     """A row (doc_id, source, shard, copy, at) for each copy, at its random place within its shard."""
     copies = mix.select("doc_id", "source", F.posexplode("shards").alias("copy", "shard"))
