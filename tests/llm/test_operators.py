@@ -514,3 +514,12 @@ def test_join_without_or_with_repeated_ids(spark):
     assert got == Counter(brute_components(rows, 5, 80)) and got[4, 96, 3] == got[None, 96, 3] == 1
     left = ngram_join.first_of_each(df).collect()
     assert Counter(r.doc_id for r in left) == {3: 1, 7: 1, None: 3} and sum(r.text == "" for r in left) == 2
+
+
+def test_a_hot_url_does_not_fill_the_sample(spark):
+    rnd = random.Random(3)
+    urls = [(f"http://h{rnd.randint(10**8, 10**9)}.net.bad/{i}?a=1" if i % 2 else f"http://about.net.good/page{i}") for i in range(200)]
+    first = spark.createDataFrame([(u,) for u in urls], "url string").orderBy(F.xxhash64("url"), "url").first().url
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate([first] * 300 + urls + ["http://h123456789.net/7?a=1", "http://about.net/page7"])], "page_id int, url string")
+    got = {r.url: r.p_block for r in url_filters.url_filter(pages, [("good/", "allow"), ("bad/", "block")], rows=300).where("p_block is not null").collect()}
+    assert 0.5 not in got.values(), "both kinds of labels were learned from"

@@ -5,7 +5,7 @@ the rest. Each boosting step is a groupBy over the binned training rows: gradien
 numbers so that sums don't depend on order, by node, feature and bin; the driver sees these histograms only (nodes x
 features x bins). A fitted model is one column expression.
 
-Learning reads at most TRAIN_ROWS decided URLs, the first in the order of a hash, or all if they are fewer; suffix
+Learning reads at most TRAIN_ROWS different decided URLs with their counts, the first in the order of a hash, or all; suffix
 statistics count all decided URLs. Everything else covers every URL.
 
 Defined results: null URLs and URLs without "://" have an empty host and path, fit no rule and are judged by the trees on
@@ -133,20 +133,20 @@ def margin(trees: list[Tree], start: float, x: Column) -> Column:
 
 
 def fit(train: DataFrame, trees: int = TREES, depth: int = DEPTH, bins: int = BINS, rate: float = RATE) -> tuple[float, list[Tree]]:
-    """Start and trees, by the second-order gain of the logistic loss; train has _x and y (0 or 1)."""
-    n, positive = train.agg(F.count("*"), F.sum("y")).first()
+    """Start and trees, by the second-order gain of the logistic loss; train has _x, y (0 or 1) and n (rows alike)."""
+    n, positive = train.agg(F.sum("n"), F.sum(F.col("y") * F.col("n"))).first()
     if not n or positive in (0, n):
         return 0.0, []
     start, model = math.log(positive / (n - positive)), []
     cuts = train.agg(*[F.percentile_approx(F.col("_x")[i], [k / bins for k in range(1, bins)], 10_000).alias(f"c{i}") for i in range(len(FEATURES))]).first()
     cuts = [sorted(set(c)) for c in cuts]
-    binned = written(train.select("y", F.col("_x"), F.array(*[F.size(F.filter(F.array(*[F.lit(v) for v in c]), lambda v, i=i: F.col("_x")[i] > v)) for i, c in enumerate(cuts)]).alias("b")), "url-bins")
+    binned = written(train.select("y", "n", F.col("_x"), F.array(*[F.size(F.filter(F.array(*[F.lit(v) for v in c]), lambda v, i=i: F.col("_x")[i] > v)) for i, c in enumerate(cuts)]).alias("b")), "url-bins")
     for _ in range(trees):
         tree, p = {}, 1 / (1 + F.exp(-margin(model, start, F.col("_x"))))
-        now = binned.select("_x", "b", F.round(SCALE * (p - F.col("y"))).cast("long").alias("g"), F.round(SCALE * p * (1 - p)).cast("long").alias("h"))
+        now = binned.select("_x", "b", "n", F.round(SCALE * (p - F.col("y"))).cast("long").alias("g"), F.round(SCALE * p * (1 - p)).cast("long").alias("h"))
         for level in range(depth + 1):
             node = node_of(tree, F.col("_x"))
-            hist = now.select(node.alias("node"), "g", "h", F.posexplode("b").alias("f", "bin")).where("node > 0").groupBy("node", "f", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count("*").alias("n")).collect()
+            hist = now.select(node.alias("node"), "g", "h", "n", F.posexplode("b").alias("f", "bin")).where("node > 0").groupBy("node", "f", "bin").agg(F.sum(F.col("g") * F.col("n")).alias("g"), F.sum(F.col("h") * F.col("n")).alias("h"), F.sum("n").alias("n")).collect()
             for at in sorted({r["node"] for r in hist}):
                 tree[at] = best_split([r for r in hist if r["node"] == at], cuts, rate, level == depth)
             if not any(isinstance(v, tuple) for k, v in tree.items() if k >= 1 << level):
@@ -184,8 +184,8 @@ def url_filter(pages: DataFrame, rules: Rules, url: str = "url", rows: int = TRA
     labelled = judged.where("verdict is not null").select(F.col(f"`{url}`").alias("url"), "host", "path", "verdict")
     statistics = written(suffix_statistics(labelled), "url-suffixes")
     few = statistics.limit(BROADCAST_SUFFIXES + 1).count() <= BROADCAST_SUFFIXES
-    sample = labelled.orderBy(F.xxhash64("url"), "url").limit(rows)
-    train = written(featured(sample, statistics, "url", few).select("_x", (F.col("verdict") == "block").cast("int").alias("y")), "url-training")
+    sample = labelled.groupBy("url", "host", "path", "verdict").agg(F.count("*").alias("n")).orderBy(F.xxhash64("url"), "url").limit(rows)
+    train = written(featured(sample, statistics, "url", few).select("_x", (F.col("verdict") == "block").cast("int").alias("y"), "n"), "url-training")
     start, trees = fit(train)
     score = margin(trees, start, F.col("_x"))
     out = featured(judged, statistics, url, few).withColumn("p_block", F.when(F.col("verdict").isNull(), 1 / (1 + F.exp(-score)))).drop("_x")
