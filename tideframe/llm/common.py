@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,42 +25,88 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPLIT), lambda w: w != "")
 
 
-OWN: dict[str, str] = {}  # folders of applications whose session names none, as in tests
+OWN: dict[str, str] = {}  # folders of local applications whose session names none, as in tests
+#: Folders of the working tables that written() made and nobody has dropped, by application.
+LEFT: dict[str, list[str]] = {}
+#: Tables of at most so many rows are broadcast by few().
+FEW = 1 << 19
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from the session; a temporary one only where it names none."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. Only where all run in one process a temporary
+    folder does where it is unset; on a cluster that is an error, as executors wouldn't see each other's files."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not is_one_process(spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         where = OWN[app] = OWN.get(app) or tempfile.mkdtemp(prefix="tideframe-")
     return where.rstrip("/")
 
 
-def written(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
-    """The same rows from a Parquet table in the shared folder: lineage is cut, and lost executors don't matter."""
+def is_one_process(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Within it, Spark removes the shuffle files of each query when the query has ended."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows from a Parquet table in the shared folder: lineage is cut, lost executors don't matter, and the shuffle
+    files that led to it are gone."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tideframe/{name}-{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(*by) if by else df.write
-    writer.parquet(path)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
+    app = spark.sparkContext.applicationId
+    if app not in LEFT:
+        LEFT[app] = []
+        atexit.register(at_end, spark, app)
+    LEFT[app].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(df: DataFrame) -> None:
-    """Remove the files of a table made by written()."""
-    spark = df.sparkSession
+def remove(spark: SparkSession, paths: list[str]) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/tideframe/" in path:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
+    left = LEFT.get(spark.sparkContext.applicationId, [])
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+        if path in left:
+            left.remove(path)
+
+
+def left(spark: SparkSession) -> list[str]:
+    """Folders of the working tables of this application that are still there."""
+    return list(LEFT.get(spark.sparkContext.applicationId, []))
+
+
+def at_end(spark: SparkSession, app: str) -> None:
+    """What is left goes with the driver, unless the application has ended before it."""
+    if spark.sparkContext._jsc is not None and spark.sparkContext.applicationId == app:
+        remove(spark, list(LEFT[app]))
+
+
+def drop_written(*tables: DataFrame) -> None:
+    """Remove the files of tables made by written()."""
+    for df in tables:
+        spark = df.sparkSession
+        found = {f.rsplit("/", 1)[0].rsplit("/", 1)[1] for f in df.inputFiles()}
+        remove(spark, [p for p in LEFT.get(spark.sparkContext.applicationId, []) if p.rsplit("/", 1)[1] in found])
 
 
-def release(spark: SparkSession) -> None:
-    """Have Spark remove the shuffle files of steps that nothing refers to any more, rather than when the driver happens to
-    collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def few(df: DataFrame) -> DataFrame:
+    """df, a written table, marked for broadcasting if it has FEW rows at most."""
+    return F.broadcast(df) if df.count() <= FEW else df
 
 
 def rows(batches: Iterator, *names: str) -> Iterator[tuple]:

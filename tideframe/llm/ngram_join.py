@@ -1,8 +1,8 @@
 """Exact n-gram Jaccard join by a token-group matrix.
 
-Texts with equal shingle sets form a class, and one member stands for it. A class's set is cut by hash value into segments,
-so many that sets over the wanted similarity must agree in several of them; the hash of a segment is one of the class's
-tokens. Similar classes form groups: each class joins the neighbour that shares most tokens with all others. The
+Texts with equal shingle sets form a class; the first of its rows stands for it and its number names it. A class's set is cut
+by hash value into segments, so many that sets over the wanted similarity must agree in several of them; the hash of a segment
+is one of the class's tokens. Tokens are dealt out once, and those that only one class has go no further. Similar classes form groups: each class joins the neighbour that shares most tokens with all others. The
 matrix holds each group's token union, as rows (token, group); a join with the classes' own tokens counts how many of them
 a group has, which bounds the overlap with any member. Only groups with enough are opened.
 
@@ -30,10 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_written, release, written
+from .common import drop_written, few, written
 
 MEMO = 400_000  # word hashes kept in a Python worker
 BLOCK = 1024  # classes on a side of one block of comparisons
+#: Tokens that a HOT_SHARE of about SAMPLE sampled rows have are counted apart from the others.
+SAMPLE, HOT_SHARE = 10_000, 0.01
 
 
 class WordHashes(dict):
@@ -177,49 +179,64 @@ def linked(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> Ite
             yield i, j
 
 
-def shared_tokens(rows: DataFrame) -> DataFrame:
-    """cls, need, token and c of the tokens that c > 1 classes have."""
-    classes = rows.where("cls is not null").groupBy("cls").agg(F.first("need").alias("need"), F.first("tokens").alias("tokens"))
-    # a hash names the class while all tokens are dealt out; should two classes share one, they get each other's tokens too
-    told = classes.select(F.xxhash64("cls").alias("name"), F.explode("tokens").alias("token"))
-    named = classes.select("cls", "need", F.xxhash64("cls").alias("named"))
-    counted = told.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").withColumnRenamed("token", "t")
-    common = written(told.join(counted, F.col("token") == F.col("t")).select("name", "token", "c"), "common-tokens")
-    shared = written(common.join(named, F.col("name") == F.col("named")).select("cls", "need", "token", "c"), "shared-tokens")
-    drop_written(common)
+def hot_tokens(found: DataFrame) -> DataFrame:
+    """hot: the tokens that many rows of a sample have. A sampled row has some hundred tokens, so these are some ten thousand at
+    most; the choice only says how a token's classes are counted, not whether."""
+    share = min(1.0, SAMPLE / max(1, found.count()))
+    told = found.sample(share, seed=1).select(F.explode("tokens").alias("hot"))
+    return told.groupBy("hot").agg(F.count("*").alias("n")).where(F.col("n") >= max(100, int(SAMPLE * HOT_SHARE))).select("hot")
+
+
+def shared_tokens(found: DataFrame, copied: DataFrame) -> DataFrame:
+    """v, token and c of the tokens that c > 1 classes have; found has cls, ref and tokens, copied the names of the classes of
+    more than one row."""
+    first = found.where("cls is not null").join(few(copied), F.col("cls") == F.col("same"), "left").where("name is null or name = ref")
+    told = first.select(F.col("ref").alias("v"), F.explode("tokens").alias("token"))
+    hot = written(hot_tokens(found), "hot-tokens")
+    each = Window.partitionBy("token")
+    if hot.isEmpty():
+        counted = told.withColumn("c", F.count("*").over(each))
+    else:
+        marked = told.join(F.broadcast(hot), F.col("token") == F.col("hot"), "left")
+        cold = marked.where("hot is null").select("v", "token").withColumn("c", F.count("*").over(each))
+        many = marked.where("hot is not null").select("v", "token")
+        sums = many.groupBy(F.col("token").alias("t")).agg(F.count("*").alias("c"))
+        counted = cold.unionByName(many.join(F.broadcast(sums), F.col("token") == F.col("t")).select("v", "token", "c"))
+    shared = written(counted.where("c > 1"), "shared-tokens")
+    drop_written(hot)
     return shared
 
 
-def links_of(rows: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """a, b: links between classes, enough of them to connect all that links connect."""
-    shared = shared_tokens(rows)
-    release(rows.sparkSession)
+def links_of(found: DataFrame, rows: DataFrame, copied: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+    """a, b: links between classes, enough of them to connect all that links connect. Drops found."""
+    shared = shared_tokens(found, copied)
+    drop_written(found)
     # groups: each class goes to the neighbour that shares most tokens with all
-    rank = shared.groupBy("cls").agg(F.struct(F.sum("c").alias("s"), F.col("cls").alias("x")).alias("rank"))
-    ranked = shared.join(rank, "cls")
+    rank = shared.groupBy("v").agg(F.struct(F.sum("c").alias("s"), F.col("v").alias("x")).alias("rank"))
+    ranked = shared.join(rank, "v")
     leaders = ranked.groupBy("token").agg(F.max("rank").alias("best")).withColumnRenamed("token", "t")
-    member = ranked.join(leaders, F.col("token") == F.col("t")).groupBy("cls").agg(F.max("best")["x"].alias("grp"))
-    grouped = written(shared.join(member, "cls"), "grouped-tokens")
+    member = ranked.join(leaders, F.col("token") == F.col("t")).groupBy("v").agg(F.max("best")["x"].alias("grp"))
+    grouped = written(shared.select("v", "token").join(member, "v"), "grouped-tokens")
     # the matrix, and the bound of each class and group
-    matrix = grouped.select("token", "grp").distinct().withColumnRenamed("token", "t").withColumnRenamed("grp", "g")
-    overlap = grouped.join(matrix, F.col("token") == F.col("t")).groupBy("cls", "need", "g").agg(F.count("*").alias("overlap"))
-    opened = overlap.where("overlap >= need").select("cls", "g")
-    opened = written(opened, "opened-groups")
-    # whole sets of the classes that are in question
-    one = rows.where("cls is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "th")).alias("one"))
-    wanted = shared.select("cls").distinct().join(one, "cls").select("cls", F.col("one.doc_id").alias("wid"), F.col("one.th").alias("wth"))
+    matrix = written(grouped.select(F.col("token").alias("t"), F.col("grp").alias("g")).distinct(), "token-groups")
+    overlap = grouped.join(matrix, F.col("token") == F.col("t")).groupBy("v", "g").agg(F.count("*").alias("overlap"))
+    wanted = written(shared.select("v").distinct().join(rows, F.col("v") == F.col("ref")).select(F.col("v").alias("c"), "need", F.col("cls").alias("digest"), F.col("doc_id").alias("wid"), F.col("th").alias("wth")), "wanted-classes")
+    opened = written(overlap.join(few(wanted.select("c", "need")), F.col("v") == F.col("c")).where("overlap >= need").select("v", "g"), "opened-groups")
+    drop_written(shared, grouped, matrix)
 
+    # whole sets of the classes that are in question
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [shingles(t.as_py(), size) for t in b.column(1)]
-            same = [xxhash.xxh3_128_digest(s.tobytes()) == c.as_py() for s, c in zip(got, b.column(0), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([c.as_py() for c, ok in zip(b.column(0), same, strict=True) if ok], pa.binary()), pa.array([s.tobytes() for s, ok in zip(got, same, strict=True) if ok], pa.binary())], names=["c", "hashes"])
+            got = [shingles(t.as_py(), size).tobytes() for t in b.column(2)]
+            same = pa.array([xxhash.xxh3_128_digest(s) == d.as_py() for s, d in zip(got, b.column(1), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], names=["c", "hashes"]).filter(same)
 
-    texts = docs.select(F.col(key).cast("long").alias("id"), text_hash(text).alias("th"), F.col(text).cast("string").alias("text"))
-    sets = texts.join(wanted, F.col("id").eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth"))).select("cls", "text").mapInArrow(whole, "c binary, hashes binary").dropDuplicates(["c"])
+    texts = docs.select(F.col(f"`{key}`").cast("long").alias("id"), text_hash(text).alias("th"), F.col(f"`{text}`").cast("string").alias("text"))
+    sets = texts.join(few(wanted), F.col("id").eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth"))).select("c", "digest", "text").mapInArrow(whole, "c long, hashes binary").dropDuplicates(["c"])
     sets = written(sets, "sets")
+    drop_written(wanted)
     # first each class with the leaders of its groups
-    pairs = opened.where("cls != g").join(sets, F.col("cls") == F.col("c")).select("cls", "g", F.col("hashes").alias("h1")).join(sets, F.col("g") == F.col("c")).select("cls", "g", "h1", "hashes")
+    pairs = opened.where("v != g").join(sets, F.col("v") == F.col("c")).select("v", "g", F.col("hashes").alias("h1")).join(sets, F.col("g") == F.col("c")).select("v", "g", "h1", "hashes")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -230,25 +247,28 @@ def links_of(rows: DataFrame, docs: DataFrame, key: str, text: str, size: int, p
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    near = written(pairs.mapInArrow(compared, "cls binary, g binary").select(F.col("cls").alias("a"), F.col("g").alias("b")), "leader-links")
-    label = components(near).withColumnRenamed("v", "lv")
+    near = written(pairs.mapInArrow(compared, "v long, g long").select(F.col("v").alias("a"), F.col("g").alias("b")), "leader-links")
+    found = components(near)
+    label = found.withColumnRenamed("v", "lv")
     # then what the leaders leave open: groups that hold more than one component
-    state = opened.join(label, F.col("cls") == F.col("lv"), "left").select("cls", "g", F.coalesce("label", "cls").alias("label"))
+    state = opened.join(label, F.col("v") == F.col("lv"), "left").select("v", "g", F.coalesce("label", "v").alias("label"))
     main = label.select(F.col("lv").alias("mv"), F.col("label").alias("ml"))
-    state = state.join(main, F.col("g") == F.col("mv"), "left").select("cls", "g", "label", (F.col("label") == F.coalesce("ml", "g")).alias("inside"))
+    state = state.join(main, F.col("g") == F.col("mv"), "left").select("v", "g", "label", (F.col("label") == F.coalesce("ml", "g")).alias("inside"))
     state = written(state, "open-groups")
+    drop_written(found, opened)
     size_of = state.groupBy("g").agg(F.count_if(~F.col("inside")).alias("n_left"), F.count("*").alias("n_right")).where("n_left > 0").withColumnRenamed("g", "sg")
-    place = F.pmod(F.xxhash64("cls"), F.lit(1 << 30))
-    todo = state.join(size_of, F.col("g") == F.col("sg")).withColumn("nl", F.ceil(F.col("n_left") / BLOCK)).withColumn("nr", F.ceil(F.col("n_right") / BLOCK))
-    to_left = todo.where("not inside").select("cls", "g", "label", (place % F.col("nl")).alias("bl"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nr") - 1)).alias("br"), F.lit(True).alias("asks"))
-    to_right = todo.select("cls", "g", "label", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nl") - 1)).alias("bl"), (place % F.col("nr")).alias("br"), F.lit(False).alias("asks"))
-    dealt = to_left.unionByName(to_right).join(sets, F.col("cls") == F.col("c")).select("g", "bl", "br", "asks", "cls", "label", "hashes")
+    size_of = written(size_of, "open-group-sizes")
+    place = F.pmod(F.xxhash64("v"), F.lit(1 << 30))
+    todo = state.join(few(size_of), F.col("g") == F.col("sg")).withColumn("nl", F.ceil(F.col("n_left") / BLOCK)).withColumn("nr", F.ceil(F.col("n_right") / BLOCK))
+    to_left = todo.where("not inside").select("v", "g", "label", (place % F.col("nl")).alias("bl"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nr") - 1)).alias("br"), F.lit(True).alias("asks"))
+    to_right = todo.select("v", "g", "label", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nl") - 1)).alias("bl"), (place % F.col("nr")).alias("br"), F.lit(False).alias("asks"))
+    dealt = to_left.unionByName(to_right).join(sets, F.col("v") == F.col("c")).select("g", "bl", "br", "asks", "v", "label", "hashes")
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         """Links of one block between classes that it doesn't know to be connected."""
-        top = {bytes(x): bytes(x) for x in pdf["label"]}
+        top = {x: x for x in pdf["label"].tolist()}
 
-        def find(x: bytes) -> bytes:
+        def find(x: int) -> int:
             while top[x] != x:
                 top[x] = x = top[top[x]]
             return x
@@ -257,7 +277,7 @@ def links_of(rows: DataFrame, docs: DataFrame, key: str, text: str, size: int, p
         sets_l, sets_r = ([np.frombuffer(h, np.uint64) for h in side["hashes"]] for side in (left, right))
         found = []
         if sets_l and sets_r:
-            ll, rl, lc, rc = (list(map(bytes, c)) for c in (left["label"], right["label"], left["cls"], right["cls"]))
+            ll, rl, lc, rc = (c.tolist() for c in (left["label"], right["label"], left["v"], right["v"]))
             for i, j in linked(sets_l, sets_r, percent):
                 x, y = find(ll[i]), find(rl[j])
                 if x != y:
@@ -265,35 +285,51 @@ def links_of(rows: DataFrame, docs: DataFrame, key: str, text: str, size: int, p
                     found.append((lc[i], rc[j]))
         return pd.DataFrame(found, columns=["a", "b"])
 
-    far = dealt.groupBy("g", "bl", "br").applyInPandas(block, "a binary, b binary")
-    return near.union(far)
+    links = written(near.union(dealt.groupBy("g", "bl", "br").applyInPandas(block, "a long, b long")), "class-links")
+    drop_written(near, state, size_of, sets)
+    return links
 
 
 def labelled(docs: DataFrame, size: int, percent: int, key: str, text: str) -> DataFrame:
     """doc_id, th (hash of the text), n and label (of its component; null: no words) of each row."""
-    rows = written(sized(docs, key, text, size, percent), "shingle-classes")
-    found = components(links_of(rows, docs, key, text, size, percent))
-    release(docs.sparkSession)
-    named = rows.select("doc_id", "th", "n", "cls").join(found, F.col("cls") == F.col("v"), "left").withColumn("label", F.coalesce("label", "cls"))
-    return written(named.select("doc_id", "th", "n", "label"), "shingle-labels")
+    found = written(sized(docs, key, text, size, percent).withColumn("ref", F.monotonically_increasing_id()), "shingle-tokens")
+    rows = written(found.drop("tokens"), "shingle-classes")
+    copied = written(rows.where("cls is not null").groupBy(F.col("cls").alias("same")).agg(F.min("ref").alias("name"), F.count("*").alias("copies")).where("copies > 1").drop("copies"), "copied-classes")
+    links = links_of(found, rows, copied, docs, key, text, size, percent)
+    tops = components(links)
+    named = rows.join(few(copied), F.col("cls") == F.col("same"), "left").withColumn("name", F.when(F.col("cls").isNotNull(), F.coalesce("name", "ref")))
+    out = written(named.join(few(tops), F.col("name") == F.col("v"), "left").select("doc_id", "th", "n", F.coalesce("label", "name").alias("label")), "shingle-labels")
+    drop_written(rows, copied, links, tops)
+    return out
+
+
+def least_of_many(known: DataFrame, by: F.Column, least: str) -> DataFrame:
+    """l and the least `by` of each label that more than one row bears, from a written table."""
+    return written(known.where("label is not null").groupBy(F.col("label").alias("l")).agg(F.min(by).alias(least), F.count("*").alias("rows")).where("rows > 1").drop("rows"), "least-of-labels")
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, th (hash of the text), n_shingles and component_id of each row."""
     rows = labelled(docs, size, percent, key, text)
-    least = rows.where("label is not null").groupBy(F.col("label").alias("l")).agg(F.min("doc_id").alias("component"))
-    return rows.join(least, F.col("label") == F.col("l"), "left").select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    least = least_of_many(rows, F.col("doc_id"), "component")
+    return rows.join(few(least), F.col("label") == F.col("l"), "left").select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def first_of_each(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each component: that of the least id, no id being the last, and of the least text hash
     among equal ids. Documents without words stay, but of those alike in id and text one, unless they have no id."""
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
-    known = labelled(docs, size, percent, key, text).where("label is not null").withColumn("rank", rank)
-    least = known.groupBy(F.col("label").alias("l")).agg(F.min("rank").alias("least"))
-    gone = known.join(least, F.col("label") == F.col("l")).where("rank > least").select("doc_id", "th").distinct()
-    gone = written(gone.select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")), "near-copies")
+    known = labelled(docs, size, percent, key, text)
+    ranked = known.where("label is not null").withColumn("rank", rank)
+    least = least_of_many(ranked, F.col("rank"), "least")
+    gone = written(ranked.join(few(least), F.col("label") == F.col("l")).where("rank > least").select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")).distinct(), "near-copies")
+    # of rows alike in id and text one stays; only these are numbered, so that other texts aren't shuffled
+    alike = written(known.groupBy(F.col("doc_id").alias("same_id"), F.col("th").alias("same_th")).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "rows-alike")
+    drop_written(known, least)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{key}`").cast("long").alias("id"), text_hash(text).alias("th"), F.coalesce(F.col(f"`{text}`").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("worded"))
-    left = rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("th") == F.col("gone_th")), "left_anti")
-    alike = F.row_number().over(Window.partitionBy("id", "th").orderBy("id"))
-    return left.withColumn("_n", alike).where("_n = 1 or (id is null and not worded)").select("row.*")
+    left = rows.join(few(gone), F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("th") == F.col("gone_th")), "left_anti")
+    repeated = F.col("id").eqNullSafe(F.col("same_id")) & (F.col("th") == F.col("same_th"))
+    if alike.isEmpty():
+        return left.select("row.*")
+    several = left.join(few(alike), repeated, "left_semi").withColumn("nth", F.row_number().over(Window.partitionBy("id", "th").orderBy("id")))
+    return left.join(few(alike), repeated, "left_anti").select("row.*").union(several.where("nth = 1 or (id is null and not worded)").select("row.*"))

@@ -158,8 +158,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", key
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows and columns of docs that quality_rules keeps; texts are read twice, so that they needn't be shuffled."""
-    held = features(docs.select(key, stratum, text), text).drop(text)
-    cutoffs = written(learn(held, labels, stratum, key), "quality-cutoffs")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{stratum}`").alias("_by"), F.col(f"`{text}`").alias("_text"))
-    return judge(features(rows, "_text").drop("_text"), cutoffs, "_by").where("kept").select("_row.*")
+    """The rows and columns of docs that quality_rules keeps. Rows and measures are written side by side, so that each text is
+    measured once and none is shuffled."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    held = written(rows.select("_row", F.inline(F.array(measured(F.col(f"_row.`{text}`"))))), "quality-rows")
+    known = held.select(F.col(f"_row.`{key}`").alias(key), F.col(f"_row.`{stratum}`").alias(stratum), *FEATURES)
+    cutoffs = written(learn(known, labels, stratum, key), "quality-cutoffs")
+    return judge(held.withColumn("_by", F.col(f"_row.`{stratum}`")), cutoffs, "_by").where("kept").select("_row.*")
