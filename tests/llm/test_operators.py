@@ -372,6 +372,25 @@ def test_segments():
         token_files.Segment(b"x" * 40)
 
 
+def test_bits_of_blocks():
+    rng = np.random.default_rng(5)
+    for width in range(33):
+        for n in (1, 63, 64, 65, 512):
+            x = rng.integers(0, 2**width, (3, n), dtype=np.uint64)
+            bits = token_files.packed_bits(x, width)
+            plain = ((x[:, :, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).reshape(3, -1)
+            assert (bits == np.packbits(plain, axis=1, bitorder="little")).all()
+            assert (token_files.unpacked_bits(bits, width, n) == x).all()
+    for percentile in (0, 50, 95, 100):  # the width fits the percentile, the exceptions are the others
+        ids = rng.integers(0, 2**20, 100).astype(np.uint32)
+        ids[:5] = 2**32 - 1
+        block = token_files.pack_block(ids, percentile)
+        low, width, n, far = token_files.BLOCK_HEAD.unpack_from(block)
+        rest = np.sort(ids.astype(np.int64) - low)
+        assert (low, n, width) == (ids.min(), 100, int(rest[-(-percentile * 99 // 100)]).bit_length()) and far == (rest >> width > 0).sum()
+        assert (token_files.unpack_block(block) == ids).all()
+
+
 def test_token_files(spark, docs, rows, none):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
@@ -394,6 +413,9 @@ def test_word_encoder_against_library(monkeypatch):
         t = "".join(chr(rnd.choice([rnd.randint(0, 126), rnd.randint(97, 122), rnd.randint(128, 0x4FF), rnd.randint(0x300, 0x36F), 32, 10, 0x1C, 0x85, 0xA0, 0x130, 73, 46, 39, 115])) for _ in range(rnd.randint(0, 30)))
         t += rnd.choice(["", " <|endoftext|> x<|ENDOFTEXT|>. a<|endoftext|>."])
         assert e.encode([t], 1)[0].tolist() == [*library.encode(t, add_special_tokens=False).ids, 1]
+    odd = ["", " ", "J\u030c j\u030c x", "É!!! é\u0301?! ΑΣ. ΣΑ", "a<|b c|> <|ENDOFTEXT|>!", "it's IT'S 'tis x'" * 40, "१२. 12.5% (759)", "\u00a0a\u00a0b. \u3000"]
+    for got, t in zip(e.encode(odd, 1), odd, strict=True):
+        assert got.tolist() == [*library.encode(t, add_special_tokens=False).ids, 1]
 
 
 # --- 10 --------------------------------------------------------------------------------------------------------------
