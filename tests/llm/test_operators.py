@@ -433,7 +433,21 @@ def test_repeated_starts():
     for _ in range(200):
         n, ts = rnd.randint(2, 8), [bytes(rnd.choices(rnd.choice([b"ab", b"abcdefg"]), k=rnd.randint(0, 40))) for _ in range(rnd.randint(1, 5))]
         count = Counter(t[x : x + n] for t in ts for x in range(len(t) - n + 1))
-        assert [x.tolist() for x in suffix_dedup.repeated_starts(ts, n)] == [[x for x in range(len(t) - n + 1) if count[t[x : x + n]] > 1] for t in ts]
+        got = suffix_dedup.repeated_starts([np.frombuffer(t, np.uint8) for t in ts], [-1] * len(ts), [0] * len(ts), [n])
+        assert [x.tolist() for x in got] == [[x for x in range(len(t) - n + 1) if count[t[x : x + n]] > 1] for t in ts]
+
+
+def test_many_shards_at_once():
+    rnd = random.Random(3)
+    for _ in range(200):
+        side = lambda n: bytes(rnd.choices(b"ab", k=rnd.randint(0, n)))
+        shards = [(n, [(side(n), side(n)) for _ in range(rnd.randint(1, 5))]) for n in rnd.choices(range(1, 7), k=4)]
+        flat = [(g, left, right) for g, (_, rims) in enumerate(shards) for left, right in rims]
+        got = suffix_dedup.repeated_starts([np.frombuffer(a + b, np.uint8) for _, a, b in flat], [len(a) for _, a, _ in flat], [g for g, *_ in flat], [n + 1 for n, _ in shards])
+        held = [(g, a + b"#" + b) for g, a, b in flat]
+        count = Counter((g, t[x : x + shards[g][0] + 1]) for g, t in held for x in range(len(t) - shards[g][0]))
+        inside = [{x for x in range(len(t) - shards[g][0]) if x <= len(a) <= x + shards[g][0] and count[g, t[x : x + shards[g][0] + 1]] > 1} for (g, t), (_, a, _) in zip(held, flat, strict=True)]
+        assert [{x for x in h.tolist() if x <= len(a) <= x + shards[g][0]} for h, (g, a, _) in zip(got, flat, strict=True)] == inside
 
 
 def brute_removed(texts, length):
@@ -450,16 +464,39 @@ def brute_removed(texts, length):
     return out
 
 
-@pytest.mark.parametrize("limit", [4 << 20, 1000])
+@pytest.mark.parametrize("limit", [4096, 2, 1])
 def test_removed(spark, docs, rows, none, monkeypatch, limit):
-    """The same by suffix arrays and, beyond a shard's size, by counts of windows."""
-    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", limit)
+    """The same however often shards are cut."""
+    monkeypatch.setattr(suffix_dedup, "MEMBERS", limit)
     got = suffix_dedup.removed(docs).collect()
     want = Counter((r[0], *b) for r, b in zip(rows, brute_removed([r[1] for r in rows], 400), strict=True))
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
     assert sum(r.n_removed for r in got) > 0 and suffix_dedup.removed(none).count() == 0
 
 
+def test_large_shards_are_cut_and_sorted(spark, monkeypatch):
+    """A passage in many texts: the rims that agree beyond it are found in shards that were cut."""
+    monkeypatch.setattr(suffix_dedup, "MEMBERS", 8)
+    rnd = random.Random(12)
+    say = lambda n: "".join(rnd.choices("abcdefgh ", k=n))
+    passage, tails = say(390), [say(60) for _ in range(4)]
+    rows = [(i, say(200) + tails[i % 4][-rnd.randint(0, 60) :] + passage + tails[-i % 4][: rnd.randint(0, 60)] + say(200)) for i in range(60)]
+    got = suffix_dedup.removed(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = {i: b for (i, _), b in zip(rows, brute_removed([t for _, t in rows], 400), strict=True)}
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want and len({b[1] for b in want.values()}) > 5
+
+
+def test_rows_alike_and_one_symbol_texts(spark):
+    """Rows alike tell their spans once; a text of one symbol tells its windows once."""
+    text = "".join(map(str, range(300)))
+    rows = [(7, text)] * 2000 + [(8, "a" * 5000), (9, "ab" * 900), (10, "a" * 399), (11, "b" + "a" * 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r.id: len(r.spans) for r in suffix_dedup.repeats(df).collect()}
+    assert spans[7] < 60 and spans[8] < 10 and spans[9] < 10
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.removed(df).collect()}
+    assert got == {7: (len(text), 1), 8: (5000, 1), 9: (1800, 1), 10: (0, 0), 11: (400, 1)}
+
+
 def test_removed_families(spark):
     rows = families(31, 4, 300, 6) + [(1000 + i, "shared head " * i + "p" * 50 + "".join(map(str, range(200))) + " tail" * i) for i in range(6)]
     got = suffix_dedup.removed(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -496,9 +533,9 @@ def brute_cleaned(texts, length, count):
     return out
 
 
-@pytest.mark.parametrize("limit", [4 << 20, 10])
+@pytest.mark.parametrize("limit", [4096, 2])
 def test_repeated_passages(spark, monkeypatch, limit):
-    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", limit)
+    monkeypatch.setattr(suffix_dedup, "MEMBERS", limit)
     rnd = random.Random(8)
     say = lambda n, k=8: " ".join("".join(rnd.choices("abcdefghij", k=rnd.randint(1, k))) for _ in range(n))
     out = [say(rnd.randint(1, 80)) for _ in range(10)]

@@ -74,7 +74,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.removed(table(spark, sf_dir, "documents")).drop("removed")
+    return suffix_dedup.removed(table(spark, sf_dir, "documents"), words=suffix_dedup.PASSAGE_WORDS).drop("removed")
 
 
 #: Every query of this subpackage.

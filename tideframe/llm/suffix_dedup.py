@@ -2,14 +2,16 @@
 
 Every byte goes that a string of `length` bytes covers which starts anywhere else too, in any text or the same.
 
-All windows of `length` bytes are dealt into ranges: consecutive windows with one least hash of their strings of gram(length)
-bytes, the anchor. Equal windows have equal anchors, so only ranges whose anchor occurs twice matter. Such ranges take the place of
-text that is equal as a whole: one that occurs twice is repeated throughout. What is left, the ranges at the rims of
-repeats, is sorted in shards, one for each anchor with its different ranges, which all hold the anchor's string once; it is one symbol
-there (unless a range holds it twice). Induced sorting makes the shard's suffix array,
-the permuted common prefixes with each suffix's neighbour follow from it, and those of `length` or more are repeats. A range
-goes there only if one of three strings of length - slack(length) bytes around its anchor, one of which every window of it holds,
-occurs twice. A shard of more than SHARD_BYTES is not sorted in one task: the hashes of its windows are counted instead.
+All windows of `length` bytes are dealt into ranges: consecutive windows whose least hash of a string of gram(length) bytes lies
+at the same place, the anchor. Equal windows have equal anchors at the same offset, so only ranges whose anchor occurs twice matter.
+Ranges that are equal as a whole get one name, as induced sorting names equal substrings; a name that occurs twice is repeated
+throughout. What is left, the ranges at the rims of repeats, is cut into shards.
+
+A shard holds the windows of one anchor whose offset lies in one of three classes, of the ranges that agree in the string which
+all windows of the class hold; that string is one symbol there. Induced sorting makes the suffix array of many shards at once,
+the permuted common prefixes with each suffix's neighbour follow from it, and those of a window's length are repeats. A shard of
+more than MEMBERS ranges is cut again, by the symbols next to the string that they share, into eight classes of offsets, and
+then by single offsets: there the shared string is the whole window. So no shard grows with the data, and none is left out.
 
 The symbols are bytes or, for passages of so many words, the words' hashes: then white space doesn't count, and what goes is
 the bytes from the first word to the last.
@@ -41,7 +43,9 @@ from .common import rows as rows_of
 from .ngram_join import WORDS
 
 LENGTH = 400
-SHARD_BYTES = 4 << 20
+PASSAGE_WORDS = 51
+#: Ranges of a shard at most, and symbols that are sorted at once (or a shard, if it has more).
+MEMBERS, SORTED = 4096, 1 << 16
 BATCH_BYTES = 4 << 20
 MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
 TOP = np.uint64(2**64 - 1)
@@ -133,32 +137,32 @@ def permuted_prefixes(text: list[int], order: list[int]) -> tuple[list[int], lis
     return found, before
 
 
-def repeated_starts(texts: list[bytes] | list[np.ndarray], length: int, shared: list[int] | None = None, size: int = 1) -> list[np.ndarray]:
-    """For each text (bytes or word hashes), the starts of its strings of that length that start elsewhere in these texts too.
-
-    shared: where in each text one string of `size` symbols lies that all texts hold, each once, and that all strings asked
-    for hold. It is one symbol then, as a name stands for a substring, and starts behind it aren't told.
-    """
-    m, kinds = len(texts), 256
-    if m and not isinstance(texts[0], bytes):
-        known, ranked = np.unique(np.concatenate(texts), return_inverse=True)
-        kinds, texts = len(known), np.split(ranked, np.cumsum([len(t) for t in texts])[:-1])
+def repeated_starts(texts: list[np.ndarray], marks: list[int], groups: list[int], lengths: list[int]) -> list[np.ndarray]:
+    """For each text (bytes or word hashes), the starts of its strings of its group's length that start elsewhere in texts of the
+    group too, of those that hold the group's shared string: one symbol, before the text's symbol number marks[k], that no
+    other group has. Without shared strings (marks -1) all groups are one."""
+    m, own = len(texts), max(groups, default=0) + 1
+    known, ranked = np.unique(np.concatenate(texts), return_inverse=True)
+    base, ends = m + own + 1, np.cumsum([len(t) for t in texts])
     joined: list[int] = []
-    for k, t in enumerate(texts):
-        symbols = ((np.frombuffer(t, np.uint8) if isinstance(t, bytes) else t).astype(np.int64) + m + 1).tolist()
-        if shared is not None:
-            symbols[shared[k] : shared[k] + size] = [m + kinds + 1]
+    begin, extra = [], [int(x >= 0) for x in marks]
+    for k, t in enumerate(np.split(ranked + base, ends[:-1])):
+        symbols = t.tolist()
+        if extra[k]:
+            symbols.insert(marks[k], m + 1 + groups[k])
+        begin.append(len(joined))
         joined += symbols
         joined.append(k + 1)
     joined.append(0)
-    prefixes, before = permuted_prefixes(joined, suffix_array(joined, m + kinds + 2))
-    less = 0 if shared is None else size - 1
+    prefixes, before = permuted_prefixes(joined, suffix_array(joined, base + len(known)))
     p, b = np.array(prefixes), np.array(before)
-    long = p >= length - less
-    hit = long.copy()
-    hit[b[long]] = True
-    cuts = np.cumsum([0, *(len(t) - less + 1 for t in texts)])
-    return [np.flatnonzero(hit[cuts[k] : cuts[k + 1] - 1]) for k in range(m)]
+    sizes = np.array([len(t) for t in texts]) + np.array(extra) + 1
+    need = np.repeat(np.array(lengths)[groups], sizes)
+    long = p[:-1] >= need
+    hit = np.zeros(len(joined), bool)
+    hit[:-1] = long
+    hit[b[:-1][long]] = True
+    return [np.flatnonzero(hit[i : i + n - 1]) for i, n in zip(begin, sizes.tolist(), strict=True)]
 
 
 # --- ranges ----------------------------------------------------------------------------------------------------------
@@ -169,9 +173,15 @@ def gram(length: int) -> int:
     return 1 << max((length - 1).bit_length() - 1, 0)
 
 
-def slack(length: int) -> int:
-    """So much that three steps of it reach over all places of an anchor in a window."""
-    return -(-(length - gram(length)) // 3)
+def classes(most: int, width: int) -> list[tuple[int, int]]:
+    """Offsets 0 to most in classes of width: the first and last offset of each."""
+    return [(a, min(a + width - 1, most)) for a in range(0, most + 1, width)]
+
+
+def first_classes(length: int) -> list[tuple[int, int]]:
+    """Three classes of the offsets of an anchor in its window."""
+    most = length - gram(length)
+    return classes(most, -(-(most + 1) // 3))
 
 
 def byte_symbols(data: bytes) -> np.ndarray:
@@ -210,11 +220,12 @@ def window_least(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[: n - w + 1], left[w - 1 : n])
 
 
-def ranges(texts: list[np.ndarray], length: int) -> dict[str, np.ndarray]:
+def ranges(texts: list[np.ndarray], length: int) -> tuple[dict[str, np.ndarray], list[tuple[int, int, int]]]:
     """The ranges of texts of at least `length` symbols: text (place in the list), s and e (first and last start of its
-    windows), anchor, whole (hash of all its symbols), c0 to c2 (hashes of the inner strings; 0: none) and again (the anchor
-    occurs in it more than once)."""
-    size, step = gram(length), slack(length)
+    windows), p (place of the anchor), anchor, whole (hash of all its symbols), n (how often the text has it there), and c0 to c2,
+    hashes of the strings that all its windows of an offset class hold (0: it has none). Where an anchor's string follows
+    itself, ranges that a text has twice are told once; their windows are in the second list, as text, first and last start."""
+    size = gram(length)
     w = length - size + 1
     data = np.concatenate(texts)
     sizes = np.array([len(t) for t in texts])
@@ -235,23 +246,38 @@ def ranges(texts: list[np.ndarray], length: int) -> dict[str, np.ndarray]:
         first, last = h[s[c][:, None] + steps] == anchor[c][:, None], h[e[c][:, None] + steps] == anchor[c][:, None]
         p[c] = s[c] + first.argmax(axis=1)
         again[c] = (first.sum(axis=1) > 1) | (last.sum(axis=1) > 1) | (e[c] + last.argmax(axis=1) != p[c])
-    text = np.searchsorted(begin, s, side="right") - 1
+    # where the least hash occurs again, a window belongs to the first place of it
+    parts = [(s[~again], e[~again], p[~again], anchor[~again])]
+    for i in np.flatnonzero(again).tolist():
+        places = s[i] + np.flatnonzero(h[s[i] : e[i] + w] == anchor[i])
+        starts = np.arange(s[i], e[i] + 1)
+        q = places[np.searchsorted(places, starts)]
+        cut = np.flatnonzero(np.diff(q, prepend=-1))
+        parts.append((starts[cut], np.concatenate([starts[cut[1:]] - 1, [e[i]]]), q[cut], np.repeat(anchor[i], len(cut))))
+    plain = len(parts[0][0])
+    s, e, p, anchor = (np.concatenate(x) for x in zip(*parts, strict=True))
     end = e + length - size
     whole = mixed(h[s] * MULTIPLIER + h[(s + end) // 2]) * MULTIPLIER + h[end] + (e - s).astype(np.uint64)
-    for i in np.flatnonzero(again):
-        whole[i] = xxhash.xxh3_64_intdigest(data[s[i] : e[i] + length])
-    out = {"text": text, "s": s - begin[text], "e": e - begin[text], "p": p - begin[text], "anchor": anchor, "whole": whole, "again": again}
-    inner = length - step
-    for j in range(3):
-        x = p - step * j
-        ok = (x >= begin[text]) & (x + inner <= begin[text] + sizes[text])
-        x = np.where(ok, x, 0)
-        out[f"c{j}"] = np.where(ok, (mixed(h[x] * MULTIPLIER + h[np.minimum(x + inner - size, len(h) - 1)]) | np.uint64(1)), np.uint64(0))
-    return out
+    text, n, sure = np.searchsorted(begin, s, side="right") - 1, np.ones(len(s), np.int64), []
+    if plain < len(s):
+        _, kind, back, times = np.unique(np.stack([text[plain:].astype(np.uint64), anchor[plain:], whole[plain:]]), axis=1, return_index=True, return_inverse=True, return_counts=True)
+        twice = plain + np.flatnonzero(times[back.ravel()] > 1)
+        spans = merged(np.stack([s[twice], e[twice] + 1], axis=1))
+        sure = [(int(k), int(x), int(y) - 1) for k, (x, y) in zip(np.searchsorted(begin, spans[:, 0], side="right") - 1, spans, strict=True)]
+        kept = np.concatenate([np.arange(plain), plain + kind])
+        n[plain + kind] = times
+        s, e, p, anchor, whole, text, n = (x[kept] for x in (s, e, p, anchor, whole, text, n))
+    out = {"text": text, "s": s - begin[text], "e": e - begin[text], "p": p - begin[text], "anchor": anchor, "whole": whole, "n": n}
+    most = length - size
+    for j, (d1, d2) in enumerate(first_classes(length)):
+        there = (s <= p - d1) & (e >= p - d2)
+        x, y = np.where(there, p - d1, 0), np.where(there, p + most - d2, 0)  # first and last string in what the class holds
+        out[f"c{j}"] = np.where(there, mixed(h[x] * MULTIPLIER + h[y]) | np.uint64(1), np.uint64(0))
+    return out, [(k, x - int(begin[k]), y - int(begin[k])) for k, x, y in sure]
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
-    """Sorted, disjoint spans (start, end) that don't touch, with the same bytes."""
+    """Sorted, disjoint spans (start, end) that don't touch, with the same places."""
     if not len(spans):
         return spans.reshape(0, 2)
     spans = spans[np.argsort(spans[:, 0], kind="stable")]
@@ -266,7 +292,9 @@ def runs(starts: np.ndarray, length: int) -> np.ndarray:
 
 # --- DataFrames ------------------------------------------------------------------------------------------------------
 
-RANGE = "id long, th long, s int, e int, p int, anchor long, whole long, c0 long, c1 long, c2 long, again boolean"
+RANGE = "id long, th long, s int, e int, p int, anchor long, whole long, c0 long, c1 long, c2 long, n long"
+RIM = "id long, th long, wa long, c long, most int, members long, copies long, s int, left binary, right binary"
+SPAN = "id long, th long, a int, b int"
 
 
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -279,11 +307,14 @@ def found_ranges(rows: DataFrame, length: int, symbols: Symbols) -> DataFrame:
         held: list[tuple] = []
         size = 0
 
-        def told() -> pa.RecordBatch:
-            r = ranges([t for _, _, t in held], length)
-            ids, th = (pa.array([x[k] for x in held], pa.int64()).take(pa.array(r["text"])) for k in (0, 1))
-            cols = [ids, th, *(pa.array(r[c].astype(np.int32)) for c in "sep"), *(pa.array(r[c].view(np.int64)) for c in ("anchor", "whole", "c0", "c1", "c2")), pa.array(r["again"])]
-            return pa.RecordBatch.from_arrays(cols, names=["id", "th", "s", "e", "p", "anchor", "whole", "c0", "c1", "c2", "again"])
+        def full() -> pa.RecordBatch:
+            r, sure = ranges([t for _, _, t in held], length)
+            text = np.concatenate([r["text"], np.array([x[0] for x in sure], np.int64)])
+            ids, th = (pa.array([x[k] for x in held], pa.int64()).take(pa.array(text)) for k in (0, 1))
+            at = [pa.array(np.concatenate([r[c], np.array([x[k] for x in sure], np.int64)]).astype(np.int32)) for c, k in (("s", 1), ("e", 2), ("p", 1))]
+            none = pa.nulls(len(sure), pa.int64())  # windows that the text itself repeats have no anchor
+            rest = [pa.concat_arrays([pa.array(r[c].view(np.int64)), none]) for c in ("anchor", "whole", "c0", "c1", "c2", "n")]
+            return pa.RecordBatch.from_arrays([ids, th, *at, *rest], names=[c.split()[0] for c in RANGE.split(", ")])
 
         for b in batches:
             for i, h, t in zip(*b.columns, strict=True):
@@ -292,107 +323,150 @@ def found_ranges(rows: DataFrame, length: int, symbols: Symbols) -> DataFrame:
                     held.append((i.as_py(), h.as_py(), data))
                     size += data.nbytes
                     if size >= BATCH_BYTES:
-                        yield told()
+                        yield full()
                         held.clear()
                         size = 0
         if held:
-            yield told()
+            yield full()
 
     return rows.select("id", "th", "text").mapInArrow(each, RANGE)
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", symbols: Symbols = byte_symbols) -> DataFrame:
     """id, th and spans (array of structs a, b: symbols a to b, not merged) of the texts that hold repeats."""
-    rows, width = keyed(docs, key, text), symbols(b"").itemsize
+    rows = keyed(docs, key, text)
     all_ranges = written(found_ranges(rows, length, symbols), "repeat-ranges")
-    twice = all_ranges.groupBy(F.col("anchor").alias("x")).agg(F.count("*").alias("n"), F.max("again").alias("x_again")).where("n > 1 or x_again")
-    live = written(all_ranges.join(twice, F.col("anchor") == F.col("x")).drop("x", "n"), "repeat-candidates")
-    drop_written(all_ranges)
+    known = all_ranges.where("anchor is not null")
+    twice = known.groupBy(F.col("anchor").alias("x")).agg(F.sum("n").alias("m")).where("m > 1").drop("m")
+    twice = written(twice, "repeated-anchors")
+    live = written(known.join(twice, F.col("anchor") == F.col("x")).drop("x"), "repeat-candidates")
+    by_text = written(all_ranges.where("anchor is null").select("id", "th", F.col("s").alias("a"), (F.col("e") + length).alias("b")), "repeats-within-texts")
+    drop_written(all_ranges, twice)
     # equal ranges: repeated throughout if there are two
-    whole = live.groupBy(F.col("anchor").alias("wa"), F.col("whole").alias("ww")).agg(F.count("*").alias("copies"), F.min(F.struct("id", "th", "s", "e", "p", "c0", "c1", "c2", "x_again")).alias("one"))
+    whole = live.groupBy(F.col("anchor").alias("wa"), F.col("whole").alias("ww")).agg(F.sum("n").alias("copies"), F.min(F.struct("id", "th", "s", "e", "p", "c0", "c1", "c2")).alias("one"))
     whole = written(whole, "repeat-wholes")
     sure = live.join(whole.where("copies > 1").select("wa", "ww"), (F.col("anchor") == F.col("wa")) & (F.col("whole") == F.col("ww")), "left_semi")
     sure = sure.select("id", "th", F.col("s").alias("a"), (F.col("e") + length).alias("b"))
-    # different ranges of an anchor: those that share an inner string, if one of them isn't sure already
-    parts = whole.select("wa", "ww", "copies", "one.*")
-    inner = parts.select("wa", F.explode(F.array("c0", "c1", "c2")).alias("c")).where("c != 0").groupBy(F.col("wa").alias("ia"), F.col("c").alias("ic")).agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    asked = parts.withColumn("c", F.explode(F.array("c0", "c1", "c2"))).join(inner, (F.col("wa") == F.col("ia")) & (F.col("c") == F.col("ic")), "left")
-    asked = asked.groupBy("wa", "ww").agg(F.max(F.col("ic").isNotNull() | F.col("x_again")).alias("asked"), F.first(F.struct("copies", "id", "th", "s", "e", "p", "x_again")).alias("r")).where("asked").select("wa", "ww", "r.*")
-    asked = written(asked, "repeat-asked")
-    by_anchor = asked.groupBy(F.col("wa").alias("ga")).agg(F.sum((F.col("e") - F.col("s") + length) * width).alias("size"), F.count_if(F.col("copies") == 1).alias("open")).where("open > 0")
-    chosen = asked.join(by_anchor, F.col("wa") == F.col("ga")).select("wa", "copies", "size", "id", "th", "s", "e", F.when(F.col("x_again"), -1).otherwise(F.col("p") - F.col("s")).alias("p"))
-    by_text = chosen.groupBy(F.col("id").alias("ci"), F.col("th").alias("ct")).agg(F.collect_list(F.struct("wa", "copies", "size", "s", "e", "p")).alias("cuts"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out, size = [], 0
-            for i, h, t, cuts in zip(*b.columns, strict=True):
-                data, name = symbols(t.as_py().encode()), (i.as_py(), h.as_py())
-                for c in cuts.as_py():
-                    out.append((*name, c["wa"], c["copies"], c["size"], c["s"], c["p"], data[c["s"] : c["e"] + length].tobytes()))
-                    size += len(out[-1][-1])
-                    if size >= BATCH_BYTES:
-                        yield batch(out)
-                        out, size = [], 0
-            if out:
-                yield batch(out)
-
-    def batch(out: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64()] * 5 + [pa.int32(), pa.int32(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["id", "th", "wa", "copies", "size", "s", "p", "data"])
-
-    contexts = rows.join(by_text, F.col("id").eqNullSafe(F.col("ci")) & (F.col("th") == F.col("ct"))).select("id", "th", "text", "cuts").mapInArrow(cut, "id long, th long, wa long, copies long, size long, s int, p int, data binary")
-    contexts = written(contexts.dropDuplicates(["id", "th", "wa", "s"]), "repeat-contexts")
-
-    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by anchor."""
-        found: list[tuple] = []
-        kind = symbols(b"").dtype
-        for _, group in groupby(rows_of(batches, "wa", "id", "th", "copies", "s", "p", "data"), itemgetter(0)):
-            held = list(group)
-            shared = None if min(r[5] for r in held) < 0 else [r[5] for r in held]
-            texts = [r[6] if kind == np.uint8 else np.frombuffer(r[6], kind) for r in held]
-            for (_, i, h, copies, s, _, _), hit in zip(held, repeated_starts(texts, length, shared, gram(length)), strict=True):
-                if copies == 1:
-                    found += [(i, h, s + a, s + b) for a, b in runs(hit, length).tolist()]
-            if len(found) >= 10_000:
-                yield told(found)
-                found = []
-        if found:
-            yield told(found)
-
-    def told(found: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=["id", "th", "a", "b"])
-
-    small = contexts.where(F.col("size") <= SHARD_BYTES).repartition("wa").sortWithinPartitions("wa")
-    sorted_out = small.mapInArrow(shards, "id long, th long, a int, b int")
-    window = windows_of(contexts.where(F.col("size") > SHARD_BYTES), length, symbols)
-    common = window.groupBy(F.col("h").alias("hh"), F.col("h2").alias("hh2")).agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    counted = window.where("copies = 1").join(common, (F.col("h") == F.col("hh")) & (F.col("h2") == F.col("hh2"))).select("id", "th", F.col("s").alias("a"), (F.col("s") + length).alias("b"))
-    spans = sure.union(sorted_out).union(counted)
-    spans = written(spans.groupBy("id", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "repeat-spans")
-    for done in (live, whole, asked, contexts):
-        drop_written(done)
-    return spans
-
-
-def windows_of(contexts: DataFrame, length: int, symbols: Symbols) -> DataFrame:
-    """id, th, copies, s and the hashes h, h2 of every window of the contexts."""
+    # different ranges of an anchor: classes in which two agree, if one of them isn't sure already
+    parts = whole.select("wa", "copies", "one.*").select("wa", "copies", "id", "th", "s", "e", "p", F.posexplode(F.array("c0", "c1", "c2")).alias("j", "c")).where("c != 0")
+    agreed = parts.groupBy(F.col("wa").alias("ga"), F.col("j").alias("gj"), F.col("c").alias("gc")).agg(F.count("*").alias("members"), F.count_if(F.col("copies") == 1).alias("open")).where("members > 1 and open > 0").drop("open")
+    agreed = written(agreed, "repeat-classes")
+    chosen = parts.join(agreed, (F.col("wa") == F.col("ga")) & (F.col("j") == F.col("gj")) & (F.col("c") == F.col("gc")))
+    cuts = chosen.groupBy(F.col("id").alias("ci"), F.col("th").alias("ct")).agg(F.collect_list(F.struct("wa", "j", "c", "members", "copies", "s", "e", "p")).alias("cuts"))
+    cut = written(rows.join(cuts, F.col("id").eqNullSafe(F.col("ci")) & (F.col("th") == F.col("ct"))).select("id", "th", "text", "cuts").mapInArrow(rims_cut(length, symbols), RIM).dropDuplicates(["id", "th", "wa", "c", "s"]), "repeat-rims")
+    spans = sure.union(by_text).union(sorted_shards(cut.where(F.col("members") <= MEMBERS), length, symbols))
+    done, large = [live, whole, by_text, agreed, cut], cut.where(F.col("members") > MEMBERS)
+    most = first_classes(length)[0][1]
+    for width in sorted({-(-(most + 1) // 8), 1}, reverse=True):
+        if large.isEmpty():
+            break
+        finer = written(large.mapInArrow(rims_cut_again(width, symbols), RIM), "repeat-rims")
+        groups = finer.groupBy(F.col("wa").alias("ga"), F.col("c").alias("gc")).agg(F.count("*").alias("m"), F.count_if(F.col("copies") == 1).alias("open")).where("m > 1 and open > 0").drop("open")
+        cut = written(finer.join(groups, (F.col("wa") == F.col("ga")) & (F.col("c") == F.col("gc"))).withColumn("members", F.col("m")).select(*finer.columns), "repeat-rims")
+        drop_written(finer)
+        done.append(cut)
+        if width == 1:  # the shared string is the window, so that all are repeats
+            spans = spans.union(cut.where("copies = 1").select("id", "th", F.col("s").alias("a"), (F.col("s") + length).alias("b")))
+        else:
+            spans = spans.union(sorted_shards(cut.where(F.col("members") <= MEMBERS), length, symbols))
+        large = cut.where(F.col("members") > MEMBERS)
+    # rows alike tell the same spans
+    out = written(spans.distinct().groupBy("id", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "repeat-spans")
+    drop_written(*done)
+    return out
+
+
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def told(kind: str, found: list[tuple]) -> pa.RecordBatch:
+    types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [x.split() for x in kind.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(zip(*found, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+
+
+def in_batches(kind: str, found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    held = []
+    for row in found:
+        held.append(row)
+        if len(held) >= 10_000:
+            yield told(kind, held)
+            held = []
+    if held:
+        yield told(kind, held)
 
-    size = gram(length)
+
+def rims_cut(length: int, symbols: Symbols) -> Batches:
+    """Rows of RIM from texts and their cuts: what lies to the left and the right of the class's string, in the windows of the
+    class that the range has. `most` is the length of a window less that of the string."""
+    size, offsets = gram(length), first_classes(length)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = symbols(b"").dtype
-        for b in batches:
-            for i, h, copies, s, data in zip(*b.columns, strict=True):
-                data = np.frombuffer(data.as_py(), kind)
-                grams = gram_hashes(data, size)
-                n = len(data) - length + 1
-                x = grams[:n], grams[length - size :][:n]
-                yield pa.RecordBatch.from_arrays([pa.repeat(i, n), pa.repeat(h, n), pa.repeat(copies, n), pa.array(np.arange(n, dtype=np.int32) + s.as_py()), *(pa.array(y.view(np.int64)) for y in x)], names=["id", "th", "copies", "s", "h", "h2"])
+        return in_batches(RIM, found(batches))
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for i, h, t, cuts in rows_of(batches, "id", "th", "text", "cuts"):
+            data = symbols(t.encode())
+            for c in cuts:
+                d1, d2 = offsets[c["j"]]
+                p, first, last = c["p"], max(c["s"], c["p"] - d2), min(c["e"], c["p"] - d1)
+                left, right = data[first : p - d1], data[p + size + length - size - d2 : last + length]
+                yield i, h, c["wa"], c["c"] ^ c["j"], d2 - d1, c["members"], c["copies"], first, left.tobytes(), right.tobytes()
+
+    return each
+
+
+def rims_cut_again(width: int, symbols: Symbols) -> Batches:
+    """Rows of RIM by classes of `width` offsets of the shared string: c names it with the symbols next to it."""
+    kind = symbols(b"").dtype
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return in_batches(RIM, found(batches))
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for i, h, wa, c, most, _, copies, s, left, right in rows_of(batches, *[x.split()[0] for x in RIM.split(", ")]):
+            left, right = np.frombuffer(left, kind), np.frombuffer(right, kind)
+            for d1, d2 in classes(most, width):
+                first, last = min(d2, len(left)), max(d1, most - len(right))  # offsets of the windows that it has
+                if first < last:
+                    continue
+                near = left[len(left) - d1 :].tobytes(), right[: most - d2].tobytes()
+                name = xxhash.xxh3_64_intdigest(b"%d %d " % (c, d1) + near[0] + near[1])
+                yield i, h, wa, name - (1 << 63), d2 - d1, 0, copies, s + len(left) - first, left[len(left) - first : len(left) - d1].tobytes(), right[most - d2 : most - last].tobytes()
 
-    return contexts.select("id", "th", "copies", "s", "data").mapInArrow(each, "id long, th long, copies long, s int, h long, h2 long")
+    return each
+
+
+def sorted_shards(rims: DataFrame, length: int, symbols: Symbols) -> DataFrame:
+    """SPAN of the repeats that shards of rims hold."""
+    kind = symbols(b"").dtype
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by shard; many shards are sorted at once."""
+        return in_batches(SPAN, found(batches))
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        held, group, size = [], -1, 0
+        for _, shard in groupby(rows_of(batches, "wa", "c", "id", "th", "most", "copies", "s", "left", "right"), itemgetter(0, 1)):
+            group += 1
+            for _, _, i, h, most, copies, s, left, right in shard:
+                held.append((group, i, h, most, copies, s, np.frombuffer(left, kind), np.frombuffer(right, kind)))
+                size += len(held[-1][6]) + len(held[-1][7]) + 2
+            if size >= SORTED:
+                yield from repeated(held)
+                held, group, size = [], -1, 0
+        if held:
+            yield from repeated(held)
+
+    def repeated(held: list[tuple]) -> Iterator[tuple]:
+        needs = {g: most + 1 for g, _, _, most, *_ in held}
+        hits = repeated_starts([np.concatenate(x[6:8]) for x in held], [len(x[6]) for x in held], [x[0] for x in held], [needs[g] for g in range(len(needs))])
+        for (_, i, h, _, copies, s, _, _), hit in zip(held, hits, strict=True):
+            if copies == 1:
+                for a, b in runs(hit, length).tolist():
+                    yield i, h, s + a, s + b
+
+    return rims.repartition("wa", "c").sortWithinPartitions("wa", "c").mapInArrow(each, SPAN)
 
 
 def with_spans(docs: DataFrame, length: int, key: str, text: str, row: F.Column | None = None, words: int | None = None) -> DataFrame:
@@ -417,24 +491,30 @@ def kept_bytes(data: bytes, spans: np.ndarray) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def removed(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_bytes, n_removed, n_spans (longest removed runs), kept_sha256 and removed (array of structs a, b) of each row."""
+def removed(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", words: int | None = None) -> DataFrame:
+    """key, n_bytes, n_removed, n_spans (longest removed runs), kept_sha256 and removed (array of structs a, b) of each row. With
+    words also n_passage_words, how many of its words lie in passages of so many words that start elsewhere too (these stay)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
         for b in batches:
-            n, gone, count, sha, told = [], [], [], [], []
-            for t, x in zip(b.column(1), b.column(2), strict=True):
+            n, gone, count, sha, found, passages = [], [], [], [], [], []
+            for t, x, y in zip(b.column(1), b.column(2), b.column(3), strict=True):
                 data = t.as_py().encode()
-                spans = merged(np.array([(y["a"], y["b"]) for y in x.as_py() or []], np.int64).reshape(-1, 2))
+                spans, in_words = (merged(np.array([(z["a"], z["b"]) for z in c.as_py() or []], np.int64).reshape(-1, 2)) for c in (x, y))
                 n.append(len(data))
                 gone.append(int((spans[:, 1] - spans[:, 0]).sum()))
                 count.append(len(spans))
                 sha.append(hashlib.sha256(kept_bytes(data, spans)).hexdigest())
-                told.append([{"a": p, "b": q} for p, q in spans.tolist()])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string()), pa.array(told, kind)], names=[key, "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
+                found.append([{"a": p, "b": q} for p, q in spans.tolist()])
+                passages.append(int((in_words[:, 1] - in_words[:, 0]).sum()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string()), pa.array(found, kind), pa.array(passages, pa.int64())], names=[key, "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", "n_passage_words"])
 
-    return with_spans(docs, length, key, text).select("id", "text", "spans").mapInArrow(each, f"`{key}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<a:int,b:int>>")
+    rows = with_spans(docs, length, key, text, words=words)
+    if words is None:
+        rows = rows.withColumn("word_spans", F.lit(None).cast(rows.schema["spans"].dataType))
+    out = rows.select("id", "text", "spans", "word_spans").mapInArrow(each, f"`{key}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<a:int,b:int>>, n_passage_words long")
+    return out if words is not None else out.drop("n_passage_words")
 
 
 def clean_documents(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", words: int | None = None) -> DataFrame:
