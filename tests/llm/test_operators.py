@@ -163,6 +163,57 @@ def test_media_columns(spark, docs, rows, none):
     assert all(r.error and r.payload is None for r in broken)
 
 
+def test_broken_media():
+    good = media_png.encode(media_png.padded(b"abc" * 500))
+    parts = {k: bytes(b) for k, b in media_png.chunks(good)}
+    head, data = parts[b"IHDR"], zlib.decompress(parts[b"IDAT"])
+    made = lambda *cs: media_png.SIGNATURE + b"".join(media_png.chunk(k, b) for k, b in [*cs, (b"IEND", b"")])
+    whole = zlib.compress(data)
+    assert (media_png.decode(made((b"IHDR", head), (b"IDAT", whole[:9]), (b"IDAT", whole[9:]))) == media_png.decode(good)).all()
+    for bad in [
+        made((b"IHDR", head[:8]), (b"IDAT", whole)),
+        made((b"IDAT", whole)),
+        made((b"IHDR", head), (b"IHDR", head), (b"IDAT", whole)),
+        made((b"IHDR", head), (b"IDAT", whole[:-4])),  # without its checksum
+        made((b"IHDR", head), (b"IDAT", whole[:-1] + b"x")),
+        made((b"IHDR", head), (b"IDAT", whole + b"x")),
+        made((b"IHDR", head), (b"IDAT", zlib.compress(data + bytes(10**7)))),
+        made((b"IHDR", head), (b"IDAT", zlib.compress(data[:-1]))),
+        made((b"IHDR", b"\xff" * 8 + head[8:]), (b"IDAT", whole)),
+        made((b"IHDR", head[:9] + b"\x03" + head[10:]), (b"IDAT", whole)),
+    ]:
+        with pytest.raises(ValueError):
+            media_png.decode(bad)
+
+
+def test_cosine_hash_by_sums():
+    """The hash against the cosine transform written out."""
+    rng = np.random.default_rng(2)
+    pixels = rng.integers(0, 256, (48, 24, 1), dtype=np.uint8)
+    small = pixels[:, :, 0].astype(float).reshape(24, 2, 24).mean(axis=1)
+    c = lambda k, x: np.cos(np.pi * (2 * x + 1) * k / 48) * np.sqrt((1 if k == 0 else 2) / 24)
+    low = [round(sum(c(u, y) * c(v, x) * small[y, x] for y in range(24) for x in range(24)), 6) for u in range(8) for v in range(8)]
+    bits = [x > float(np.median(low[1:])) for x in low]
+    assert media_png.cosine_hash(pixels) == np.packbits(bits).tobytes()
+
+
+def test_columns_of_clashing_names(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/x", "s", 5, 6)], "page_id int, url string, _x string, suffix_count int, row int")
+    got = url_filters.url_filter(pages, queries.URL_RULES).first()
+    assert (got["_x"], got["suffix_count"], got["row"], got["verdict"]) == ("s", 5, 6, "allow")
+    docs = spark.createDataFrame([(i, "some words here", "a", i, i, i) for i in range(20)], "doc_id long, text string, source string, _shard long, shard long, copy long")
+    out = mixing.shuffled_documents(docs)
+    assert out.columns == docs.columns and all(r["_shard"] == r["shard"] == r["doc_id"] for r in out.collect())
+    with pytest.raises(ValueError):
+        mixing.mixed_documents(docs)
+
+
+def test_undecodable_ids(spark):
+    df = spark.createDataFrame([(1, b"\xff\xff\xff\x7f"), (2, b"abc"), (3, b""), (4, None)], "doc_id long, ids binary")
+    got = {r.doc_id: r.bytes for r in bpe_prefix.decoded(df, **RANKS, on_error="null").collect()}
+    assert got[1] is None and got[2] is None and got[3] == got[4] == b""
+
+
 # --- 4, 5 ------------------------------------------------------------------------------------------------------------
 
 

@@ -7,7 +7,8 @@ tokens of a text follow by walking back from its end.
 A token t can follow a token a iff merging a's and t's bytes never makes a token across their border before both stand.
 The tokens that touch the border meanwhile are the right spine of a and the left spine of t in their merge trees.
 
-Defined results: null and empty texts have no ids and decode to no bytes; ids that the vocabulary lacks raise KeyError.
+Defined results: null and empty texts have no ids and decode to no bytes; ids that the vocabulary lacks raise
+ValueError, or give null.
 The vocabulary is a file of ranks, its path a parameter. Only the named columns are read.
 """
 
@@ -179,12 +180,22 @@ def encoded(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: s
     return df.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("text")).mapInArrow(each, f"`{key}` long, n_tokens long, ids binary")
 
 
-def decoded(df: DataFrame, path: str, pattern: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """key, n_tokens, ids and bytes (binary) of each row's ids."""
+def decoded(df: DataFrame, path: str, pattern: str, key: str = "doc_id", ids: str = "ids", on_error: str = "raise") -> DataFrame:
+    """key, n_tokens, ids and bytes (binary) of each row's ids. Ids that the vocabulary lacks and lengths that are no multiple of
+    4 bytes raise ValueError, or give null bytes where on_error is "null"."""
     out = pa.schema([(key, pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("bytes", pa.binary())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = encoder(path, pattern).decode
+        decoder = encoder(path, pattern)
+
+        def decode(x: bytes) -> bytes | None:
+            try:
+                return decoder.decode(x)
+            except (KeyError, IndexError, ValueError) as e:
+                if on_error == "null":
+                    return None
+                raise ValueError(f"no token ids: {e}") from e
+
         for k, x in sized(((b.column(0)[i].as_py(), b.column(1)[i].as_py() or b"") for b in batches for i in range(b.num_rows))):
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array([len(y) // 4 for y in x], pa.int64()), pa.array(x, pa.binary()), pa.array(map(decode, x), pa.binary())], schema=out)
 

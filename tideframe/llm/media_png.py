@@ -1,11 +1,12 @@
 """Media columns: lossless PNG in binary columns, read back chunk by chunk, with cosine-transform hashes.
 
-encode() makes an 8-bit grey PNG of bytes, decode() reads any non-interlaced 8-bit PNG back: it tests each chunk's
-checksum, inflates the image data and undoes the five row filters with numpy. with_png() and with_features() are the
-DataFrame forms.
+encode() makes an 8-bit grey PNG of bytes, decode() reads non-interlaced 8-bit PNGs of grey or colour samples (no palettes)
+back: it tests each chunk's checksum, inflates the image data, as much as the header announces and no more, tests their own
+checksum and undoes the five row filters with numpy. with_png() and with_features() are the DataFrame forms.
 
 Defined results: a null payload is an empty one; an empty payload gives one tile of 255s; equal payloads give equal
-media and features; broken media raise ValueError, or give nulls and a reason where `on_error="null"`. Only the named
+media and features; broken media, also such that end early, hold more than announced or announce more than MOST_BYTES, raise
+ValueError, or give nulls and a reason where `on_error="null"`. Only the named
 columns are read, so that further columns with clashing names don't matter.
 """
 
@@ -27,6 +28,7 @@ CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
 
 TILE = 24  # pixels; a payload is a whole number of TILE x TILE tiles
 PAD = 255
+MOST_BYTES = 1 << 30  # of an image's samples
 FLUSH_BYTES = 4 << 20  # rows go on to Spark in batches of about this size
 
 
@@ -130,21 +132,32 @@ def encode(payload: bytes, level: int = 6, kinds: tuple[int, ...] = (NONE, SUB,
 
 def decode(png: bytes) -> np.ndarray:
     """Samples as (height, width, channels) of an 8-bit, non-interlaced PNG."""
-    size, inflate, parts = None, zlib.decompressobj(), []
-    for kind, body in chunks(png):
-        if kind == b"IHDR":
-            width, height, depth, colour, _, _, interlace = struct.unpack(">IIBBBBB", body)
-            if depth != 8 or colour not in CHANNELS or interlace:
-                raise ValueError("only 8-bit samples without interlace are read")
-            size = width, height, CHANNELS[colour]
-        elif kind == b"IDAT":
-            parts.append(inflate.decompress(body))
-    parts.append(inflate.flush())
-    raw = np.frombuffer(b"".join(parts), np.uint8)
-    if size is None or raw.size != size[1] * (size[0] * size[2] + 1):
-        raise ValueError("the image data don't fit the header")
+    size, inflate, parts, room = None, zlib.decompressobj(), [], 0
+    try:
+        for kind, body in chunks(png):
+            if (kind == b"IHDR") != (size is None) or kind == b"IHDR" and len(body) != 13:
+                raise ValueError("the PNG doesn't begin with one header")
+            if kind == b"IHDR":
+                width, height, depth, colour, _, _, interlace = struct.unpack(">IIBBBBB", body)
+                if depth != 8 or colour not in CHANNELS or interlace:
+                    raise ValueError("only 8-bit samples without palette or interlace are read")
+                size = width, height, CHANNELS[colour]
+                room = height * (width * size[2] + 1)
+                if not 0 < width * height or room > MOST_BYTES:
+                    raise ValueError(f"an image of {width} x {height}")
+            elif kind == b"IDAT":
+                if inflate.eof:
+                    raise ValueError("image data behind their end")
+                parts.append(inflate.decompress(body, room + 1))
+                room -= len(parts[-1])
+                if room < 0:
+                    raise ValueError("more image data than the header announces")
+    except zlib.error as e:
+        raise ValueError(str(e)) from e
+    if size is None or room or not inflate.eof or inflate.unused_data:
+        raise ValueError("the image data don't fit the header or lack their end")
     width, height, bpp = size
-    lines = raw.reshape(height, width * bpp + 1)
+    lines = np.frombuffer(b"".join(parts), np.uint8).reshape(height, width * bpp + 1)
     return unfiltered(lines[:, 0], lines[:, 1:], bpp).reshape(height, width, bpp)
 
 
@@ -212,7 +225,7 @@ def with_features(df: DataFrame, key: str = "doc_id", media: str = "media", on_e
                     try:
                         pixels = decode(png or b"")
                         row |= {"payload": pixels.tobytes(), "dct_hash": cosine_hash(pixels)}
-                    except (ValueError, zlib.error) as e:
+                    except ValueError as e:
                         if on_error != "null":
                             raise
                         row["error"] = str(e)

@@ -2,7 +2,8 @@
 
 Each source is cut by a hash of its documents into BLOCKS blocks. A source's target says how many words the mix takes of it:
 whole passes over all its blocks, and in the last pass the first blocks of a random order, with the one block that the
-target cuts taken document by document. A block in a pass is one draw. The tree deals the draws out to the output shards:
+target cuts taken document by document: it is cut by the next bits of the hash, so that only a small part of it is put in
+order. A block in a pass is one draw. The tree deals the draws out to the output shards:
 at each node the draws that the node holds, counted by source, are split into the exact number that the left half of its
 shards takes and the rest, with the counts by source from a multivariate-hypergeometric draw. So the shards' counts are
 those of a random deal of all draws, yet only counts are dealt: a shard's draws are a range of each source's order, and the
@@ -21,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop_written, written
 
 BLOCKS = 512
 SHARDS = 64
@@ -111,12 +112,20 @@ def block_plan(held: DataFrame, weights: tuple[float, ...], share: float, most:
     """A row for each block, with all that a document of it needs to know its draws."""
     ranges, drawn = plan(held, weights, share, most, blocks, shards, seed)
     # the one cut block of a source is a BLOCKS-th of it: its documents are taken in the order of their hash while half of
-    # the next one fits at least
+    # the next one fits at least. Sums over the top bits of the hash say in which parts of the block that end may lie
     edge = held.join(drawn.where("cut is not null").select(F.col("source").alias("bs"), F.col("block").alias("bb"), "cut"), same_block())
-    upto = F.sum("size").over(Window.partitionBy("source").orderBy("r", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
-    last = edge.withColumn("upto", upto).where("upto - size / 2D <= cut").groupBy("source").agg(F.max(F.struct("r", "doc_id", "size")).alias("last"))
+    edge = written(edge.select("source", "size", "r", "doc_id", "cut", F.shiftright("r", 54).alias("part")), "mixing-edge")
+    sums = edge.groupBy("source", "part", "cut").agg(F.sum("size").alias("words"))
+    by_part = Window.partitionBy("source").orderBy("part")
+    reached = sums.withColumn("base", F.sum("words").over(by_part) - F.col("words")).where("base <= cut")
+    ends = reached.withColumn("nth", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("part")))).where("nth <= 2").select(F.col("source").alias("ps"), F.col("part").alias("pp"), "base")
+    near = edge.join(ends, F.col("source").eqNullSafe(F.col("ps")) & (F.col("part") == F.col("pp")))
+    upto = F.sum("size").over(Window.partitionBy("source", "part").orderBy("r", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)) + F.col("base")
+    last = near.withColumn("upto", upto).where("upto - size / 2D <= cut").groupBy("source").agg(F.max(F.struct("r", "doc_id", "size")).alias("last"))
     by_block = drawn.join(last.withColumnRenamed("source", "es"), F.col("source").eqNullSafe(F.col("es")), "left").join(ranges.withColumnRenamed("source", "rs"), F.col("source").eqNullSafe(F.col("rs")))
-    return written(by_block.select(F.col("source").alias("bs"), F.col("block").alias("bb"), "copies", "cut", "last", "place", "ends", "n_blocks", "source_size", "target"), "mixing-plan")
+    out = written(by_block.select(F.col("source").alias("bs"), F.col("block").alias("bb"), "copies", "cut", "last", "place", "ends", "n_blocks", "source_size", "target"), "mixing-plan")
+    drop_written(edge, drawn)
+    return out
 
 
 def same_block() -> F.Column:
@@ -145,18 +154,29 @@ def mixed(docs: DataFrame, source: str = "source", key: str = "doc_id", text: st
     return full.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("n")).alias("taken"), "shards")
 
 
-def mixed_documents(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str = "text", weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, most: float = MOST, blocks: int = BLOCKS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it, with shard and copy as the columns _shard and _copy."""
-    by_block = block_plan(written(blocks_of(docs, source, key, text, blocks, seed), "mixing-sizes"), weights, share, most, blocks, shards, seed)
+def drawn_documents(docs: DataFrame, source: str, key: str, text: str, weights: tuple[float, ...], share: float, most: float, blocks: int, shards: int, seed: int) -> DataFrame:
+    """row (a struct of the columns of docs), doc_id, shard and copy of each copy that the mix takes."""
+    held = written(blocks_of(docs, source, key, text, blocks, seed), "mixing-sizes")
+    by_block = block_plan(held, weights, share, most, blocks, shards, seed)
+    drop_written(held)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     full = drawn_rows(blocks_of(docs, source, key, text, blocks, seed, row), by_block)
-    return full.where("n > 0").select("row", F.posexplode("shards").alias("_copy", "_shard")).select("row.*", "_shard", "_copy")
+    return full.where("n > 0").select("row", "doc_id", F.posexplode("shards").alias("copy", "shard"))
 
 
-def shuffled(copies: DataFrame, key: str = "doc_id", seed: int = SEED) -> DataFrame:
-    """The rows of mixed_documents, each shard in one partition and in the order of shard_rows."""
-    at = F.xxhash64(F.lit(seed + 2), key, "_copy")
-    return copies.repartition("_shard").sortWithinPartitions("_shard", at, key, "_copy")
+def mixed_documents(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str = "text", weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, most: float = MOST, blocks: int = BLOCKS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it, with shard and copy as the columns _shard and _copy; docs that have
+    such columns raise ValueError."""
+    if {"_shard", "_copy"} & set(docs.columns):
+        raise ValueError("the columns _shard and _copy are results")
+    return drawn_documents(docs, source, key, text, weights, share, most, blocks, shards, seed).select("row.*", F.col("shard").alias("_shard"), F.col("copy").alias("_copy"))
+
+
+def shuffled_documents(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str = "text", weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, most: float = MOST, blocks: int = BLOCKS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it: each shard in one partition and in the order of shard_rows."""
+    copies = drawn_documents(docs, source, key, text, weights, share, most, blocks, shards, seed)
+    at = F.xxhash64(F.lit(seed + 2), "doc_id", "copy")
+    return copies.repartition("shard").sortWithinPartitions("shard", at, "doc_id", "copy").select("row.*")
 
 
 def shard_rows(mix: DataFrame, seed: int = SEED) -> DataFrame:

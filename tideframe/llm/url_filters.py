@@ -178,15 +178,16 @@ def best_split(hist: list, cuts: list[list[int]], rate: float, last: bool) -> tu
 def url_filter(pages: DataFrame, rules: Rules, url: str = "url", rows: int = TRAIN_ROWS) -> DataFrame:
     """pages, host, path, rule, verdict and p_block (of the trees; null where a rule decides)."""
     mine = ["host", "path", "rule", "verdict", "p_block"]
-    kept = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c not in mine])
+    kept = pages.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in pages.columns if c not in mine]).alias("row"), F.col(f"`{url}`").cast("string").alias("url"))
     rule, verdict = decided(rules)
-    judged = parsed(kept, url).withColumn("rule", rule).withColumn("verdict", verdict)
-    labelled = judged.where("verdict is not null").select(F.col(f"`{url}`").alias("url"), "host", "path", "verdict")
+    judged = parsed(kept).withColumn("rule", rule).withColumn("verdict", verdict)
+    labelled = judged.where("verdict is not null").select("url", "host", "path", "verdict")
     statistics = written(suffix_statistics(labelled), "url-suffixes")
     few = statistics.limit(BROADCAST_SUFFIXES + 1).count() <= BROADCAST_SUFFIXES
     sample = labelled.groupBy("url", "host", "path", "verdict").agg(F.count("*").alias("n")).orderBy(F.xxhash64("url"), "url").limit(rows)
     train = written(featured(sample, statistics, "url", few).select("_x", (F.col("verdict") == "block").cast("int").alias("y"), "n"), "url-training")
     start, trees = fit(train)
     score = margin(trees, start, F.col("_x"))
-    out = featured(judged, statistics, url, few).withColumn("p_block", F.when(F.col("verdict").isNull(), 1 / (1 + F.exp(-score)))).drop("_x")
-    return out.withColumn("verdict", F.coalesce("verdict", F.when(F.col("p_block") > 0.5, "block").otherwise("allow")))
+    out = featured(judged, statistics, "url", few).withColumn("p_block", F.when(F.col("verdict").isNull(), 1 / (1 + F.exp(-score))))
+    judged = F.coalesce("verdict", F.when(F.col("p_block") > 0.5, "block").otherwise("allow")).alias("verdict")
+    return out.select(*[F.col(f"row.`{c}`") for c in pages.columns if c not in mine], "host", "path", "rule", judged, "p_block")
