@@ -70,7 +70,7 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 @stage
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, shard by shard and shuffled within each."""
-    return mixing.shuffled(mixing.mixed_documents(docs)).drop("_shard", "_copy")
+    return mixing.shuffled_documents(docs)
 
 
 @stage
