@@ -27,9 +27,8 @@ def test_query_equals_sql(spark, duck, name):
     assert got == sorted((tuple(map(plain, r)) for r in want), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.queries().keys() - catalog.oracle_sql().keys()))
-def test_query_runs(spark, name):
-    assert catalog.queries()[name](spark, D).count() >= 0
+def test_every_query_has_sql():
+    assert catalog.queries().keys() == catalog.oracle_sql().keys()
 
 
 def test_entry(spark):

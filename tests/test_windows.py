@@ -49,7 +49,7 @@ def test_hopping_gaps_and_edges(spark):
 
 def test_frames_part_the_stream(spark):
     e = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate([1, 60, 30, 20, 90, 5])], "k int, seq int, v double")
-    got = windows.stateful_frames(e, "k int, seq int, v double", float, lambda s, r: s + r["v"], lambda s: s > 100, ["seq"], ["k"]).orderBy("seq").collect()
+    got = windows.stateful_frames(e, float, lambda s, r: s + r["v"], lambda s: s > 100, ["seq"], ["k"]).orderBy("seq").collect()
     assert [r.frame for r in got] == [0, 0, 0, 1, 2, 2]
     assert [r.frame for r in windows.count_frames(e, 4, ["seq"], ["k"]).orderBy("seq").collect()] == [0, 0, 0, 0, 1, 1]
 

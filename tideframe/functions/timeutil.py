@@ -27,6 +27,14 @@ def from_ticks(df: DataFrame, column: str, value: Column) -> Column:
     return F.timestamp_micros(value).cast(kind) if is_time(df, column) else value.cast(kind)
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name that no frame has yet, whatever the case of its letters."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def floor_div(a: Column, b: int) -> Column:
     """Whole quotient, rounded down for negative numbers too."""
     return F.floor((a - F.pmod(a, F.lit(b))) / F.lit(b)).cast("long") if b != 1 else a

@@ -74,8 +74,8 @@ SELECT o.o_id, coalesce(sent.n, 0)::BIGINT AS n_shipments, CASE WHEN paid.o_id I
 FROM {O} o LEFT JOIN paid ON paid.o_id = o.o_id LEFT JOIN sent ON sent.o_id = o.o_id, n"""
 )
 def elastic_status(spark: SparkSession, d: str) -> DataFrame:
-    now = events(spark, d).agg(F.max(ticks(events(spark, d), "ts"))).first()[0]
-    return elastic.elastic_status(*streams(spark, d), U, V, G, F.lit(now), paid(), NAMES)
+    e = events(spark, d)
+    return elastic.elastic_status(*streams(spark, d), U, V, G, e.agg(F.max(ticks(e, "ts"))).scalar(), paid(), NAMES)
 
 
 @query(
@@ -268,7 +268,7 @@ SELECT eval_ts, w_open, w_close, (SELECT count(*) FROM events WHERE ts >= w_open
 def hopping_latest(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d)
     reported = windows.hopping_latest(e, "ts", 1800, 1200)
-    return windows.content_of(reported, e, "ts", F.count("*").alias("n")).select("eval_ts", "w_open", "w_close", content.empty(F.col("n"), F.lit(0)).alias("n"))
+    return windows.content_of(reported, e, "ts", F.count("*").alias("n"), width=1800).select("eval_ts", "w_open", "w_close", content.empty(F.col("n"), F.lit(0)).alias("n"))
 
 
 @query("SELECT event_id, count(*) OVER w AS n, max(value) OVER w AS top FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW)")
@@ -306,12 +306,18 @@ def frame_count(spark: SparkSession, d: str) -> DataFrame:
     return framed(windows.count_frames(events(spark, d), 10, ["event_id"], ["user_id"]))
 
 
-@query()
+#: The fold row by row: the sum goes on, or the row opens the next frame.
+SUMS = """WITH RECURSIVE e AS (SELECT user_id, event_id, coalesce(value, 0) AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+f AS (SELECT user_id, event_id, n, v AS s, (v > 100)::BIGINT AS frame FROM e WHERE n = 1
+UNION ALL SELECT e.user_id, e.event_id, e.n, CASE WHEN f.s + e.v > 100 THEN e.v ELSE f.s + e.v END, f.frame + (f.s + e.v > 100)::BIGINT FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
+SELECT user_id, frame, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM f GROUP BY user_id, frame"""
+
+
+@query(SUMS)
 def frame_stateful(spark: SparkSession, d: str) -> DataFrame:
     """Frames that close once their values sum to over 100."""
     e = events(spark, d).select("event_id", "user_id", "value")
-    out = windows.stateful_frames(e, "event_id long, user_id long, value double", float, lambda s, r: s + (r["value"] if r["value"] == r["value"] else 0.0), lambda s: s > 100, ["event_id"], ["user_id"])
-    return framed(out)
+    return framed(windows.stateful_frames(e, float, lambda s, r: s + (r["value"] or 0.0), lambda s: s > 100, ["event_id"], ["user_id"]))
 
 
 # --- contents, reports, streams --------------------------------------------------------------------------------------
@@ -357,8 +363,8 @@ def content_accumulate(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT w_close, user_id, count(*) AS n FROM {DAILY} WHERE w_close < (SELECT max(ts) FROM events) GROUP BY w_close, user_id HAVING count(*) > 0")
 def report_close_nonempty(spark: SparkSession, d: str) -> DataFrame:
-    now = events(spark, d).agg(F.max("ts")).first()[0]
-    counted = daily(spark, d).groupBy("w_close", "user_id").agg(F.count("*").alias("n")).withColumn("eval_ts", F.lit(now).cast("timestamp_ntz"))
+    now = events(spark, d).agg(F.max("ts")).scalar()
+    counted = daily(spark, d).groupBy("w_close", "user_id").agg(F.count("*").alias("n")).withColumn("eval_ts", now)
     return counted.where(report.all_of(report.on_window_close(), report.non_empty())).drop("eval_ts")
 
 
@@ -456,17 +462,39 @@ def two_sides(spark: SparkSession, d: str) -> DataFrame:
 BOUNDS = {"alpha0": 120, "beta0": 60, "delta": 120, "alpha_max": 720, "beta_max": 480}
 
 
-@query()
+#: Both sides' events by place of arrival, and what lies within given bounds of an event among earlier ones of the other side.
+SIDES = """ev AS (SELECT user_id AS key, event_type = 'click' AS l, epoch_us(ts) // 60000000 AS t, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE event_type IN ('click', 'purchase')),
+far AS (SELECT e.key, e.n, o.id AS other, greatest(e.t, o.t) AS out_t, e.id, e.l, greatest(CASE WHEN e.l THEN o.t - e.t ELSE e.t - o.t END, 0) AS ahead, greatest(CASE WHEN e.l THEN e.t - o.t ELSE o.t - e.t END, 0) AS back FROM ev e JOIN ev o ON o.key = e.key AND o.n < e.n AND o.l <> e.l)"""
+#: Bounds after so many steps; the fewest steps from which an event finds something; and each key's steps as its events arrive.
+STEPS = f"""WITH RECURSIVE {SIDES}, steps AS (SELECT k, least(120 + 120 * k, 720) AS alpha, least(60 + 120 * k, 480) AS beta FROM range(0, 6) r(k)),
+least_k AS (SELECT key, n, min(k) AS k FROM far JOIN steps ON ahead <= alpha AND back <= beta GROUP BY key, n),
+e AS (SELECT ev.key, ev.n, coalesce(m.k, 99) AS need FROM ev LEFT JOIN least_k m ON m.key = ev.key AND m.n = ev.n),
+fold AS (SELECT DISTINCT key, 0::BIGINT AS n, 0::BIGINT AS was, 0::BIGINT AS k FROM ev
+UNION ALL SELECT e.key, e.n, fold.k, CASE WHEN need <= fold.k THEN fold.k ELSE least(fold.k + 1, 5) END FROM fold JOIN e ON e.key = fold.key AND e.n = fold.n + 1)"""
+PAIR = "CASE WHEN l THEN id ELSE other END::VARCHAR AS left_id, CASE WHEN l THEN other ELSE id END::VARCHAR AS right_id, out_t"
+#: Widening and narrowing move between states; each move is one step of the recursion, and `done` the bounds that an event ends with.
+MOVES = f"""WITH RECURSIVE {SIDES}, states AS (SELECT 120 AS alpha, 60 AS beta UNION SELECT greatest(least(alpha + d, 720), 120), greatest(least(beta + d, 480), 60) FROM states, (VALUES (120), (-120)) v(d)),
+found AS (SELECT ev.key, ev.n, alpha, beta, count(far.id) AS c FROM ev CROSS JOIN states LEFT JOIN far ON far.key = ev.key AND far.n = ev.n AND ahead <= alpha AND back <= beta GROUP BY ALL),
+moves AS (SELECT f.key, f.n, f.alpha, f.beta, f.c, greatest(f.alpha - 120, 120) AS da, greatest(f.beta - 120, 60) AS db, g.c AS dc FROM found f JOIN found g ON g.key = f.key AND g.n = f.n AND g.alpha = greatest(f.alpha - 120, 120) AND g.beta = greatest(f.beta - 120, 60)),
+fold AS (SELECT DISTINCT key, 1::BIGINT AS n, 120 AS alpha, 60 AS beta, false AS narrow, false AS done FROM ev
+UNION ALL SELECT f.key, CASE WHEN f.done THEN f.n + 1 ELSE f.n END,
+CASE WHEN f.done THEN f.alpha WHEN NOT narrow AND c = 0 AND (f.alpha < 720 OR f.beta < 480) THEN least(f.alpha + 120, 720) WHEN c > 1 AND (f.alpha > 120 OR f.beta > 60) AND dc > 0 THEN da ELSE f.alpha END,
+CASE WHEN f.done THEN f.beta WHEN NOT narrow AND c = 0 AND (f.alpha < 720 OR f.beta < 480) THEN least(f.beta + 120, 480) WHEN c > 1 AND (f.alpha > 120 OR f.beta > 60) AND dc > 0 THEN db ELSE f.beta END,
+NOT f.done AND c > 0, NOT f.done AND NOT (NOT narrow AND c = 0 AND (f.alpha < 720 OR f.beta < 480)) AND NOT (c > 1 AND (f.alpha > 120 OR f.beta > 60) AND dc > 0)
+FROM fold f JOIN moves m ON m.key = f.key AND m.n = f.n AND m.alpha = f.alpha AND m.beta = f.beta)"""
+
+
+@query(f"{STEPS} SELECT far.key, {PAIR} FROM far JOIN fold ON fold.key = far.key AND fold.n = far.n JOIN steps ON steps.k = fold.k AND ahead <= alpha AND back <= beta")
 def expanding_join(spark: SparkSession, d: str) -> DataFrame:
     return adaptive.pairs(adaptive.adaptive_join(two_sides(spark, d), adaptive.Bounds(**BOUNDS)))
 
 
-@query()
+@query(f"{MOVES} SELECT far.key, {PAIR} FROM far JOIN fold ON fold.done AND fold.key = far.key AND fold.n = far.n AND ahead <= alpha AND back <= beta")
 def expand_shrink_join(spark: SparkSession, d: str) -> DataFrame:
     return adaptive.pairs(adaptive.adaptive_join(two_sides(spark, d), adaptive.Bounds(**BOUNDS, mode="expand_shrink")))
 
 
-@query()
+@query(f"{STEPS} SELECT ev.key, CASE WHEN l THEN 'L' ELSE 'R' END AS side, t, a.alpha AS old_alpha, a.beta AS old_beta, b.alpha AS new_alpha, b.beta AS new_beta FROM fold JOIN ev ON ev.key = fold.key AND ev.n = fold.n JOIN steps a ON a.k = was JOIN steps b ON b.k = fold.k WHERE was <> fold.k")
 def adaptation_log(spark: SparkSession, d: str) -> DataFrame:
     return adaptive.adaptations(adaptive.adaptive_join(two_sides(spark, d), adaptive.Bounds(**BOUNDS)))
 

@@ -54,6 +54,7 @@ class Program:
         self.streams: dict[str, DataFrame] = {}
         self.queries: dict[str, ContinuousQuery] = {}
         self.running: dict[str, list[StreamingQuery]] = {}
+        self.outputs: dict[str, str] = {}
 
     def add_stream(self, name: str, df: DataFrame) -> None:
         if name in self.streams:
@@ -65,9 +66,10 @@ class Program:
         if query.name in self.queries:
             raise ValueError(f"there is a query {query.name}")
         result = query.plan(self.streams)
-        self.queries[query.name] = query
         if output:
             self.add_stream(output, result)
+            self.outputs[query.name] = output
+        self.queries[query.name] = query
         return result
 
     def view(self, query: ContinuousQuery, times: dict[str, str]) -> View:
@@ -92,7 +94,8 @@ class Program:
         return started
 
     def unregister(self, name: str) -> None:
-        """Stops and forgets a query; an unknown name is no error."""
+        """Stops and forgets a query and the stream of its results; an unknown name is no error."""
         for q in self.running.pop(name, []):
             q.stop()
         self.queries.pop(name, None)
+        self.streams.pop(self.outputs.pop(name, None), None)
