@@ -409,6 +409,8 @@ def test_bpe_columns(docs, rows, none, library):
     want = Counter((i, tuple(library.encode_ordinary(t or "")), (t or "").encode()) for i, t, *_ in rows)
     assert Counter((r.doc_id, tuple(array("I", bytes(r.ids))), bytes(r.bytes)) for r in got) == want
     assert bpe_prefix.decoded(bpe_prefix.encoded(none, **RANKS), **RANKS).count() == 0
+    two, one = bpe_prefix.decoded(bpe_prefix.encoded(docs, **RANKS), **RANKS), bpe_prefix.round_trip(docs, **RANKS)
+    assert two.exceptAll(one).isEmpty() and one.exceptAll(two).isEmpty() and one.count() == len(rows)
 
 
 def test_segments():

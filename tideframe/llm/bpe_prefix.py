@@ -202,6 +202,19 @@ def decoded(df: DataFrame, path: str, pattern: str, key: str = "doc_id", ids: st
     return df.select(F.col(key).cast("long").alias(key), F.col(ids).alias("ids")).mapInArrow(each, f"`{key}` long, n_tokens long, ids binary, bytes binary")
 
 
+def round_trip(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_tokens, ids and bytes (binary, decoded from the ids) of each row's text: encoded() and decoded() in one worker, which
+    holds the vocabulary once."""
+    out = pa.schema([(key, pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("bytes", pa.binary())])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = encoder(path, pattern)
+        for k, ids in sized(((b.column(0)[i].as_py(), known.encode(b.column(1)[i].as_py() or "")) for b in batches for i in range(b.num_rows))):
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(known.decode, ids), pa.binary())], schema=out)
+
+    return df.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("text")).mapInArrow(each, f"`{key}` long, n_tokens long, ids binary, bytes binary")
+
+
 def sized(pairs: Iterator[tuple[int, bytes]]) -> Iterator[tuple[list, list]]:
     """Keys and values in lists of about BATCH_BYTES."""
     keys, values, size = [], [], 0

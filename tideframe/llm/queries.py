@@ -64,7 +64,7 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = {"path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
-    read = bpe_prefix.decoded(bpe_prefix.encoded(table(spark, sf_dir, "documents"), **named), **named)
+    read = bpe_prefix.round_trip(table(spark, sf_dir, "documents"), **named)
     return read.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
