@@ -77,8 +77,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit) and the hash of the text that they decode to."""
     named = {"path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
-    read = bpe_prefix.decoded(bpe_prefix.encoded(docs, **named), **named)
-    return read.select("doc_id", "n_tokens", "ids", F.sha2("bytes", 256).alias("decoded_sha256"))
+    return bpe_prefix.round_trip(docs, **named).select("doc_id", "n_tokens", "ids", F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
 STAGES: list[tuple[str, Stage]] = [
