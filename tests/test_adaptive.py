@@ -3,7 +3,7 @@ import random
 import pytest
 
 from tideframe.operators.adaptive import Bounds, Fold, adaptations, adaptive_join, folded, pairs
-from tideframe.operators import metrics
+from tideframe.operators import adaptive, metrics
 from tideframe.sources import generators
 from pyspark.sql import functions as F
 
@@ -89,3 +89,25 @@ def test_generated_streams(spark, mode):
     good = truth.where("correctPaymentId is not null").select(F.col("orderId").alias("left_id"), F.col("correctPaymentId").alias("right_id"))
     one = metrics.evaluate(pairs(result), good, ["left_id", "right_id"]).first()
     assert one.tp + one.fn == 200 and one.recall > 0.6
+
+
+@pytest.mark.parametrize("mode", ["expand", "expand_shrink"])
+def test_lateness_forgets_and_sets_aside(spark, mode):
+    """Within the lateness nothing changes, and only what can still be reached is held."""
+    rnd = random.Random(5)
+    b = Bounds(3, 2, 2, 9, 7, mode)
+    rows = [(rnd.choice("LR"), t + rnd.randint(-10, 0), f"e{t}") for t in range(400)]
+    plain, fold = Fold(b), Fold(b, lateness=10)
+    assert folded(plain, rows) == folded(fold, rows)
+    assert len(plain.left) + len(plain.right) == 400 and len(fold.left) + len(fold.right) < 45
+    top, kept = None, []
+    for r in rows:
+        if top is None or r[1] >= top - 4:
+            kept.append(r)
+        top = max(r[1], top if top is not None else r[1])
+    out = folded(Fold(b, lateness=4), rows)
+    assert [x for x in out if x[0] != "late"] == folded(Fold(b), kept)
+    assert [x[1] or x[2] for x in out if x[0] == "late"] == [r[2] for r in rows if r not in kept]
+    df = spark.createDataFrame([("k", *r, i) for i, r in enumerate(rows)], "key string, side string, t long, event string, _seq int")
+    found = adaptive_join(df, b, lateness=4)
+    assert adaptive.late(found).count() == len(rows) - len(kept)

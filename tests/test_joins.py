@@ -41,6 +41,18 @@ def test_inverted_interval_raises(spark):
         interval.interval_join(left, right, "lt", "rt", 5, 6, lower_inclusive=False, upper_inclusive=False)
 
 
+def test_names_of_the_sides(spark):
+    left = spark.createDataFrame([(1, 5, "x", 1, 2, 3)], "k int, lt long, _lt string, _lb int, _rb int, _n int")
+    right = spark.createDataFrame([(1, 7, "y")], "rk int, rt long, _rt string")
+    got = interval.interval_join(left, right, "lt", "rt", 0, 5, [("k", "rk")])
+    assert got.columns == [*left.columns, *right.columns] and tuple(got.first()) == (1, 5, "x", 1, 2, 3, 1, 7, "y")
+    assert interval.first_match(left, ["k"], [F.col("lt")]).columns == left.columns
+    with pytest.raises(ValueError):
+        interval.interval_join(left, left, "lt", "lt", 0, 5)
+    with pytest.raises(ValueError):
+        interval.dynamic_join(left, right, "lt", "rt", 5, [])
+
+
 def test_window_join_counts_each_shared_window(spark):
     a, b, left, right = sides(spark, 5)
     w = lambda t: {s for s in range(-80, 80, 5) if s <= t < s + 15}
@@ -103,6 +115,19 @@ def test_metrics_and_streams(spark):
     assert [r.v for r in relational.dstream(now, before).collect()] == [3]
 
 
+def test_changes_between_instants(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "a"), (4, "c")], "at long, v string")
+    instants = spark.createDataFrame([(i,) for i in (1, 2, 3, 4)], "at long")
+    got = sorted((r["at"], r.v, r.change) for r in relational.changes(rows, "at", instants, F.lit(1)).collect())
+    assert got == [(1, "a", 1), (1, "a", 1), (1, "b", 1), (2, "a", -1), (2, "b", -1), (3, "a", -1), (4, "c", 1)]
+
+
+def test_closure(spark):
+    h = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "x")], "sub string, super string")
+    got = {tuple(r) for r in relational.closure(h).collect()}
+    assert got == {("a", "b"), ("a", "c"), ("a", "d"), ("b", "c"), ("b", "d"), ("c", "d"), ("x", "x")}
+
+
 def test_graph_steps(spark):
     t = spark.createDataFrame([("a", "knows", "b"), ("b", "rdf:type", "Dog"), ("c", "knows", "c")], "s string, p string, o string")
     h = spark.createDataFrame([("Dog", "Animal")], "sub string, super string")

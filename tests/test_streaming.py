@@ -58,13 +58,58 @@ def test_adaptive_stream_equals_batch(spark, tmp_path):
 
 
 def test_late_rows_go_aside(spark, tmp_path):
-    for i, t in enumerate(["2024-01-01 10:00:00", "2024-01-01 09:00:00", "2024-01-01 09:55:00"]):
-        spark.createDataFrame([(i, t)], "id int, t string").select("id", F.col("t").cast("timestamp").alias("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    """Rows behind the watermark of the batches before, also across a restart and when a batch is run again."""
     seen, late = [], []
-    split = joins.LateSplitter("ts", 600, lambda d, _: seen.extend(r.id for r in d.collect()), lambda d, _: late.extend(r.id for r in d.collect()))
-    src = io.stream(spark, str(tmp_path / "in"), "id int, ts timestamp")
-    src.writeStream.foreachBatch(split).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
-    assert sorted(seen + late) == [0, 1, 2] and 0 in seen and set(late) <= {1}
+    path = str(tmp_path / "in")
+
+    def put(i, t):
+        spark.createDataFrame([(i, t)], "id int, t string").select("id", F.col("t").cast("timestamp").alias("ts")).coalesce(1).write.mode("append").parquet(path)
+
+    def run():
+        split = joins.LateSplitter("ts", 600, lambda d, _: seen.extend(r.id for r in d.collect()), lambda d, _: late.extend(r.id for r in d.collect()), str(tmp_path / "marks"))
+        src = io.stream(spark, path, "id int, ts timestamp")
+        src.writeStream.foreachBatch(split).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+        return split
+
+    for i, t in enumerate(["2024-01-01 10:00:00", "2024-01-01 09:00:00", "2024-01-01 09:50:00"]):
+        put(i, t)
+        run()  # each run is a query started again
+    assert (seen, late) == ([0, 2], [1])
+    put(3, "2024-01-01 09:49:59")
+    split = run()
+    assert late == [1, 3]
+    again = spark.createDataFrame([(9, "2024-01-01 09:00:00")], "id int, t string").select("id", F.col("t").cast("timestamp").alias("ts"))
+    split(again, 0)
+    assert seen == [0, 2, 9], "the first batch, run again, has no watermark"
+
+
+def test_sessions_and_window_join_streams(spark, files, tmp_path):
+    path, _, e = files
+    src = joins.event(io.stream(spark, path, schema_of(e)), "ts", "40 days")
+    got = drained(joins.stream_sessions(src, "ts", "12 hours", ["user_id"], F.count("*").alias("n")), "live_sessions", str(tmp_path / "c1"), "complete")
+    batch = windows.session_frames(e, "ts", 12 * 3600 - 1e-6, ["ts"], ["user_id"]).groupBy("user_id", "frame").agg(F.count("*").alias("n"), F.min("ts").alias("first"))
+    assert sorted((r.user_id, r.w.start, r.n) for r in got.collect()) == sorted((r.user_id, r["first"], r.n) for r in batch.collect())
+    side = lambda df, kind, x: df.where(F.col("event_type") == kind).select(F.col("user_id").alias(f"{x}k"), F.col("event_id").alias(x), F.col("ts").alias(f"{x}t"))
+    s1, s2 = (joins.event(side(io.stream(spark, path, schema_of(e)), kind, x), f"{x}t", "40 days") for kind, x in (("click", "a"), ("view", "b")))
+    live = drained(joins.stream_window_join(s1, s2, "at", "bt", "12 hours", "4 hours", [("ak", "bk")]), "live_windows", str(tmp_path / "c2"))
+    want = interval.window_join(side(e, "click", "a"), side(e, "view", "b"), "at", "bt", 12 * 3600, 4 * 3600, [("ak", "bk")])
+    assert sorted((r.a, r.b, r.w.start) for r in live.collect()) == sorted((r.a, r.b, r.w_start) for r in want.collect()) and live.count()
+
+
+def test_sinks(spark, files, tmp_path):
+    path, _, e = files
+    q = io.to_files(io.stream(spark, path, schema_of(e), files_at_once=2), str(tmp_path / "out"), str(tmp_path / "c"))
+    q.awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == e.count()
+    io.to_files(io.stream(spark, path, schema_of(e)), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == e.count(), "a restarted query reads nothing twice"
+    m = io.to_memory(io.stream(spark, path, schema_of(e)), "in_memory")
+    m.processAllAvailable()
+    m.stop()
+    assert spark.table("in_memory").count() == e.count()
+    parts = io.partitioned(e, 5, "user_id").select("user_id", F.spark_partition_id().alias("p")).distinct()
+    assert parts.count() == parts.select("user_id").distinct().count()
+    assert io.rate(spark, 5).isStreaming
 
 
 def test_program_and_views(spark, files, tmp_path):
@@ -79,6 +124,11 @@ def test_program_and_views(spark, files, tmp_path):
     assert program.register(after).count() == out.where("n > 1").count()
     program.unregister("by_user")
     program.unregister("unknown")
+    assert program.register(q, "counts").columns == out.columns, "its output is free again"
+    with pytest.raises(ValueError):
+        program.register(ContinuousQuery("other", q.inputs, q.relate), "counts")
+    assert "other" not in program.queries
+    program.unregister("by_user")
     view = program.view(q, {"events": "ts"})
     half = view.at(F.lit("2024-01-15").cast("timestamp"))
     assert 0 < half.agg(F.sum("n")).first()[0] < out.agg(F.sum("n")).first()[0]
@@ -97,6 +147,18 @@ def test_sources(spark, tmp_path):
     assert io.table(spark, str(tmp_path / "o"), io.ORDERS, "csv").collect() == o.collect()
     with pytest.raises(ValueError):
         io.table(spark, "x", kind="csv")
+    orders, payments, shipments, cases = generators.case_streams(spark, 3)
+    truth = generators.ground_truth(orders, payments, shipments, 100, 50, 30)
+    kinds = {r.category: r["count"] for r in truth.join(cases, "orderId").groupBy("category").count().collect()}
+    assert kinds == {k: 3 * n * len(ships) for k, (n, pays, ships) in generators.CATEGORIES.items() if pays and ships}
+    assert truth.where("not paymentId like 'P%0'").isEmpty(), "the first paid one"
+    orders, payments, shipments = generators.integrity_streams(spark, 2000)
+    assert [df.schema.simpleString() for df in (orders, payments, shipments)] == [spark.createDataFrame([], s).schema.simpleString() for s in (io.ORDERS, io.PAYMENTS, io.SHIPMENTS)]
+    late = payments.join(orders.select("orderId", F.col("t").alias("tO")), "orderId").where("t > tO + 80 and paymentId like 'P%'").count()
+    assert 120 < late < 250 and 120 < 2000 - payments.where("paymentId like 'P%'").count() < 280
+    both = generators.arrivals(*generators.two_streams(spark, 4)[:2]).orderBy("_seq").collect()
+    back = sum(a.t > b.t for a, b in zip(both, both[1:], strict=False))
+    assert len({r["_seq"] for r in both}) == len(both) and 0 < back < 0.2 * len(both)
     p = spark.createDataFrame([("P1", "O1", "FAILED", 1.5, 12), ("P2", "O1", "PAID", 1.5, 50)], io.PAYMENTS)
     s = spark.createDataFrame([("S1", "O1", "x", 60), ("S2", "O1", "x", 111)], io.SHIPMENTS)
     got = generators.ground_truth(o, p, s, 100, 50, 30).collect()

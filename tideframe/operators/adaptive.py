@@ -8,6 +8,9 @@ shrink. The first arrival of a key widens too, even if nothing came from the oth
 expand_shrink: an arrival widens until it finds something or both bounds are at their maxima, then narrows while it finds
 more than one event (down to the start, never to none), and emits all that is left.
 
+With a lateness, a key's watermark is its largest time less that; an event strictly behind it is late and joins nothing, and
+buffers forget what no later event can reach. Without one, nothing is late and nothing is forgotten.
+
 The outcome depends on the order of arrival, so a key's events are folded in the order of _seq, in one task; the fold looks
 events up by bisection. Fold is what batch and streaming forms share.
 """
@@ -52,6 +55,8 @@ class Fold:
     beta: int = -1
     left: list = field(default_factory=list)
     right: list = field(default_factory=list)
+    lateness: int | None = None
+    top: int | None = None
 
     def __post_init__(self) -> None:
         if self.alpha < 0:
@@ -62,6 +67,14 @@ class Fold:
         low, high, other = (t - beta, t + alpha, self.right) if side == "L" else (t - alpha, t + beta, self.left)
         return bisect_left(other, (low,)), bisect_right(other, (high, chr(0x10FFFF)))
 
+    def is_late(self, t: int) -> bool:
+        """Whether t is behind the watermark, which t moves on if not."""
+        if self.lateness is None or self.top is not None and t <= self.top:
+            return self.lateness is not None and t < self.top - self.lateness
+        self.top = t
+        self.forget(t - self.lateness)
+        return False
+
     def add(self, side: str, t: int, event: str) -> tuple[list[tuple[int, str]], tuple[int, int] | None]:
         """Take an event in; its matches (time, event) and, if the bounds changed, the ones before."""
         b, before = self.bounds, (self.alpha, self.beta)
@@ -104,9 +117,12 @@ TYPES = [pa.int64() if c.endswith("long") else pa.string() for c in RESULT.split
 
 
 def folded(fold: Fold, rows: list[tuple[str, int, str]]) -> list[tuple]:
-    """Rows of RESULT of (side, t, event) rows in order: pairs, and adaptations of the bounds."""
+    """Rows of RESULT of (side, t, event) rows in order: pairs, adaptations of the bounds, and late events."""
     out = []
     for side, t, event in rows:
+        if fold.is_late(t):
+            out.append(("late", event if side == "L" else None, event if side == "R" else None, None, side, t, None, None, None, None))
+            continue
         matches, before = fold.add(side, t, event)
         if before:
             out.append(("adapted", None, None, None, side, t, *before, fold.alpha, fold.beta))
@@ -116,7 +132,7 @@ def folded(fold: Fold, rows: list[tuple[str, int, str]]) -> list[tuple]:
     return out
 
 
-def adaptive_join(events: DataFrame, bounds: Bounds, key: str = "key", side: str = "side", time: str = "t", event: str = "event", seq: str = "_seq") -> DataFrame:
+def adaptive_join(events: DataFrame, bounds: Bounds, key: str = "key", side: str = "side", time: str = "t", event: str = "event", seq: str = "_seq", lateness: int | None = None) -> DataFrame:
     """key and RESULT of a stream of both sides' events (side L or R, time in ticks, event id).
 
     Defined results: rows with a null key, side, time or event are left out; equal _seq go by side, time and event.
@@ -130,7 +146,7 @@ def adaptive_join(events: DataFrame, bounds: Bounds, key: str = "key", side: str
         for b in batches:
             for k, side_, t, e in zip(*(c.to_pylist() for c in b.columns[:4]), strict=True):
                 if k != now:
-                    now, state = k, Fold(bounds)
+                    now, state = k, Fold(bounds, lateness=lateness)
                 found = folded(state, [(side_, t, e)])
                 keys += [k] * len(found)
                 out += found
@@ -150,13 +166,18 @@ def adaptations(result: DataFrame) -> DataFrame:
     return result.where("kind = 'adapted'").select("key", "side", "t", "old_alpha", "old_beta", "new_alpha", "new_beta")
 
 
-def adaptive_stream(events: DataFrame, bounds: Bounds, key: str = "key", side: str = "side", time: str = "t", event: str = "event", seq: str = "_seq") -> DataFrame:
-    """The same over a stream: state by key, the rows of a micro-batch in the order of _seq."""
+def late(result: DataFrame) -> DataFrame:
+    return result.where("kind = 'late'").select("key", "side", "t", F.coalesce("left_id", "right_id").alias("event"))
+
+
+def adaptive_stream(events: DataFrame, bounds: Bounds, key: str = "key", side: str = "side", time: str = "t", event: str = "event", seq: str = "_seq", lateness: int | None = None) -> DataFrame:
+    """The same over a stream: state by key, the rows of a micro-batch in the order of _seq. With a lateness, state is bounded by
+    the events that lie within the lateness and the widest bounds."""
     kind = events.schema[key].dataType.simpleString()
     rows = events.select(F.col(key).alias("key"), F.col(side).alias("side"), F.col(time).cast("long").alias("t"), F.col(event).cast("string").alias("event"), F.col(seq).alias("seq")).dropna()
 
     def step(names: tuple, frames: object, state: object) -> object:
-        fold = pickle.loads(state.get[0]) if state.exists else Fold(bounds)
+        fold = pickle.loads(state.get[0]) if state.exists else Fold(bounds, lateness=lateness)
         pdf = pd.concat(list(frames)).sort_values(["seq", "side", "t", "event"])
         out = folded(fold, list(pdf[["side", "t", "event"]].itertuples(index=False, name=None)))
         state.update((pickle.dumps(fold),))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 def accumulated(value: str, seq: str) -> Column:
     """All values of the window in order of arrival."""
-    return F.transform(F.array_sort(F.collect_list(F.struct(seq, value))), lambda x: x[value])
+    return F.transform(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("seq"), F.col(value).alias("value")))), lambda x: x["value"])
 
 
 def reduced(value: str, seq: str, zero: Column, merge: Callable[[Column, Column], Column]) -> Column:

@@ -41,6 +41,13 @@ def paid_orders(orders: DataFrame, payments: DataFrame, grace: float, counts: Co
     return first_match(pairs, [c.order_id], [F.col(c.payment_time), F.col(c.payment_id)])
 
 
+def base_then_grace(orders: DataFrame, payments: DataFrame, v: float, g: float, counts: Column | None = None, c: Streams = Streams()) -> DataFrame:
+    """Orders with their earliest payment in [t, t + V], else the earliest in (t + V, t + V + G], and graced, whether it was the
+    latter. It is the payment of paid_orders, as all that lie in the base come before all that lie in the grace."""
+    paid = paid_orders(orders, payments, v + g, counts, c)
+    return paid.withColumn("graced", ticks(paid, c.payment_time) > ticks(paid, c.order_time) + span(orders, c.order_time, v))
+
+
 def elastic_validation(orders: DataFrame, payments: DataFrame, shipments: DataFrame, u: float, v: float, g: float, counts: Column | None = None, c: Streams = Streams()) -> DataFrame:
     """A row for each valid order and each of its shipments, and out_ts, the latest of the three times."""
     paid = paid_orders(orders, payments, v + g, counts, c)
@@ -88,6 +95,20 @@ def elastic_windowing(orders: DataFrame, payments: DataFrame, shipments: DataFra
     return out.withColumn("out_ts", F.greatest(c.order_time, c.payment_time, c.shipment_time))
 
 
+def elastic_windowing_arrival(orders: DataFrame, payments: DataFrame, shipments: DataFrame, u: float, v: float, g: float, seq: tuple[str, str, str], mode: str = "elastic", extension: float = 0, counts: Column | None = None, c: Streams = Streams()) -> DataFrame:
+    """The same by arrival: an order takes the first payment to arrive after it that lies in [t, t + V + G], and a shipment is
+    joined whenever it arrives, as both wait for each other. Columns and _final_seq, the arrival that completes the row."""
+    if mode not in ("fixed", "elastic", "extended"):
+        raise ValueError(mode)
+    os, ps, ss = seq
+    valid = payments if counts is None else payments.where(counts)
+    pairs = interval_join(orders, valid, c.order_time, c.payment_time, 0, v + g, [(c.order_key, c.payment_key)], condition=F.col(ps) > F.col(os))
+    paid = first_match(pairs, [c.order_id], [F.col(ps)])
+    anchor = c.payment_time if mode == "elastic" else c.order_time
+    out = interval_join(paid, shipments, anchor, c.shipment_time, 0, u + (extension if mode == "extended" else 0), [(c.order_key, c.shipment_key)])
+    return out.withColumn("_final_seq", F.greatest(ps, ss))
+
+
 def three_way(orders: DataFrame, payments: DataFrame, shipments: DataFrame, lower: float, upper: float, counts: Column | None = None, c: Streams = Streams()) -> DataFrame:
     """Every payment and every shipment in the interval, for each order: the classic fixed join."""
     valid = payments if counts is None else payments.where(counts)

@@ -23,6 +23,31 @@ def dstream(snapshot: DataFrame, before: DataFrame) -> DataFrame:
     return before.exceptAll(snapshot)
 
 
+def changes(snapshots: DataFrame, instant: str, instants: DataFrame, step: Column) -> DataFrame:
+    """The incremental streams of a relation at a series of instants: its rows that came (change +1, an insert) and went (-1, a
+    delete) since the instant before, as often as they did, at the instant. snapshots has a row of each instant for each row of
+    the relation then, instants all instants (a row each, one column of that name) and step what to add to one for the next.
+    At the first instant all rows came."""
+    columns = [c for c in snapshots.columns if c != instant]
+    counted = snapshots.groupBy(*snapshots.columns).agg(F.count("*").alias("_n"))
+    after = counted.withColumn(instant, F.col(instant) + step).join(instants, instant, "left_semi").withColumn("_n", -F.col("_n"))
+    both = counted.unionByName(after).groupBy(*snapshots.columns).agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    return both.select(instant, *columns, F.signum("_n").cast("int").alias("change"), F.explode(F.sequence(F.lit(1), F.abs(F.col("_n")).cast("int"))).alias("_i")).drop("_i")
+
+
+def closure(hierarchy: DataFrame, most: int = 32) -> DataFrame:
+    """The transitive closure of (sub, super), by doubling the length of paths; a longer chain than 2^most raises."""
+    known = hierarchy.select("sub", "super").distinct()
+    size = known.count()
+    for _ in range(most):
+        more = known.alias("a").join(known.alias("b"), F.col("a.super") == F.col("b.sub")).select("a.sub", "b.super")
+        known = known.union(more).distinct().checkpoint() if known.sparkSession.sparkContext.getCheckpointDir() else known.union(more).distinct()
+        if known.count() == size:
+            return known
+        size = known.count()
+    raise ValueError("the hierarchy is too deep")
+
+
 def at(df: DataFrame, time: str, instant: Column) -> DataFrame:
     """The relation of all events up to an instant."""
     return df.where(F.col(time) <= instant)

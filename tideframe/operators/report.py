@@ -35,8 +35,9 @@ def on_content_change(df: DataFrame, content: str, order: list[str], partition:
     return df.withColumn("_b", before).where(F.col("_b").isNull() | ~F.col(f"_b.{content}").eqNullSafe(F.col(content))).drop("_b")
 
 
-def on_state_ready(ready: Column) -> Column:
-    return ready
+def on_state_ready(states: DataFrame, ready: Column) -> DataFrame:
+    """The states (of frames, say) for which a condition on them holds; one that is null doesn't."""
+    return states.where(F.coalesce(ready, F.lit(False)))
 
 
 def time_ticks(df: DataFrame, time: str) -> DataFrame:

@@ -126,16 +126,40 @@ def validated_join_relaxed(spark: SparkSession, d: str) -> DataFrame:
     return elastic.validated_orders(o, p, V, False, paid(), NAMES).select("o_id", "p_id")
 
 
+@query(f"SELECT o_id, p_id, p_ts > o_ts + INTERVAL 24 HOUR AS graced FROM ({PAIRED})")
+def elastic_base_then_grace(spark: SparkSession, d: str) -> DataFrame:
+    o, p, _ = streams(spark, d)
+    return elastic.base_then_grace(o, p, V, G, paid(), NAMES).select("o_id", "p_id", "graced")
+
+
+@query(
+    f"""WITH paid AS (SELECT *, row_number() OVER (PARTITION BY o_id ORDER BY p_id) AS n FROM {O} o JOIN {P} p ON o_user = p_user AND p_id > o_id AND p_ts BETWEEN o_ts AND o_ts + INTERVAL 36 HOUR)
+SELECT o_id, p_id, s_id, greatest(p_id, s_id) AS final_seq FROM paid JOIN {S} s ON n = 1 AND o_user = s_user AND s_ts BETWEEN p_ts AND p_ts + INTERVAL 48 HOUR"""
+)
+def elastic_windowing_arrival(spark: SparkSession, d: str) -> DataFrame:
+    return elastic.elastic_windowing_arrival(*streams(spark, d), U, V, G, ("o_id", "p_id", "s_id"), "elastic", 0, paid(), NAMES).select("o_id", "p_id", "s_id", F.col("_final_seq").alias("final_seq"))
+
+
+LATE_ORDERS = "(SELECT user_id AS o_user, event_id + CASE WHEN event_id % 2 = 0 THEN 400 ELSE 0 END AS o_seq, event_id AS o_id, ts AS o_ts FROM events WHERE event_type = 'click')"
+
+
 @query(
-    f"""WITH paid AS (SELECT *, row_number() OVER (PARTITION BY o_id ORDER BY p_id DESC) AS n FROM {O} o JOIN {P} p ON o_user = p_user AND p_ts BETWEEN o_ts - INTERVAL 24 HOUR AND o_ts AND p_id < o_id)
-SELECT o_id, p_id, s_id FROM paid JOIN {S} s ON n = 1 AND o_user = s_user AND s_ts BETWEEN o_ts - INTERVAL 48 HOUR AND o_ts AND s_id < o_id"""
+    f"""WITH paid AS (SELECT *, row_number() OVER (PARTITION BY o_id ORDER BY p_id DESC) AS n FROM {LATE_ORDERS} o JOIN {P} p ON o_user = p_user AND p_ts BETWEEN o_ts AND o_ts + INTERVAL 24 HOUR AND p_id < o_seq)
+SELECT o_id, p_id, s_id FROM paid JOIN {S} s ON n = 1 AND o_user = s_user AND s_ts BETWEEN o_ts AND o_ts + INTERVAL 48 HOUR AND s_id < o_seq"""
 )
 def static_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    """Events arrive in time order here, so what arrived before an order lies in its past."""
+    """Every second order arrives 400 events late; only such find what followed them."""
     o, p, s = streams(spark, d)
-    pairs = interval.interval_join(o, p.where(paid()), "o_ts", "p_ts", -V, 0, [("o_user", "p_user")], condition=F.col("p_id") < F.col("o_id"))
-    first = interval.first_match(pairs, ["o_id"], [F.col("p_id").desc()])
-    return interval.interval_join(first, s, "o_ts", "s_ts", -U, 0, [("o_user", "s_user")], condition=F.col("s_id") < F.col("o_id")).select("o_id", "p_id", "s_id")
+    o = o.withColumn("o_seq", F.col("o_id") + F.when(F.col("o_id") % 2 == 0, 400).otherwise(0))
+    return elastic.static_pipeline(o, p, s, U, V, ("o_seq", "p_id", "s_id"), paid(), NAMES).select("o_id", "p_id", "s_id")
+
+
+@query(f"SELECT o_id, s_id, greatest(o_ts, s_ts) AS out_ts FROM (SELECT *, min(o_ts) OVER (PARTITION BY o_user) AS first FROM {O} o JOIN {S} s ON o_user = s_user AND s_ts BETWEEN o_ts AND o_ts + INTERVAL 48 HOUR) WHERE o_ts = first")
+def validated_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Of each key's joined orders the first, with each of its shipments."""
+    o, _, s = streams(spark, d)
+    found = interval.interval_join(o, s, "o_ts", "s_ts", 0, U, [("o_user", "s_user")])
+    return relational.validated_stream(found, "o_user", "o_ts", "s_ts").select("o_id", "s_id", "out_ts")
 
 
 # --- interval joins --------------------------------------------------------------------------------------------------
@@ -210,6 +234,18 @@ def dynamic_grace_first_match(spark: SparkSession, d: str) -> DataFrame:
     return graced(spark, d, first=True, probe_id=["o_id"], build_order=["s_id"])
 
 
+@query(f"SELECT o_id, s_id FROM {O} o JOIN {S} s ON o_user = s_user AND s_ts < o_ts + INTERVAL 6 HOUR")
+def dynamic_whole_lookback(spark: SparkSession, d: str) -> DataFrame:
+    o, _, s = streams(spark, d)
+    return interval.dynamic_join(o, s, "o_ts", "s_ts", 6 * HOUR, [("o_user", "s_user")], "incremental").select("o_id", "s_id")
+
+
+@query(f"SELECT o_id, s_id FROM (SELECT *, row_number() OVER (PARTITION BY o_id ORDER BY s_ts, s_id) AS n FROM {O} o LEFT JOIN {S} s ON o_user = s_user AND s_ts < o_ts + INTERVAL 6 HOUR) WHERE n = 1")
+def dynamic_whole_lookback_first(spark: SparkSession, d: str) -> DataFrame:
+    o, _, s = streams(spark, d)
+    return interval.dynamic_join(o, s, "o_ts", "s_ts", 6 * HOUR, [("o_user", "s_user")], first=True, probe_id=["o_id"], build_order=["s_id"]).select("o_id", "s_id")
+
+
 def windowed(size: int, slide: int) -> str:
     n = size // slide
     starts = lambda t: f"unnest(list_transform(range(0, {n}), lambda i: epoch({t})::BIGINT // {slide} - i)) AS w"
@@ -347,8 +383,13 @@ def content_last(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT w_close, count(DISTINCT user_id) AS n_keys, count(*) AS n FROM {DAILY} GROUP BY w_close")
 def content_keyed(spark: SparkSession, d: str) -> DataFrame:
-    by_key = daily(spark, d).groupBy("w_close", "user_id").agg(F.count("*").alias("n"))
-    return by_key.groupBy("w_close").agg(F.count("*").alias("n_keys"), F.sum("n").alias("n"))
+    return daily(spark, d).groupBy("w_close").agg(content.counted_keys("user_id").alias("n_keys"), F.count("*").alias("n"))
+
+
+@query(f"SELECT w_close, user_id, sum(event_id * 2) + 1 AS folded FROM {DAILY} GROUP BY w_close, user_id")
+def content_reduced(spark: SparkSession, d: str) -> DataFrame:
+    folded = content.reduced("event_id", "event_id", F.lit(1).cast("long"), lambda a, x: a + 2 * x)
+    return daily(spark, d).groupBy("w_close", "user_id").agg(folded.cast("decimal(38,0)").alias("folded"))
 
 
 @query(f"SELECT w_close, median(event_id) AS middle, max(event_id) - min(event_id) AS reach FROM {DAILY} GROUP BY w_close")
@@ -380,6 +421,17 @@ def report_periodic(spark: SparkSession, d: str) -> DataFrame:
     return e.where(report.periodic(F.floor(ticks(e, "ts") / 1_000_000), 3)).select("event_id", "ts")
 
 
+@query(islands("value > 90").replace("GROUP BY ALL", "GROUP BY ALL HAVING count(*) >= 10"))
+def report_state_ready(spark: SparkSession, d: str) -> DataFrame:
+    """Frames are reported once they hold ten events."""
+    return report.on_state_ready(framed(windows.frames(events(spark, d), F.col("value") > 90, ["event_id"], ["user_id"])), F.col("n") >= 10)
+
+
+@query("SELECT event_id, ts AS eval_ts FROM events")
+def tick_tuple(spark: SparkSession, d: str) -> DataFrame:
+    return report.tuple_ticks(events(spark, d), "ts").select("event_id", "eval_ts")
+
+
 @query("SELECT ts AS eval_ts, count(*) AS duplicates FROM events GROUP BY ts")
 def tick_time(spark: SparkSession, d: str) -> DataFrame:
     return report.time_ticks(events(spark, d), "ts")
@@ -429,6 +481,18 @@ def dstream(spark: SparkSession, d: str) -> DataFrame:
     return relational.dstream(snapshot(spark, d, T2), snapshot(spark, d, T1))
 
 
+SERIES = f"(SELECT w_close AS eval_ts, user_id, count(*) AS n FROM {DAILY} GROUP BY ALL)"
+GRID = f"(SELECT DISTINCT w_close AS eval_ts FROM {DAILY})"
+
+
+@query(f"""WITH now AS (SELECT * FROM {SERIES}), old AS (SELECT eval_ts + INTERVAL 24 HOUR AS eval_ts, user_id, n FROM {SERIES} WHERE eval_ts + INTERVAL 24 HOUR IN (FROM {GRID}))
+SELECT *, 1::INT AS change FROM ((FROM now) EXCEPT ALL (FROM old)) UNION ALL SELECT *, -1::INT AS change FROM ((FROM old) EXCEPT ALL (FROM now))""")
+def stream_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Inserts and deletes of the users' daily counts, at the close of each day."""
+    counted = daily(spark, d).groupBy(F.col("w_close").alias("eval_ts"), "user_id").agg(F.count("*").alias("n"))
+    return relational.changes(counted, "eval_ts", counted.select("eval_ts").distinct(), F.expr("INTERVAL 24 HOUR"))
+
+
 @query("SELECT a.event_id AS x, b.event_type AS kind FROM events a JOIN (SELECT DISTINCT user_id, event_type FROM events) b ON a.user_id = b.user_id WHERE a.event_type = 'error'")
 def graph_pattern(spark: SparkSession, d: str) -> DataFrame:
     """Triples (event, by, user) and (user, did, type): which types of events do the users of error events have?"""
@@ -454,6 +518,18 @@ def eval_metrics(spark: SparkSession, d: str) -> DataFrame:
     return one.select("tp", "fp", "fn", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), F.round("lat_median", 1).alias("lat_median"), F.round("lat_p95", 1).alias("lat_p95"))
 
 
+@query(
+    f"""SELECT day, count(*) AS n, count(f.o_id) AS hits, round(count(f.o_id) / count(*), 6) AS recall FROM (SELECT DISTINCT e.o_id, e.s_id, isodow(o_ts)::INT AS day FROM ({ELASTIC}) e JOIN {O} o ON o.o_id = e.o_id) t
+LEFT JOIN (SELECT o_id, s_id FROM {O} o JOIN {S} s ON o_user = s_user AND s_ts BETWEEN o_ts AND o_ts + INTERVAL 24 HOUR) f ON f.o_id = t.o_id AND f.s_id = t.s_id GROUP BY day"""
+)
+def eval_recall_by(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of a narrower join by the day of the week of the order."""
+    o, _, s = streams(spark, d)
+    truth = elastic.elastic_validation(*streams(spark, d), U, V, G, paid(), NAMES).select("o_id", "s_id", (F.weekday("o_ts") + 1).alias("day")).distinct()
+    found = interval.interval_join(o, s, "o_ts", "s_ts", 0, DAY, [("o_user", "s_user")])
+    return metrics.recall_by(found, truth, ["o_id", "s_id"], "day").withColumn("recall", F.round("recall", 6))
+
+
 def two_sides(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d).where("event_type in ('click', 'purchase')")
     return e.select(F.col("user_id").alias("key"), F.when(F.col("event_type") == "click", "L").otherwise("R").alias("side"), F.floor(ticks(e, "ts") / 60_000_000).alias("t"), F.col("event_id").cast("string").alias("event"), F.col("event_id").alias("_seq"))

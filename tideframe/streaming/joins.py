@@ -24,8 +24,9 @@ def stream_interval_join(left: DataFrame, right: DataFrame, left_time: str, righ
 
 def stream_window_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str, size: str, slide: str | None, keys: list[tuple[str, str]]) -> DataFrame:
     """Pairs in the same window; a pair comes once for each window of both."""
-    left = left.withColumn("w", F.window(left_time, size, slide or size))
-    right = right.withColumn("rw", F.window(right_time, size, slide or size))
+    plain = lambda t: F.col(t).cast("timestamp_ntz").cast("timestamp")  # noqa: E731  the window carries the watermark from here on
+    left = left.withColumn("w", F.window(left_time, size, slide or size)).withColumn(left_time, plain(left_time))
+    right = right.withColumn("rw", F.window(right_time, size, slide or size)).withColumn(right_time, plain(right_time))
     on = F.col("w") == F.col("rw")
     for a, b in keys:
         on &= F.col(a) == F.col(b)
@@ -44,18 +45,26 @@ def stream_sessions(df: DataFrame, time: str, gap: str, keys: list[str], *aggreg
 
 class LateSplitter:
     """A foreachBatch function that parts rows behind the watermark (largest time of the batches before, less delay) from
-    the others, and hands both on. The watermark is kept by the driver; a restarted query begins without one."""
+    the others, and hands both on. The marks of the last batches are kept in a folder, so that a restarted query goes on with
+    them and a batch that is run again meets the mark that it met before."""
 
-    def __init__(self, time: str, delay_seconds: int, on_time: Callable[[DataFrame, int], None], late: Callable[[DataFrame, int], None]):
-        self.time, self.delay, self.on_time, self.late, self.mark = time, delay_seconds, on_time, late, None
+    def __init__(self, time: str, delay_seconds: int, on_time: Callable[[DataFrame, int], None], late: Callable[[DataFrame, int], None], folder: str):
+        self.time, self.delay, self.on_time, self.late, self.folder = time, delay_seconds, on_time, late, folder
+
+    def before(self, batch: DataFrame, epoch: int) -> int | None:
+        """The watermark after the batch before this one."""
+        path = batch.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        if not path.getFileSystem(batch.sparkSession.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return None
+        known = batch.sparkSession.read.schema("mark long, epoch long").parquet(self.folder).where(F.col("epoch") < epoch)
+        return known.agg(F.max("mark")).first()[0]
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
-        t = F.unix_micros(F.col(self.time).cast("timestamp"))
+        t, mark = F.unix_micros(F.col(self.time).cast("timestamp")), self.before(batch, epoch)
         held = batch.persist()
-        behind = t < self.mark if self.mark is not None else F.lit(False)
-        self.on_time(held.where(~F.coalesce(behind, F.lit(False))), epoch)
+        behind = F.coalesce(t < mark, F.lit(False)) if mark is not None else F.lit(False)
+        self.on_time(held.where(~behind), epoch)
         self.late(held.where(behind), epoch)
-        top = held.agg(F.max(t)).first()[0]
+        top = held.agg((F.max(t) - self.delay * 1_000_000).alias("mark"), F.lit(epoch).cast("long").alias("epoch")).where("mark is not null")
+        top.coalesce(1).write.mode("append").parquet(self.folder)
         held.unpersist()
-        if top is not None:
-            self.mark = max(top - self.delay * 1_000_000, self.mark if self.mark is not None else top - self.delay * 1_000_000)
