@@ -225,20 +225,36 @@ def test_cumulative_link_recovers_order():
     m = toxicity.CumulativeLink(3, 4).fit(x, y)
     assert (np.diff(m.thresholds) > 0).all() and np.allclose(m.weights, [2, -1, 0], atol=0.25) and np.allclose(m.thresholds, [-1, 0.5, 2], atol=0.25)
     assert (np.diff(m.severity(np.array([[-2, 0, 0], [0, 0, 0], [2, 0, 0]]))) > 0).all()
+    row, column = np.nonzero(np.ones_like(x))
+    sparse = toxicity.CumulativeLink(3, 4).fit(toxicity.Sparse(row, column, x.ravel(), x.shape), y)
+    assert np.allclose(sparse.weights, m.weights) and np.allclose(sparse.thresholds, m.thresholds)
 
 
 def test_classifiers_held_out(spark):
     d = D.replace("0.001", "0.01")
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     truth = {r.doc_id: r for r in labels.collect()}
-    out = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
     quality = [(r.predicted, truth[r.doc_id].quality, r.held_out) for r in queries.op5_pairwise_quality(spark, d).collect() if r.doc_id in truth]
     held = [p == y for p, y, h in quality if h]
     assert sum(held) / len(held) > 0.95
+
+
+def test_toxicity_held_out(spark):
+    d = D.replace("0.001", "0.1")
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
     model = toxicity.learn(docs, labels.where("pmod(crc32(cast(cast(doc_id as string) as binary)), 5) <> 0"))
-    tox = [(r.toxic, truth[r.doc_id].toxic) for r in toxicity.toxicity(docs, *model).collect() if r.doc_id in truth and out(r.doc_id)]
-    assert sum(p for p, y in tox if y == 0) <= 1
-    assert sum(p for p, y in tox if y == 1) >= 0.5 * sum(y for _, y in tox)
+    judged = toxicity.toxicity(docs.join(labels.select("doc_id"), "doc_id"), *model).collect()
+    tox = [(r.toxic, truth[r.doc_id]) for r in judged if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert sum(p for p, y in tox if y == 0) <= 0.01 * len(tox)
+    assert sum(p for p, y in tox if y == 1) >= 0.85 * sum(y for _, y in tox) > 50
+    few, (index, link) = docs.limit(200).collect(), model
+    got = {r.doc_id: r for r in toxicity.toxicity(spark.createDataFrame(few, docs.schema), *model).collect()}
+    for d in few:  # the score written out, word by word
+        found = toxicity.tokens(d.text)
+        score = sum(np.log1p(n) * link.weights[index[w]] for w, n in found.items() if w in index)
+        over = [1 / (1 + np.exp(t - score)) for t in link.thresholds]
+        assert abs(got[d.doc_id].severity - sum(over)) < 1e-6 and got[d.doc_id].toxic == (over[0] >= link.cut)
 
 
 def test_classifier_edges(spark, docs, none):
@@ -346,6 +362,21 @@ def test_join_blocks(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_components(rows, 3, 90))
 
 
+def test_word_hashes(monkeypatch):
+    """One hash a word, wherever it stands, also in texts and words over a piece."""
+    rnd = random.Random(6)
+    for piece in (ngram_join.PIECE, 40):
+        monkeypatch.setattr(ngram_join, "PIECE", piece)
+        known = {}
+        for _ in range(300):
+            data = b"".join(bytes(rnd.choices(b"ab\xc3\xa9\x00\xff", k=rnd.choice([0, 1, 2, 5, 37, 38, 39, 40, 41, 90]))) + bytes(rnd.choices(b" \n\t\x0b\x0c\r", k=rnd.randint(0, 3))) for _ in range(rnd.randint(0, 8)))
+            hashes = ngram_join.word_hashes(data).tolist()
+            assert len(hashes) == len(data.split())
+            for w, h in zip(data.split(), hashes, strict=True):
+                assert known.setdefault(w, h) == h
+        assert len(set(known.values())) == len(known) > 300
+
+
 def test_join_edges(docs, rows, none):
     key = lambda x: tuple((v is None, v) for v in x)
     got = ngram_join.near_duplicates(docs).collect()

@@ -21,6 +21,7 @@ used.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,35 +31,66 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_written, few, written
+from .common import SPACES, drop_written, few, written
 
-MEMO = 400_000  # word hashes kept in a Python worker
 BLOCK = 1024  # classes on a side of one block of comparisons
 #: Tokens that a HOT_SHARE of about SAMPLE sampled rows have are counted apart from the others.
 SAMPLE, HOT_SHARE = 10_000, 0.01
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-WORDS = WordHashes()
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
     return x ^ (x >> np.uint64(33))
 
 
+#: Bytes that are hashed at once, longest words of which are left to xxhash; weights of the bytes; powers of an odd number and
+#: of its inverse, so that the sum over a word doesn't tell where it stands.
+PIECE = 1 << 18
+BYTES = np.random.default_rng(20240611).integers(0, 2**64, 256, dtype=np.uint64)
+ODD = 0xD6E8FEB86659FD93
+POWERS, INVERSES = (np.multiply.accumulate(np.array([1] + [x] * PIECE, np.uint64)) for x in (ODD, pow(ODD, -1, 1 << 64)))
+IS_SPACE = np.isin(np.arange(256), list(SPACES.encode()))
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a text, all bytes at once."""
+    if len(data) <= PIECE:
+        return piece_hashes(data)
+    out, at = [], 0
+    while at < len(data):
+        end = min(at + PIECE, len(data))
+        if end < len(data):
+            end = max(data.rfind(c, at, end) for c in SPACES.encode())
+            if end <= at:  # a word as long as the piece
+                found = SPACE.search(data, at + 1)
+                end = found.start() if found else len(data)
+                out.append(np.array([xxhash.xxh64_intdigest(w) for w in data[at:end].split()], np.uint64))
+                at = end
+                continue
+        out.append(piece_hashes(data[at:end]))
+        at = end
+    return np.concatenate(out)
+
+
+def piece_hashes(data: bytes) -> np.ndarray:
+    b = np.frombuffer(data, np.uint8)
+    outside = np.ones(len(b) + 2, bool)
+    outside[1:-1] = IS_SPACE[b]
+    edges = np.flatnonzero(outside[1:] != outside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(BYTES[b] * POWERS[: len(b)], out=sums[1:])
+    found = mixed((sums[ends] - sums[starts]) * INVERSES[starts])
+    for k in np.flatnonzero(ends - starts >= PIECE - 1).tolist():
+        found[k] = xxhash.xxh64_intdigest(data[starts[k] : ends[k]])
+    return found
+
+
 def shingles(text: str | None, size: int) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct shingles; bytes.lower and bytes.split know ASCII letters and spaces only."""
-    w = (text or "").encode().lower().split()
-    h = np.fromiter(map(WORDS.__getitem__, w), np.uint64, len(w))
+    """Sorted 64-bit hashes of the distinct shingles; bytes.lower knows ASCII letters only."""
+    h = word_hashes((text or "").encode().lower())
     if not len(h):
         return h
     n = min(size, len(h))

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import drop_written, written
 from .common import rows as rows_of
-from .ngram_join import WORDS
+from .ngram_join import word_hashes
 
 LENGTH = 400
 PASSAGE_WORDS = 51
@@ -189,9 +189,7 @@ def byte_symbols(data: bytes) -> np.ndarray:
 
 
 def word_symbols(data: bytes) -> np.ndarray:
-    """Hashes of the words; bytes.split knows ASCII spaces only."""
-    w = data.split()
-    return np.fromiter(map(WORDS.__getitem__, w), np.uint64, len(w))
+    return word_hashes(data)
 
 
 Symbols = Callable[[bytes], np.ndarray]

@@ -27,7 +27,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TRAIN_ROWS = 20_000
-MOST_WORDS = 512  # of the model
 PREFIXES = (3, 4, 5, 6, 7)
 LEAST_TOXIC = 3  # toxic documents that must hold a word of the model
 SURE = 30.0  # least G-squared of a word of the model
@@ -47,6 +46,26 @@ def tokens(text: str | None) -> Counter:
     return found
 
 
+class Sparse:
+    """Rows of few values: value k stands in row[k], column[k]. It multiplies as a matrix does; a row's sum goes by its columns."""
+
+    def __init__(self, row: np.ndarray, column: np.ndarray, value: np.ndarray, shape: tuple[int, int]):
+        self.row, self.column, self.value, self.shape = row, column, value, shape
+
+    def __matmul__(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.column], self.shape[0])
+
+    @property
+    def T(self) -> Sparse:
+        return Sparse(self.column, self.row, self.value, self.shape[::-1])
+
+
+def stacked(rows: list[tuple[np.ndarray, np.ndarray]], columns: int) -> Sparse:
+    """Rows given as columns and values."""
+    row = np.repeat(np.arange(len(rows)), [len(c) for c, _ in rows])
+    return Sparse(row, np.concatenate([c for c, _ in rows] or [np.empty(0, np.int64)]), np.concatenate([v for _, v in rows] or [np.empty(0)]), (len(rows), columns))
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
@@ -58,7 +77,7 @@ class CumulativeLink:
         self.weights, self.thresholds = np.zeros(n_features), np.arange(n_grades - 1, dtype=float)
         self.cut = 0.5  # chance of a grade over 0 from which on a document counts as toxic
 
-    def fit(self, x: np.ndarray, grade: np.ndarray, steps: int = 600, rate: float = 0.1, l2: float = L2) -> CumulativeLink:
+    def fit(self, x: np.ndarray | Sparse, grade: np.ndarray, steps: int = 600, rate: float = 0.1, l2: float = L2) -> CumulativeLink:
         """Adam on the likelihood; thresholds stay ordered as the first and the logs of the gaps are learned."""
         k = len(self.thresholds)
         share = np.cumsum(np.bincount(grade, minlength=k + 1))[:k] / len(grade)
@@ -85,11 +104,11 @@ class CumulativeLink:
         self.thresholds = p[x.shape[1]] + np.concatenate([[0], np.cumsum(np.exp(p[x.shape[1] + 1 :]))])
         return self
 
-    def at_least(self, x: np.ndarray) -> np.ndarray:
+    def at_least(self, x: np.ndarray | Sparse) -> np.ndarray:
         """P(grade > k) for each threshold k."""
         return 1 - sigmoid(self.thresholds[None, :] - (x @ self.weights)[:, None])
 
-    def choose_cut(self, x: np.ndarray, grade: np.ndarray) -> CumulativeLink:
+    def choose_cut(self, x: np.ndarray | Sparse, grade: np.ndarray) -> CumulativeLink:
         """The cut of best F1 on the rows, midway to the next score below, so that rare toxic rows count as well."""
         p, y = self.at_least(x)[:, 0], grade > 0
         order = np.argsort(-p, kind="stable")
@@ -99,7 +118,7 @@ class CumulativeLink:
         self.cut = float((p[order][best] + (p[order][best + 1] if best + 1 < len(p) else 0.0)) / 2)
         return self
 
-    def severity(self, x: np.ndarray) -> np.ndarray:
+    def severity(self, x: np.ndarray | Sparse) -> np.ndarray:
         return self.at_least(x).sum(axis=1)
 
 
@@ -119,13 +138,11 @@ def g_squared(k1: np.ndarray, n1: float, k0: np.ndarray, n0: float) -> np.ndarra
     return 2 * (part(k1, n1, p) + part(n1 - k1, n1, 1 - p) + part(k0, n0, p) + part(n0 - k0, n0, 1 - p))
 
 
-def counts(text: str | None, index: dict[str, int]) -> np.ndarray:
-    """log(1 + count) of the model's words and beginnings."""
-    row = np.zeros(len(index))
+def counts(text: str | None, index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The model's words and beginnings that a text holds, by their columns, and log(1 + count) of each."""
     found = tokens(text)
-    for w in index.keys() & found.keys():
-        row[index[w]] = np.log1p(found[w])
-    return row
+    held = sorted((index[w], found[w]) for w in index.keys() & found.keys())
+    return np.array([c for c, _ in held], np.int64), np.log1p(np.array([n for _, n in held], float))
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS) -> tuple[dict[str, int], CumulativeLink]:
@@ -150,19 +167,19 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
         return {}, CumulativeLink(0, GRADES)
     k1, k0 = found["bad"].to_numpy(float), found["good"].to_numpy(float)
     found = found.assign(g=np.where(k1 / n1 > k0 / n0, g_squared(k1, n1, k0, n0), 0.0))
-    chosen = found[found["g"] >= SURE].sort_values(["g", "word"], ascending=[False, True]).head(MOST_WORDS)["word"].tolist()
+    chosen = found[found["g"] >= SURE].sort_values(["g", "word"], ascending=[False, True])["word"].tolist()
     index = {w: i for i, w in enumerate(chosen)}
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [counts(t.as_py(), index).astype("<f4").tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x, pa.binary())], names=["k", "y", "x"])
+            x = [counts(t.as_py(), index) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([c.astype("<i4").tobytes() for c, _ in x], pa.binary()), pa.array([v.astype("<f8").tobytes() for _, v in x], pa.binary())], names=["k", "y", "c", "v"])
 
-    got = held.select(F.col("_k").cast("string").alias("k"), "text", "y").mapInArrow(vectors, "k string, y int, x binary").toPandas().sort_values(["k", "x"])
-    x = np.stack([np.frombuffer(b, "<f4") for b in got["x"]]).astype(float).reshape(len(got), len(index))
+    got = held.select(F.col("_k").cast("string").alias("k"), "text", "y").mapInArrow(vectors, "k string, y int, c binary, v binary").toPandas().sort_values(["k", "c", "v"])
+    x = stacked([(np.frombuffer(c, "<i4").astype(np.int64), np.frombuffer(v, "<f8")) for c, v in zip(got["c"], got["v"], strict=True)], len(index))
     y = got["y"].to_numpy()
     if y.max() == 1:
-        hits = np.expm1(x).sum(axis=1)
+        hits = np.bincount(x.row, np.expm1(x.value), len(y))
         edges = np.quantile(hits[y == 1], np.arange(1, GRADES - 1) / (GRADES - 1))
         y = np.where(y == 1, 1 + np.searchsorted(edges, hits, side="right"), 0)
     return index, CumulativeLink(len(index), int(max(GRADES, y.max() + 1))).fit(x, y.astype(int)).choose_cut(x, y.astype(int))
@@ -175,7 +192,7 @@ def toxicity(docs: DataFrame, index: dict[str, int], model: CumulativeLink, key:
         for b in batches:
             over = np.zeros((b.num_rows, len(model.thresholds)))
             if index:
-                over = np.concatenate([model.at_least(counts(t.as_py(), index)[None, :]) for t in b.column(1)])
+                over = model.at_least(stacked([counts(t.as_py(), index) for t in b.column(1)], len(index)))
             p, toxic = np.round(over, 9), over[:, 0] >= model.cut
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array(np.where(toxic, np.maximum(1, (p >= 0.5).sum(axis=1)), 0).astype(np.int32)), pa.array(toxic)], names=[key, "severity", "p_toxic", "grade", "toxic"])
 
