@@ -117,6 +117,26 @@ def test_url_rules(spark):
     assert url_filters.url_filter(pages.limit(0), queries.URL_RULES).count() == 0
 
 
+def test_first_split_by_brute_force(spark):
+    """The root of the first tree has the best second-order gain of all splits, and its leaves' children the right weights."""
+    rnd, k = random.Random(4), len(url_filters.FEATURES)
+    rows = []
+    for _ in range(400):
+        x = [rnd.randint(0, 4) for _ in range(k)]
+        rows.append((x, int(x[3] + 0.5 * x[7] + rnd.random() > 3.2), rnd.randint(1, 3)))
+    start, trees = url_filters.fit(spark.createDataFrame(rows, "_x array<long>, y int, n long"), trees=1, depth=1)
+    p = 1 / (1 + np.exp(-start))
+    x, y, n = (np.array([r[i] for r in rows]) for i in range(3))
+    g, h = n * (p - y), n * p * (1 - p)
+    gain = lambda keep: g[keep].sum() ** 2 / (h[keep].sum() + url_filters.L2)
+    splits = {(f, v): gain(x[:, f] <= v) + gain(x[:, f] > v) for f in range(k) for v in range(4) if min(n[x[:, f] <= v].sum(), n[x[:, f] > v].sum()) >= url_filters.LEAST}
+    f, v = max(splits, key=splits.get)
+    tree = trees[0]
+    assert abs(start - np.log((n * y).sum() / (n * (1 - y)).sum())) < 1e-9 and tree[1] == (f, v)
+    for node, keep in ((2, x[:, f] <= v), (3, x[:, f] > v)):
+        assert abs(tree[node] + url_filters.RATE * g[keep].sum() / (h[keep].sum() + url_filters.L2)) < 1e-4
+
+
 def test_trees_learn_and_generalise(spark):
     rnd = random.Random(2)
     bad = lambda: f"http://h{rnd.randint(10**8, 10**9)}.net/{rnd.randint(10**6, 10**7)}?a=1&b=2&c=3"
@@ -281,6 +301,17 @@ def test_tree_deals_all_draws():
     assert out.sum(0).tolist() == [500, 3, 70, 0] and set(out.sum(1).tolist()) == {81, 82}
 
 
+def test_tree_deals_by_the_hypergeometric_law():
+    """Mean and variance of a shard's count of a source, over many seeds."""
+    draws, shards = np.array([60, 30, 10]), 4
+    got = np.array([mixing.split_tree(draws, shards, np.random.default_rng(s)) for s in range(3000)])
+    n, size = draws.sum(), draws.sum() / shards
+    for i, k in enumerate(draws):
+        mean, var = size * k / n, size * (k / n) * (1 - k / n) * (n - size) / (n - 1)
+        for shard in range(shards):
+            assert abs(got[:, shard, i].mean() - mean) < 5 * np.sqrt(var / 3000) and abs(got[:, shard, i].var() / var - 1) < 0.15
+
+
 def test_mixing(docs, rows, none):
     got = mixing.mixed(docs).collect()
     assert len(got) == len(rows)

@@ -81,3 +81,27 @@ def test_mixture_is_shuffled(spark):
             left[shard] += 1
             part = part[len(shard) :]
     assert left == want
+
+
+def test_stage_edges(spark, tmp_path):
+    """Nulls in any column, empty and long texts, ties, repeated rows, clashing names, and no rows at all."""
+    good = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, good, "en", "a", 5, 7), (1, good, "en", "a", 5, 7), (2, good + " end", None, None, None, None), (None, good, "en", "a", 5, 7), (None, None, None, None, None, None), (3, "", "en", "b", 0, 1), (4, " \n", "en", "b", 2, 1), (5, "x" * 300_000, "en", "b", 9, 9), (6, "many " * 50_000, "de", "b", 9, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row long")
+    got = {}
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        for some, held in (("rows", docs), ("none", docs.limit(0))):
+            stage(spark, held, D).write.parquet(str(tmp_path / f"{some}{i}"))
+            got[name, some] = spark.read.parquet(str(tmp_path / f"{some}{i}"))
+            assert i == 4 or got[name, some].columns == docs.columns
+        assert got[name, "none"].count() == 0
+    kept = [r.doc_id for r in got["quality rules", "rows"].collect()]
+    assert set(kept) <= {1, 2, None} and len(kept) <= 4, "texts of few words or of one word over and over go"
+    near = got["n-gram Jaccard join", "rows"].collect()
+    assert sorted(str(r.doc_id) for r in near) == ["1", "3", "4", "5", "6", "None"]
+    assert [r.text for r in near if r.doc_id is None] == [None]
+    cleaned = got["suffix-array dedup", "rows"].collect()
+    assert len(cleaned) == len(rows) and {r.text for r in cleaned if r.doc_id in (5, 6)} <= {"", " "} and sum(r.text is None for r in cleaned) == 1
+    assert {r.text.strip() for r in cleaned if r.doc_id in (1, 2)} == {"", "end"}
+    ids = {(r.doc_id, r.n_tokens) for r in got["byte-level BPE encoding and decoding", "rows"].collect()}
+    assert (None, 0) in ids and (3, 0) in ids

@@ -6,7 +6,8 @@ numbers so that sums don't depend on order, by node, feature and bin; the driver
 features x bins). A fitted model is one column expression.
 
 Learning reads at most TRAIN_ROWS different decided URLs with their counts, the first in the order of a hash, or all; suffix
-statistics count all decided URLs. Everything else covers every URL.
+statistics count all decided URLs, but for a training row the others only, lest its own label be among its features. Everything
+else covers every URL.
 
 Defined results: null URLs and URLs without "://" have an empty host and path, fit no rule and are judged by the trees on
 features of nothing; without both kinds of labels the trees allow everything; equal URLs get equal verdicts; an empty
@@ -95,17 +96,18 @@ FEATURES = [
 
 
 def suffix_statistics(train: DataFrame) -> DataFrame:
-    """_suffix, suffix_count (thousandths of a bit) and suffix_blocked (smoothed share in thousandths) of decided URLs."""
-    blocked = F.count_if(F.col("verdict") == "block")
-    return train.groupBy(suffix(F.col("host")).alias("_suffix")).agg(F.round(1000 * F.log2(1 + F.count("*"))).cast("long").alias("suffix_count"), F.round(1000 * (blocked + 1) / (F.count("*") + 2)).cast("long").alias("suffix_blocked"))
+    """_suffix, _n and _blocked, how many decided URLs have it and how many of them are blocked."""
+    return train.groupBy(suffix(F.col("host")).alias("_suffix")).agg(F.count("*").alias("_n"), F.count_if(F.col("verdict") == "block").alias("_blocked"))
 
 
-def featured(df: DataFrame, statistics: DataFrame, url: str, few: bool) -> DataFrame:
-    """df and _x, an array of FEATURES."""
+def featured(df: DataFrame, statistics: DataFrame, url: str, few: bool, own: tuple[Column, Column] | None = None) -> DataFrame:
+    """df and _x, an array of FEATURES: of the suffix the count (thousandths of a bit) and the smoothed share of blocked ones
+    (thousandths). own: how many decided URLs, and blocked ones, the row stands for itself."""
     right = F.broadcast(statistics) if few else statistics
     joined = df.withColumn("_s", suffix(F.col("host"))).join(right, F.col("_s") == F.col("_suffix"), "left")
-    x = [*lexical(F.col(f"`{url}`"), F.col("host"), F.col("path")).values(), F.coalesce("suffix_count", F.lit(0).cast("long")), F.coalesce("suffix_blocked", F.lit(500).cast("long"))]
-    return joined.withColumn("_x", F.array(*x)).drop("_s", "_suffix", "suffix_count", "suffix_blocked")
+    n, blocked = (F.coalesce(F.col(c), F.lit(0)) - (own[k] if own else F.lit(0)) for k, c in enumerate(("_n", "_blocked")))
+    x = [*lexical(F.col(f"`{url}`"), F.col("host"), F.col("path")).values(), F.round(1000 * F.log2(1 + n)).cast("long"), F.round(1000 * (blocked + 1) / (n + 2)).cast("long")]
+    return joined.withColumn("_x", F.array(*x)).drop("_s", "_suffix", "_n", "_blocked")
 
 
 Tree = dict[int, tuple[int, float] | float]  # node: feature and the value above which it goes right, or a leaf's weight
@@ -185,7 +187,8 @@ def url_filter(pages: DataFrame, rules: Rules, url: str = "url", rows: int = TRA
     statistics = written(suffix_statistics(labelled), "url-suffixes")
     few = statistics.limit(BROADCAST_SUFFIXES + 1).count() <= BROADCAST_SUFFIXES
     sample = labelled.groupBy("url", "host", "path", "verdict").agg(F.count("*").alias("n")).orderBy(F.xxhash64("url"), "url").limit(rows)
-    train = written(featured(sample, statistics, "url", few).select("_x", (F.col("verdict") == "block").cast("int").alias("y"), "n"), "url-training")
+    y = (F.col("verdict") == "block").cast("int")
+    train = written(featured(sample, statistics, "url", few, (F.col("n"), F.col("n") * y)).select("_x", y.alias("y"), "n"), "url-training")
     start, trees = fit(train)
     score = margin(trees, start, F.col("_x"))
     out = featured(judged, statistics, "url", few).withColumn("p_block", F.when(F.col("verdict").isNull(), 1 / (1 + F.exp(-score))))
