@@ -139,4 +139,6 @@ CHUNK_ROWS = 100_000
 def chunks(df: DataFrame, value: Column, rows: int = CHUNK_ROWS) -> Column:
     """A number that grows with the value, of about `rows` rows each where values are spread evenly."""
     known = df.agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count(value).alias("n"))
-    return F.floor((value - known.select("low").scalar()) / known.select(F.greatest((F.col("high") - F.col("low")) * rows / F.greatest(F.col("n"), F.lit(1)), F.lit(1).cast("decimal(38,6)"))).scalar()).cast("long")
+    step = F.greatest((F.col("high") - F.col("low")) * rows / F.greatest(F.col("n"), F.lit(1)), F.lit(1).cast("decimal(38,6)"))
+    scale = known.select(F.struct(F.col("low").alias("low"), step.alias("step"))).scalar()
+    return F.floor((value - scale["low"]) / scale["step"]).cast("long")
