@@ -134,6 +134,11 @@ def margin(trees: list[Tree], start: float, x: Column) -> Column:
     return total
 
 
+def bin_of(value: Column, cuts: list[int]) -> Column:
+    """How many of the cuts the value is over."""
+    return F.size(F.filter(F.array(*[F.lit(v).cast("long") for v in cuts]), lambda cut: value > cut))
+
+
 def fit(train: DataFrame, trees: int = TREES, depth: int = DEPTH, bins: int = BINS, rate: float = RATE) -> tuple[float, list[Tree]]:
     """Start and trees, by the second-order gain of the logistic loss; train has _x, y (0 or 1) and n (rows alike)."""
     n, positive = train.agg(F.sum("n"), F.sum(F.col("y") * F.col("n"))).first()
@@ -142,7 +147,7 @@ def fit(train: DataFrame, trees: int = TREES, depth: int = DEPTH, bins: int = BI
     start, model = math.log(positive / (n - positive)), []
     cuts = train.agg(*[F.percentile_approx(F.col("_x")[i], [k / bins for k in range(1, bins)], 10_000).alias(f"c{i}") for i in range(len(FEATURES))]).first()
     cuts = [sorted(set(c)) for c in cuts]
-    binned = written(train.select("y", "n", F.col("_x"), F.array(*[F.size(F.filter(F.array(*[F.lit(v) for v in c]), lambda v, i=i: F.col("_x")[i] > v)) for i, c in enumerate(cuts)]).alias("b")), "url-bins")
+    binned = written(train.select("y", "n", F.col("_x"), F.array(*[bin_of(F.col("_x")[i], c) for i, c in enumerate(cuts)]).alias("b")), "url-bins")
     for _ in range(trees):
         tree, p = {}, 1 / (1 + F.exp(-margin(model, start, F.col("_x"))))
         now = binned.select("_x", "b", "n", F.round(SCALE * (p - F.col("y"))).cast("long").alias("g"), F.round(SCALE * p * (1 - p)).cast("long").alias("h"))
