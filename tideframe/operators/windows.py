@@ -35,8 +35,8 @@ def hopping_latest(df: DataFrame, time: str, width: float, slide: float, seq: st
     """
     w, s = span(df, time, width), span(df, time, slide)
     # one clock for the stream: distinct times, with the time before found over chunks of them so that no task holds all
-    times = df.select(ticks(df, time).alias("t")).where("t is not null").distinct()
-    times = times.withColumn("chunk", chunks(times, F.col("t").cast("decimal(38,6)")))
+    every = df.select(ticks(df, time).alias("t")).where("t is not null")
+    times = every.distinct().withColumn("chunk", chunks(every, F.col("t").cast("decimal(38,6)")))
     tops = times.groupBy(F.col("chunk").alias("c")).agg(F.max("t").alias("top"))
     before = tops.select("c", F.lag("top").over(Window.orderBy("c")).alias("before"))
     prev = F.coalesce(F.lag("t").over(Window.partitionBy("chunk").orderBy("t")), F.col("before"))
