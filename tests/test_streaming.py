@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tideframe.operators import adaptive, interval, windows
+from tideframe.operators import adaptive, elastic, interval, windows
+from tideframe.plans import catalog
 from tideframe.plans.query import ContinuousQuery, Program
 from tideframe.sources import generators, io
 from tideframe.streaming import joins
@@ -57,6 +58,33 @@ def test_adaptive_stream_equals_batch(spark, tmp_path):
     assert got == sorted((r.left_id, r.right_id) for r in adaptive.pairs(adaptive.adaptive_join(events, b)).collect()) and got
 
 
+def test_elastic_stream_equals_batch(spark, tmp_path):
+    e = catalog.three_sides(spark, D)
+    top = e.agg(F.max("_seq")).first()[0] + 1
+    for i in range(3):  # the files come one after the other
+        e.where(F.floor(F.col("_seq") * 3 / top) == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    e = spark.read.parquet(str(tmp_path / "in"))
+    hour = 3_600_000_000
+    live = elastic.elastic_stream(io.stream(spark, str(tmp_path / "in"), schema_of(e)), 48 * hour, 24 * hour, 12 * hour, 0)
+    got = sorted(drained(live, "live_elastic", str(tmp_path / "c")).collect(), key=str)
+    batch = elastic.elastic_fold(e, 48 * hour, 24 * hour, 12 * hour, 0)
+    assert got == sorted(batch.collect(), key=str) and {r.kind for r in got} == {"VALID", "INVALID", "NO_CONTENT"}
+    valid = {(int(r.order_id), int(r.payment_id), int(r.shipment_id)) for r in got if r.kind == "VALID"}
+    assert valid == {tuple(r)[:3] for r in catalog.elastic_arrival(spark, D).collect()}, "events come in time order, so nothing expires early"
+
+
+def test_elastic_fold_by_hand():
+    fold = elastic.ElasticFold(100, 80, 10)
+    take = lambda *e: fold.take(*e)
+    assert take("P", 30, "p0") == [] and take("O", 20, "a") == []
+    assert take("S", 50, "s1") == [("VALID", "a", "p0", "s1", 20)] and take("S", 55, "s2") == [], "it is final"
+    assert take("O", 60, "b") == [] and take("O", 61, "c") == [] and take("P", 62, "p1") == []
+    assert take("O", 40, "x") == [("late", "x", None, None, 40)]
+    assert take("O", 170, "d") == [] and take("O", 171, "e") == [("NO_CONTENT", "b", "p1", None, 60)]
+    assert take("O", 300, "f") == [("NO_CONTENT", "c", "p1", None, 61), ("INVALID", "d", None, None, 170), ("INVALID", "e", None, None, 171)]
+    assert not fold.payments and not fold.shipments and list(fold.orders) == ["f"]
+
+
 def test_late_rows_go_aside(spark, tmp_path):
     """Rows behind the watermark of the batches before, also across a restart and when a batch is run again."""
     seen, late = [], []

@@ -17,16 +17,14 @@ events up by bisection. Fold is what batch and streaming forms share.
 
 from __future__ import annotations
 
-import pickle
 from bisect import bisect_left, bisect_right, insort
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .folds import events_of, folded_stream, folded_table
+
 
 @dataclass(frozen=True)
 class Bounds:
@@ -98,6 +96,10 @@ class Fold:
         other = self.right if side == "L" else self.left
         return other[low:high], before if before != (self.alpha, self.beta) else None
 
+    def take(self, side: str, t: int, event: str) -> list[tuple]:
+        """Rows of RESULT of an arrival: pairs, adaptations of the bounds, or a late event."""
+        return folded(self, [(side, t, event)])
+
     def widen(self) -> None:
         b = self.bounds
         self.alpha, self.beta = min(self.alpha + b.delta, b.alpha_max), min(self.beta + b.delta, b.beta_max)
@@ -112,10 +114,6 @@ class Fold:
 RESULT = "kind string, left_id string, right_id string, out_t long, side string, t long, old_alpha long, old_beta long, new_alpha long, new_beta long"
 
 
-NAMES = [c.split()[0] for c in RESULT.split(", ")]
-TYPES = [pa.int64() if c.endswith("long") else pa.string() for c in RESULT.split(", ")]
-
-
 def folded(fold: Fold, rows: list[tuple[str, int, str]]) -> list[tuple]:
     """Rows of RESULT of (side, t, event) rows in order: pairs, adaptations of the bounds, and late events."""
     out = []
@@ -137,25 +135,7 @@ def adaptive_join(events: DataFrame, bounds: Bounds, key: str = "key", side: str
 
     Defined results: rows with a null key, side, time or event are left out; equal _seq go by side, time and event.
     """
-    kind = events.schema[key].dataType.simpleString()
-    rows = events.select(F.col(key).alias("key"), F.col(side).alias("side"), F.col(time).cast("long").alias("t"), F.col(event).cast("string").alias("event"), F.col(seq).alias("seq")).dropna()
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by key and order, so that a key is folded as it streams by; only its buffers are held."""
-        now, state, keys, out = object(), None, [], []
-        for b in batches:
-            for k, side_, t, e in zip(*(c.to_pylist() for c in b.columns[:4]), strict=True):
-                if k != now:
-                    now, state = k, Fold(bounds, lateness=lateness)
-                found = folded(state, [(side_, t, e)])
-                keys += [k] * len(found)
-                out += found
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, b.column(0).type), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), TYPES, strict=True))], names=["key", *NAMES])
-                keys, out = [], []
-
-    dealt = rows.repartition("key").sortWithinPartitions("key", "seq", "side", "t", "event")
-    return dealt.mapInArrow(fold, f"key {kind}, {RESULT}")
+    return folded_table(events_of(events, key, side, time, event, seq), lambda: Fold(bounds, lateness=lateness), RESULT)
 
 
 def pairs(result: DataFrame) -> DataFrame:
@@ -173,16 +153,4 @@ def late(result: DataFrame) -> DataFrame:
 def adaptive_stream(events: DataFrame, bounds: Bounds, key: str = "key", side: str = "side", time: str = "t", event: str = "event", seq: str = "_seq", lateness: int | None = None) -> DataFrame:
     """The same over a stream: state by key, the rows of a micro-batch in the order of _seq. With a lateness, state is bounded by
     the events that lie within the lateness and the widest bounds."""
-    kind = events.schema[key].dataType.simpleString()
-    rows = events.select(F.col(key).alias("key"), F.col(side).alias("side"), F.col(time).cast("long").alias("t"), F.col(event).cast("string").alias("event"), F.col(seq).alias("seq")).dropna()
-
-    def step(names: tuple, frames: object, state: object) -> object:
-        fold = pickle.loads(state.get[0]) if state.exists else Fold(bounds, lateness=lateness)
-        pdf = pd.concat(list(frames)).sort_values(["seq", "side", "t", "event"])
-        out = folded(fold, list(pdf[["side", "t", "event"]].itertuples(index=False, name=None)))
-        state.update((pickle.dumps(fold),))
-        found = pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")]).astype({c: "Int64" for c in ("out_t", "t", "old_alpha", "old_beta", "new_alpha", "new_beta")})
-        found.insert(0, "key", names[0])
-        yield found
-
-    return rows.groupBy("key").applyInPandasWithState(step, f"key {kind}, {RESULT}", "fold binary", "append", "NoTimeout")
+    return folded_stream(events_of(events, key, side, time, event, seq), lambda: Fold(bounds, lateness=lateness), RESULT)

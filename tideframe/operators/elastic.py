@@ -9,13 +9,14 @@ shipments that had arrived when it became valid.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideframe.functions.timeutil import span, ticks
 
+from .folds import events_of, folded_stream, folded_table
 from .interval import first_match, interval_join
 
 
@@ -133,3 +134,71 @@ def static_pipeline(orders: DataFrame, payments: DataFrame, shipments: DataFrame
     valid = payments if counts is None else payments.where(counts)
     paid = first_match(interval_join(orders, valid, c.order_time, c.payment_time, 0, v, [(c.order_key, c.payment_key)], condition=F.col(ps) < F.col(os)), [c.order_id], [F.col(ps).desc()])
     return interval_join(paid, shipments, c.order_time, c.shipment_time, 0, u, [(c.order_key, c.shipment_key)], condition=F.col(ss) < F.col(os))
+
+
+#: kind: VALID for a row of an order and a shipment; INVALID or NO_CONTENT for an order that has expired; late for an event
+#: (order_id holds it).
+OUTCOME = "kind string, order_id string, payment_id string, shipment_id string, order_t long"
+
+
+@dataclass
+class ElasticFold:
+    """A key's validation by arrival (sides O, P and S), as in elastic_arrival. With a lateness, the watermark is the largest time
+    less that: events behind it are late, orders whose windows it has passed expire, and events out of reach are forgotten."""
+
+    u: int
+    grace: int  # V + G
+    lateness: int | None = None
+    top: int | None = None
+    orders: dict[str, list] = field(default_factory=dict)  # time, payment
+    payments: list[tuple[int, str]] = field(default_factory=list)
+    shipments: list[tuple[int, str]] = field(default_factory=list)
+
+    def take(self, side: str, t: int, event: str) -> list[tuple]:
+        out = []
+        if self.lateness is not None:
+            if self.top is not None and t < self.top - self.lateness:
+                return [("late", event, None, None, t)]
+            if self.top is None or t > self.top:
+                self.top = t
+                out = self.expired(t - self.lateness)
+        if side == "O":
+            paid = next((p for pt, p in self.payments if t <= pt <= t + self.grace), None)
+            self.orders[event] = [t, paid]
+            return out + self.settled(event)
+        if side == "P":
+            self.payments.append((t, event))
+            open_ = [o for o, (ot, paid) in self.orders.items() if paid is None and ot <= t <= ot + self.grace]
+            for o in open_:
+                self.orders[o][1] = event
+        else:
+            self.shipments.append((t, event))
+            open_ = [o for o, (ot, paid) in self.orders.items() if paid is not None and ot <= t <= ot + self.u]
+        return out + [row for o in open_ for row in self.settled(o)]
+
+    def settled(self, order: str) -> list[tuple]:
+        """The rows of an order that has all it needs; it is final then."""
+        t, paid = self.orders[order]
+        sent = [s for st, s in self.shipments if t <= st <= t + self.u] if paid is not None else []
+        if sent:
+            del self.orders[order]
+        return [("VALID", order, paid, s, t) for s in sent]
+
+    def expired(self, mark: int) -> list[tuple]:
+        reach = max(self.u, self.grace)
+        self.payments = [x for x in self.payments if x[0] >= mark - reach]
+        self.shipments = [x for x in self.shipments if x[0] >= mark - reach]
+        over = [(o, t, paid) for o, (t, paid) in self.orders.items() if (t + self.grace < mark if paid is None else t + self.u < mark)]
+        for o, _, _ in over:
+            del self.orders[o]
+        return [("INVALID" if paid is None else "NO_CONTENT", o, paid, None, t) for o, t, paid in over]
+
+
+def elastic_fold(events: DataFrame, u: int, v: int, g: int, lateness: int | None = None, key: str = "key", side: str = "side", time: str = "t", event: str = "event", seq: str = "_seq") -> DataFrame:
+    """key and OUTCOME of one stream of all three kinds of events (side O, P or S; payments that count only)."""
+    return folded_table(events_of(events, key, side, time, event, seq), lambda: ElasticFold(u, v + g, lateness), OUTCOME)
+
+
+def elastic_stream(events: DataFrame, u: int, v: int, g: int, lateness: int | None = None, key: str = "key", side: str = "side", time: str = "t", event: str = "event", seq: str = "_seq") -> DataFrame:
+    """The same over a live stream. With a lateness, state is bounded by the events within it and the windows."""
+    return folded_stream(events_of(events, key, side, time, event, seq), lambda: ElasticFold(u, v + g, lateness), OUTCOME)

@@ -78,14 +78,28 @@ def elastic_status(spark: SparkSession, d: str) -> DataFrame:
     return elastic.elastic_status(*streams(spark, d), U, V, G, e.agg(F.max(ticks(e, "ts"))).scalar(), paid(), NAMES)
 
 
-@query(
-    f"""WITH pairs AS (SELECT *, row_number() OVER (PARTITION BY o_id ORDER BY p_id) AS n FROM {O} o JOIN {P} p ON o_user = p_user AND p_ts BETWEEN o_ts AND o_ts + INTERVAL 36 HOUR), j AS (SELECT * FROM pairs JOIN {S} s ON n = 1 AND o_user = s_user AND s_ts BETWEEN o_ts AND o_ts + INTERVAL 48 HOUR), f AS (SELECT *, greatest(o_id, p_id, min(s_id) OVER (PARTITION BY o_id)) AS final_seq FROM j)
+ARRIVAL = f"""WITH pairs AS (SELECT *, row_number() OVER (PARTITION BY o_id ORDER BY p_id) AS n FROM {O} o JOIN {P} p ON o_user = p_user AND p_ts BETWEEN o_ts AND o_ts + INTERVAL 36 HOUR), j AS (SELECT * FROM pairs JOIN {S} s ON n = 1 AND o_user = s_user AND s_ts BETWEEN o_ts AND o_ts + INTERVAL 48 HOUR), f AS (SELECT *, greatest(o_id, p_id, min(s_id) OVER (PARTITION BY o_id)) AS final_seq FROM j)
 SELECT o_id, p_id, s_id, final_seq FROM f WHERE s_id <= final_seq"""
-)
+
+
+@query(ARRIVAL)
 def elastic_arrival(spark: SparkSession, d: str) -> DataFrame:
     return elastic.elastic_arrival(*streams(spark, d), U, V, G, ("o_id", "p_id", "s_id"), paid(), NAMES).select("o_id", "p_id", "s_id", F.col("_final_seq").alias("final_seq"))
 
 
+def three_sides(spark: SparkSession, d: str) -> DataFrame:
+    e = events(spark, d)
+    side = F.when(F.col("event_type") == "click", "O").when((F.col("event_type") == "purchase") & paid(), "P").when(F.col("event_type") == "view", "S")
+    return e.select(F.col("user_id").alias("key"), side.alias("side"), ticks(e, "ts").alias("t"), F.col("event_id").alias("event"), F.col("event_id").alias("_seq"))
+
+
+@query(f"SELECT o_id::VARCHAR AS order_id, p_id::VARCHAR AS payment_id, s_id::VARCHAR AS shipment_id FROM ({ARRIVAL})")
+def elastic_arrival_fold(spark: SparkSession, d: str) -> DataFrame:
+    """The same, folded event by event as the streaming form does."""
+    us = 1_000_000
+    return elastic.elastic_fold(three_sides(spark, d), U * us, V * us, G * us).where("kind = 'VALID'").select("order_id", "payment_id", "shipment_id")
+
+
 def windowing(anchor: str, hours: int) -> str:
     return f"WITH paid AS ({PAIRED}) SELECT o_id, p_id, s_id, greatest(o_ts, p_ts, s_ts) AS out_ts FROM paid JOIN {S} s ON o_user = s_user AND s_ts BETWEEN {anchor} AND {anchor} + INTERVAL {hours} HOUR"
 
