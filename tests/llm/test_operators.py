@@ -15,7 +15,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tideframe.llm import bpe_prefix, media_png, mixing, ngram_join, pairwise_quality, quality_rules, queries, suffix_dedup, token_files, toxicity, url_filters
+from tideframe.llm import bpe_prefix, common, media_png, mixing, ngram_join, pairwise_quality, quality_rules, queries, suffix_dedup, token_files, toxicity, url_filters
 
 D = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, size long, label string, n_words int, spans string"
@@ -57,6 +57,23 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+# --- shared ----------------------------------------------------------------------------------------------------------
+
+
+def test_working_tables(spark):
+    made = common.written(spark.range(10), "trial")
+    here = [p for p in common.left(spark) if "/trial-" in p]
+    assert made.count() == 10 and len(here) == 1
+    common.drop_written(made.select("id"))
+    assert not any("/trial-" in p for p in common.left(spark))
+    assert spark.conf.get(common.CLEANUP, None) in (None, "false")
+
+
+def test_a_cluster_needs_a_shared_folder():
+    assert all(map(common.is_one_process, ["local", "local[4]", "local[*]"]))
+    assert not any(map(common.is_one_process, ["local-cluster[2,1,1024]", "yarn", "spark://h:7077", "k8s://h"]))
+
+
 # --- 1 ---------------------------------------------------------------------------------------------------------------
 
 

@@ -6,8 +6,9 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,7 +94,8 @@ def left(spark: SparkSession) -> list[str]:
 def at_end(spark: SparkSession, app: str) -> None:
     """What is left goes with the driver, unless the application has ended before it."""
     if spark.sparkContext._jsc is not None and spark.sparkContext.applicationId == app:
-        remove(spark, list(LEFT[app]))
+        with suppress(Py4JError, OSError):  # its JVM may be gone
+            remove(spark, list(LEFT[app]))
 
 
 def drop_written(*tables: DataFrame) -> None:
