@@ -27,7 +27,7 @@ def test_query_equals_sql(spark, duck, name):
     assert got == sorted((tuple(map(plain, r)) for r in want), key=repr)
 
 
-@pytest.mark.parametrize("name", ["window_join_sliding"])
+@pytest.mark.parametrize("name", ["window_join_sliding", "window_join_tumbling"])
 def test_window_joins_read_times_as_their_sql(spark, tmp_path, name):
     """Parts of seconds next to the edges of windows, before 1970 too; null times and users."""
     edges = [f"'{day} {clock}'" for day in ("2024-01-01", "1969-12-31", "1970-01-01") for clock in ("03:59:59.5", "05:59:58.5", "05:59:59.499999", "05:59:59.5", "06:00:00.5", "07:59:59.999999", "11:59:59.7", "12:00:00", "20:00:00.2", "23:59:59.5")]
