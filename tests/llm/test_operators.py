@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -492,6 +493,17 @@ def test_bpe_columns(docs, rows, none, library):
     assert two.exceptAll(one).isEmpty() and one.exceptAll(two).isEmpty() and one.count() == len(rows)
 
 
+def test_workers_hold_no_encoder_after_a_task(spark, docs):
+    """Workers stay for the tasks of later stages, whose memory would come on top."""
+
+    def held(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(bpe_prefix.ENCODERS)] * b.num_rows, pa.int64())], names=["n"])
+
+    bpe_prefix.round_trip(docs, **RANKS).write.format("noop").mode("overwrite").save()
+    assert {r.n for r in spark.range(0, 8, 1, 8).mapInArrow(held, "n long").collect()} == {0}
+
+
 def test_segments():
     rng = np.random.default_rng(0)
     for n in (0, 1, 511, 512, 513, 3000):

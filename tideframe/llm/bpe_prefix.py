@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import freeing
+
 NEVER = 1 << 62  # the rank at which a root is merged further
 #: Pieces kept with their ids in a Python worker; beyond that the memo starts anew, so that memory stays bounded.
 MEMO = 400_000
@@ -159,7 +161,7 @@ class Encoder(dict):
         return b"".join(map(self.vocabulary.bytes_of.__getitem__, array("I", ids)))
 
 
-ENCODERS: dict[tuple[str, str], Encoder] = {}  # of this Python worker
+ENCODERS: dict[tuple[str, str], Encoder] = {}  # of this Python worker, while a task runs
 
 
 def encoder(path: str, pattern: str) -> Encoder:
@@ -168,6 +170,11 @@ def encoder(path: str, pattern: str) -> Encoder:
     return ENCODERS[path, pattern]
 
 
+def forget() -> None:
+    """The encoders of this process, with all that they have met."""
+    ENCODERS.clear()
+
+
 def encoded(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key (long), n_tokens (long) and ids (binary, little-endian unsigned 32-bit) of each row's text."""
     out = pa.schema([(key, pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
@@ -177,7 +184,7 @@ def encoded(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: s
         for k, ids in sized(((b.column(0)[i].as_py(), encode(b.column(1)[i].as_py() or "")) for b in batches for i in range(b.num_rows))):
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], schema=out)
 
-    return df.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("text")).mapInArrow(each, f"`{key}` long, n_tokens long, ids binary")
+    return df.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("text")).mapInArrow(freeing(each, forget), f"`{key}` long, n_tokens long, ids binary")
 
 
 def decoded(df: DataFrame, path: str, pattern: str, key: str = "doc_id", ids: str = "ids", on_error: str = "raise") -> DataFrame:
@@ -199,7 +206,7 @@ def decoded(df: DataFrame, path: str, pattern: str, key: str = "doc_id", ids: st
         for k, x in sized(((b.column(0)[i].as_py(), b.column(1)[i].as_py() or b"") for b in batches for i in range(b.num_rows))):
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array([len(y) // 4 for y in x], pa.int64()), pa.array(x, pa.binary()), pa.array(map(decode, x), pa.binary())], schema=out)
 
-    return df.select(F.col(key).cast("long").alias(key), F.col(ids).alias("ids")).mapInArrow(each, f"`{key}` long, n_tokens long, ids binary, bytes binary")
+    return df.select(F.col(key).cast("long").alias(key), F.col(ids).alias("ids")).mapInArrow(freeing(each, forget), f"`{key}` long, n_tokens long, ids binary, bytes binary")
 
 
 def round_trip(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -212,7 +219,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text
         for k, ids in sized(((b.column(0)[i].as_py(), known.encode(b.column(1)[i].as_py() or "")) for b in batches for i in range(b.num_rows))):
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(known.decode, ids), pa.binary())], schema=out)
 
-    return df.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("text")).mapInArrow(each, f"`{key}` long, n_tokens long, ids binary, bytes binary")
+    return df.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("text")).mapInArrow(freeing(each, forget), f"`{key}` long, n_tokens long, ids binary, bytes binary")
 
 
 def sized(pairs: Iterator[tuple[int, bytes]]) -> Iterator[tuple[list, list]]:

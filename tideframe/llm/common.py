@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,6 +113,31 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= FEW else df
 
 
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def freeing(each: Batches, drop: Callable[[], None] | None = None) -> Batches:
+    """each for mapInArrow, such that a task leaves no memory behind: Spark's Python workers stay for the tasks of later stages, whose
+    own memory would come on top. drop forgets what the worker holds besides."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from each(batches)
+        finally:
+            if drop is not None:
+                drop()
+            give_back()
+
+    return task
+
+
+def give_back() -> None:
+    """Free memory of this process goes back to the system, as far as its allocators can tell."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # of glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def rows(batches: Iterator, *names: str) -> Iterator[tuple]:
     """The rows of Arrow batches, one Python tuple at a time."""
     for batch in batches:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, drop_written, few, written
+from .common import SPACES, drop_written, few, freeing, written
 
 BLOCK = 1024  # classes on a side of one block of comparisons
 #: Tokens that a HOT_SHARE of about SAMPLE sampled rows have are counted apart from the others.
@@ -173,7 +173,7 @@ def sized(df: DataFrame, key: str, text: str, size: int, percent: int) -> DataFr
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(need, pa.int32()), pa.ListArray.from_arrays(offsets, flat)], schema=schema)
 
     rows = df.select(F.col(key).cast("long").alias("doc_id"), text_hash(text).alias("th"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(each, "doc_id long, th long, n long, cls binary, need int, tokens array<bigint>")
+    return rows.mapInArrow(freeing(each), "doc_id long, th long, n long, cls binary, need int, tokens array<bigint>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -264,7 +264,7 @@ def links_of(found: DataFrame, rows: DataFrame, copied: DataFrame, docs: DataFra
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], names=["c", "hashes"]).filter(same)
 
     texts = docs.select(F.col(f"`{key}`").cast("long").alias("id"), text_hash(text).alias("th"), F.col(f"`{text}`").cast("string").alias("text"))
-    sets = texts.join(few(wanted), F.col("id").eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth"))).select("c", "digest", "text").mapInArrow(whole, "c long, hashes binary").dropDuplicates(["c"])
+    sets = texts.join(few(wanted), F.col("id").eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth"))).select("c", "digest", "text").mapInArrow(freeing(whole), "c long, hashes binary").dropDuplicates(["c"])
     sets = written(sets, "sets")
     drop_written(wanted)
     # first each class with the leaders of its groups
@@ -279,7 +279,7 @@ def links_of(found: DataFrame, rows: DataFrame, copied: DataFrame, docs: DataFra
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    near = written(pairs.mapInArrow(compared, "v long, g long").select(F.col("v").alias("a"), F.col("g").alias("b")), "leader-links")
+    near = written(pairs.mapInArrow(freeing(compared), "v long, g long").select(F.col("v").alias("a"), F.col("g").alias("b")), "leader-links")
     found = components(near)
     label = found.withColumnRenamed("v", "lv")
     # then what the leaders leave open: groups that hold more than one component

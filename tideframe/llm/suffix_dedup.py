@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, written
+from .common import Batches, drop_written, freeing, written
 from .common import rows as rows_of
 from .ngram_join import word_hashes
 
@@ -327,7 +327,7 @@ def found_ranges(rows: DataFrame, length: int, symbols: Symbols) -> DataFrame:
         if held:
             yield full()
 
-    return rows.select("id", "th", "text").mapInArrow(each, RANGE)
+    return rows.select("id", "th", "text").mapInArrow(freeing(each), RANGE)
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", symbols: Symbols = byte_symbols) -> DataFrame:
@@ -351,14 +351,14 @@ def repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: st
     agreed = written(agreed, "repeat-classes")
     chosen = parts.join(agreed, (F.col("wa") == F.col("ga")) & (F.col("j") == F.col("gj")) & (F.col("c") == F.col("gc")))
     cuts = chosen.groupBy(F.col("id").alias("ci"), F.col("th").alias("ct")).agg(F.collect_list(F.struct("wa", "j", "c", "members", "copies", "s", "e", "p")).alias("cuts"))
-    cut = written(rows.join(cuts, F.col("id").eqNullSafe(F.col("ci")) & (F.col("th") == F.col("ct"))).select("id", "th", "text", "cuts").mapInArrow(rims_cut(length, symbols), RIM).dropDuplicates(["id", "th", "wa", "c", "s"]), "repeat-rims")
+    cut = written(rows.join(cuts, F.col("id").eqNullSafe(F.col("ci")) & (F.col("th") == F.col("ct"))).select("id", "th", "text", "cuts").mapInArrow(freeing(rims_cut(length, symbols)), RIM).dropDuplicates(["id", "th", "wa", "c", "s"]), "repeat-rims")
     spans = sure.union(by_text).union(sorted_shards(cut.where(F.col("members") <= MEMBERS), length, symbols))
     done, large = [live, whole, by_text, agreed, cut], cut.where(F.col("members") > MEMBERS)
     most = first_classes(length)[0][1]
     for width in sorted({-(-(most + 1) // 8), 1}, reverse=True):
         if large.isEmpty():
             break
-        finer = written(large.mapInArrow(rims_cut_again(width, symbols), RIM), "repeat-rims")
+        finer = written(large.mapInArrow(freeing(rims_cut_again(width, symbols)), RIM), "repeat-rims")
         groups = finer.groupBy(F.col("wa").alias("ga"), F.col("c").alias("gc")).agg(F.count("*").alias("m"), F.count_if(F.col("copies") == 1).alias("open")).where("m > 1 and open > 0").drop("open")
         cut = written(finer.join(groups, (F.col("wa") == F.col("ga")) & (F.col("c") == F.col("gc"))).withColumn("members", F.col("m")).select(*finer.columns), "repeat-rims")
         drop_written(finer)
@@ -374,9 +374,6 @@ def repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: st
     return out
 
 
-Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
-
-
 def told(kind: str, found: list[tuple]) -> pa.RecordBatch:
     types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
     fields = [x.split() for x in kind.split(", ")]
@@ -464,7 +461,7 @@ def sorted_shards(rims: DataFrame, length: int, symbols: Symbols) -> DataFrame:
                 for a, b in runs(hit, length).tolist():
                     yield i, h, s + a, s + b
 
-    return rims.repartition("wa", "c").sortWithinPartitions("wa", "c").mapInArrow(each, SPAN)
+    return rims.repartition("wa", "c").sortWithinPartitions("wa", "c").mapInArrow(freeing(each), SPAN)
 
 
 def with_spans(docs: DataFrame, length: int, key: str, text: str, row: F.Column | None = None, words: int | None = None) -> DataFrame:
@@ -511,7 +508,7 @@ def removed(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: st
     rows = with_spans(docs, length, key, text, words=words)
     if words is None:
         rows = rows.withColumn("word_spans", F.lit(None).cast(rows.schema["spans"].dataType))
-    out = rows.select("id", "text", "spans", "word_spans").mapInArrow(each, f"`{key}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<a:int,b:int>>, n_passage_words long")
+    out = rows.select("id", "text", "spans", "word_spans").mapInArrow(freeing(each), f"`{key}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<a:int,b:int>>, n_passage_words long")
     return out if words is not None else out.drop("n_passage_words")
 
 
