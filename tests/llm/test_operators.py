@@ -4,6 +4,7 @@ columns of clashing names."""
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from array import array
 from collections import Counter, defaultdict
@@ -630,6 +631,32 @@ def test_large_shards_are_cut_and_sorted(spark, monkeypatch):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want and len({b[1] for b in want.values()}) > 5
 
 
+@pytest.mark.parametrize(("length", "symbols"), [(400, suffix_dedup.byte_symbols), (51, suffix_dedup.word_symbols)])
+def test_ranges_take_little_memory(length, symbols):
+    """A worker holds the hashes of a batch of texts several times over; the ranges are those of each text alone."""
+
+    class Rows:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, each, _):  # noqa: N802
+            self.each = each
+            return self
+
+    rnd = np.random.default_rng(3)
+    texts = [bytes(x) for x in rnd.choice(np.frombuffer(b"abcdefgh ", np.uint8), (400, 20_000))]
+    ids = pa.array(range(len(texts)), pa.int64())
+    each = suffix_dedup.found_ranges(Rows(), length, symbols).each
+    tracemalloc.start()
+    got = list(each(iter([pa.RecordBatch.from_arrays([ids, ids, pa.array([t.decode() for t in texts])], names=["id", "th", "text"])])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 128 << 20
+    alone = [suffix_dedup.ranges([symbols(t)], length)[0] for t in texts]
+    for c in ("s", "e", "p", "whole"):
+        assert np.array_equal(np.concatenate([b.column(c).to_numpy() for b in got]), np.concatenate([r[c].view(np.int64) for r in alone]))
+
+
 def test_rows_alike_and_one_symbol_texts(spark):
     """Rows alike tell their spans once; a text of one symbol tells its windows once."""
     text = "".join(map(str, range(300)))

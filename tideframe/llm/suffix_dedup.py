@@ -46,7 +46,8 @@ LENGTH = 400
 PASSAGE_WORDS = 51
 #: Ranges of a shard at most, and symbols that are sorted at once (or a shard, if it has more).
 MEMBERS, SORTED = 4096, 1 << 16
-BATCH_BYTES = 4 << 20
+#: Ranges are looked for in so many bytes of symbols at once (or one text, if it has more); numpy takes some 60 times as much.
+BATCH_BYTES = 1 << 20
 MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
 TOP = np.uint64(2**64 - 1)
 
